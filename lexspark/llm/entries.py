@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, toxicity
+from . import bpe, language, quality, store, toxicity
 from .common import held_out, table
 
 
@@ -31,12 +32,30 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_byte_bpe(
+    spark: SparkSession,
+    sf_dir: str,
+    ranks: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    pattern: str = public_tokenizers.PATTERN,
+) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_and_decode(docs, ranks, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def op6_token_store(
+    spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json"), end_id: int = 2
+) -> DataFrame:
+    return store.store_and_read(table(spark, sf_dir, "documents"), tokenizer, end_id)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
         op2_toxicity,
         op3_language_id,
+        op4_byte_bpe,
+        op6_token_store,
     )
 }
 
