@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, store, toxicity
+from . import bpe, language, quality, simhash, store, toxicity
 from .common import held_out, table
 
 
@@ -48,6 +48,10 @@ def op6_token_store(
     return store.store_and_read(table(spark, sf_dir, "documents"), tokenizer, end_id)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_byte_bpe,
         op6_token_store,
+        op10_simhash,
     )
 }
 
