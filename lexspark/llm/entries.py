@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, simhash, store, toxicity
+from . import bpe, decontamination, language, quality, simhash, store, toxicity, winnowing
 from .common import held_out, table
 
 
@@ -48,6 +48,14 @@ def op6_token_store(
     return store.store_and_read(table(spark, sf_dir, "documents"), tokenizer, end_id)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,8 +68,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_byte_bpe,
         op6_token_store,
+        op7_fingerprints,
+        op9_decontamination,
         op10_simhash,
     )
 }
 
-ORACLES: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS k
+      FROM (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM b)),
+ns AS (SELECT DISTINCT n FROM v),
+p AS (SELECT r, n, s, array_to_string(list_slice(w, s + 1, s + n), ' ') AS k
+      FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d JOIN ns ON len(w) >= n)),
+h AS (SELECT p.r, p.s, p.n, v.item_id FROM p JOIN v ON p.n = v.n AND p.k = v.k),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS q FROM (SELECT DISTINCT r, s, n FROM h)) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
+""",
+}
