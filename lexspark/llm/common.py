@@ -87,6 +87,13 @@ def balanced_sample(df: DataFrame, by: str, per_class: int, max_classes: int = 2
     return rows.where(unit < share).drop("_h")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_labels: int = 2) -> DataFrame:
+    """Rows (text, _label) of a bounded, balanced sample: keys are sampled first, so that only the sample's texts are moved."""
+    keys = docs.select("doc_id").join(one_label_per_document(labels, label), "doc_id").distinct()
+    chosen = balanced_sample(keys, "_label", per_label, max_labels)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_label")
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

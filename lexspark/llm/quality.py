@@ -19,9 +19,8 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import balanced_sample, map_rows, one_label_per_document, texts_of
+from .common import labelled_sample, map_rows, texts_of
 
 CLASSES = 24
 WORD_BUCKETS = 2048
@@ -114,8 +113,7 @@ def truncated_svd(matrix: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", params: QualityParams = QualityParams()) -> QualityModel:
     """``docs`` (doc_id, text) must hold only rows that may be learned from; the sample is bounded by ``params``."""
-    known = docs.select("doc_id", "text").join(one_label_per_document(labels, label), "doc_id")
-    sample = balanced_sample(known, "_label", params.sample_per_label, 2)
+    sample = labelled_sample(docs, labels, label, params.sample_per_label)
 
     def features(batches):
         for batch in batches:
