@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, quality, simhash, store, toxicity, winnowing
+from . import bpe, decontamination, language, linededup, quality, simhash, store, toxicity, winnowing
 from .common import held_out, table
 
 
@@ -52,6 +52,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.dedup_lines(docs.withColumn("n_chars", F.length("text")))
+    return found.select("doc_id", "n_chars", F.length("text").alias("n_kept"), F.col("_removed").alias("n_removed"), "text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_byte_bpe,
         op6_token_store,
         op7_fingerprints,
+        op8_line_dedup,
         op9_decontamination,
         op10_simhash,
     )
