@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, linededup, quality, simhash, store, toxicity, winnowing
+from . import bpe, decontamination, language, licenses, linededup, quality, simhash, store, toxicity, winnowing
 from .common import held_out, table
 
 
@@ -42,6 +42,10 @@ def op4_byte_bpe(
     return bpe.encode_and_decode(docs, ranks, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(
     spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json"), end_id: int = 2
 ) -> DataFrame:
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_language_id,
         op4_byte_bpe,
+        op5_license_scan,
         op6_token_store,
         op7_fingerprints,
         op8_line_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": licenses.oracle(WORDS_SQL),
     "op9_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
 b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
