@@ -115,3 +115,9 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "d
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id") -> DataFrame:
+    """The documents without any hit; rows that share a key with a hit row go with it."""
+    hit = hits(docs, benchmark, width, key).where(F.col("n_hit") > 0).select(F.col(key).alias("_hit"))
+    return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
