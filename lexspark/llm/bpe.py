@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -191,6 +192,10 @@ class StreamingDecoder:
         return rest
 
 
+def ids_of(parts: list[tuple[bytes, str]]) -> list[int]:
+    return array("I", b"".join([p for p, _ in parts])).tolist()
+
+
 class ByteBpe:
     """Pattern split, transducer, decoder; one instance per Python worker."""
 
@@ -202,18 +207,19 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.cache = PartCache(self._encode_parts, self.pieces)
 
-    def _encode_parts(self, parts: list[str]) -> list[tuple[tuple[int, ...], str]]:
+    def _encode_parts(self, parts: list[str]) -> list[tuple[bytes, str]]:
+        """Per part: its ids as 32-bit numbers, and as comma-joined decimals."""
         encode, out = self.transducer.encode, []
         for part in parts:
             ids = [i for piece in self.pieces(part) for i in encode(piece.encode("utf-8", "surrogatepass"))]
-            out.append((tuple(ids), ",".join(map(str, ids))))
+            out.append((array("I", ids).tobytes(), ",".join(map(str, ids))))
         return out
 
-    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
         return self.cache.encode(text)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.encode_parts(text) for i in ids]
+        return ids_of(self.encode_parts(text))
 
     def decode(self, ids: list[int]) -> Iterator[bytes]:
         decoder = getattr(self, "decoder", None) or StreamingDecoder(self.tokens)
@@ -263,7 +269,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, outputs: l
             found: dict[str, list] = {o: [] for o in outputs}
             for text in texts_of(batch.column("text")):
                 parts = bpe.encode_parts(text)
-                ids = [i for p, _ in parts for i in p]
+                ids = ids_of(parts)
                 row: dict[str, object] = {"ids": ids, "n_tokens": len(ids)}
                 if "ids_sha256" in found:
                     row["ids_sha256"] = hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest()

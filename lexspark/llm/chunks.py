@@ -13,44 +13,58 @@ _BLANK_AFTER_SPACE = re.compile(r"\s ")
 #: Longer parts are encoded, not remembered.
 LONGEST_KEPT = 64
 #: Bound of the remembered parts of a worker.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
+
+
+class Generations:
+    """A bounded memory in two generations: when the young one is full it becomes the old one, and what the old one had and was
+    not asked for again is forgotten."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def age(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
 
 
 class PartCache:
     """Remembers what ``encode_parts(list of parts)`` gave; parts at the text's start and after a blank are kept apart."""
 
     def __init__(self, encode_parts: Callable[[list[str]], list], split: Callable[[str], list[str]], most: int = MOST_KEPT):
-        self.encode_parts, self.split, self.most = encode_parts, split, most
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
-
-    def _learn(self, known: dict, missing: list[str], lead: str) -> dict:
-        """Encode what is missing; returns the results that are too long to be remembered."""
-        once = list(dict.fromkeys(missing))
-        results = self.encode_parts([lead + p for p in once])
-        long = {}
-        for part, result in zip(once, results):
-            (known if len(part) <= LONGEST_KEPT else long)[part] = result
-        return long
+        self.encode_parts, self.split = encode_parts, split
+        self.first, self.later = Generations(most // 4), Generations(most - most // 4)
 
     def encode(self, text: str) -> list:
         """The results of the text's parts, in order."""
         if not text:
             return []
-        if len(self.first) + len(self.later) > self.most:
-            self.first.clear()
-            self.later.clear()
         if _BLANK_AFTER_SPACE.search(text):
-            parts = self.split(text)
-            return self._look(self.first, parts, "")
+            return self._look(self.first, self.split(text), "")
         parts = text.split(" ")
         if not parts[0]:  # the text starts with a blank: the part after it owns the blank
             return self._look(self.later, parts[1:], " ")
         return self._look(self.first, parts[:1], "") + self._look(self.later, parts[1:], " ")
 
-    def _look(self, known: dict, parts: list[str], lead: str) -> list:
-        got = list(map(known.get, parts))
-        if None in got:
-            long = self._learn(known, [p for p, g in zip(parts, got) if g is None], lead)
-            got = [known[p] if g is None and p in known else long[p] if g is None else g for p, g in zip(parts, got)]
+    def _look(self, known: Generations, parts: list[str], lead: str) -> list:
+        known.age()
+        young, old = known.young, known.old
+        got = list(map(young.get, parts))
+        absent = [i for i, g in enumerate(got) if g is None]
+        if absent:
+            fresh: dict[str, object] = {}
+            for i in absent:
+                part = parts[i]
+                if part not in fresh:
+                    fresh[part] = old.get(part)
+            missing = [p for p, g in fresh.items() if g is None]
+            if missing:
+                fresh.update(zip(missing, self.encode_parts([lead + p for p in missing])))
+            for i in absent:
+                part = parts[i]
+                got[i] = fresh[part]
+                if len(part) <= LONGEST_KEPT:
+                    young[part] = got[i]
         return got
