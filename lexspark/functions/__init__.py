@@ -1 +1 @@
-""""""
+"""Column builders: normalizers, splits and decoders."""

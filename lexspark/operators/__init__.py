@@ -1 +1 @@
-""""""
+"""Models, added vocabulary and encodings."""

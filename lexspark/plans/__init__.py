@@ -1 +1 @@
-""""""
+"""Pipeline descriptions and the engine."""

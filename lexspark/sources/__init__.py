@@ -1 +1 @@
-""""""
+"""Pipeline descriptions and texts from files."""

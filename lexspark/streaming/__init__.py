@@ -1 +1 @@
-""""""
+"""Encoding of streams."""
