@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.split import BYTE_CHARS
 from .bpe import share_file
-from .chunks import PartCache
+from .chunks import MOST_KEPT, Generations, PartCache
 from .common import map_rows, scratch_path, texts_of
 
 
@@ -44,6 +45,8 @@ class ChunkParams:
     most: int = 1024
 
 
+#: Latin-1 characters to the printable ones that stand for bytes.
+BYTES = dict(enumerate(BYTE_CHARS))
 RECIPE = "array<struct<digest:binary,n:int,tail:long>>"
 
 
@@ -96,7 +99,12 @@ def unpack(width: int, data: bytes) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per distinct part of the texts."""
+    """The tokenizers library, asked once per distinct part of the texts, and by its parts: splitter, then model.
+
+    The library's own call spends most of its time around the model; a word of letters needs no splitter, as it is one match.
+    """
+
+    STOPS = frozenset(".,!?;:")
 
     def __init__(self, path: str):
         import os
@@ -106,16 +114,48 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.simple = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
+        self.blank = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.simple else " "
+        self.tokenize = self.library.model.tokenize
+        self.pieces = Generations(MOST_KEPT)
         self.cache = PartCache(self._encode_parts, lambda text: [text])
 
+    def _split(self, part: str) -> list[str]:
+        """The library's matches of a part, in byte characters."""
+        lead, body = (self.blank, part[1:]) if part[0] == " " else ("", part)
+        word, stop = (body[:-1], body[-1:]) if body[-1:] in self.STOPS else (body, "")
+        if word.isalpha():
+            if not word.isascii():
+                word = word.encode("utf-8").decode("latin-1").translate(BYTES)
+            return [lead + word, stop] if stop else [lead + word]
+        return [m for m, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """The ids of each part as little-endian 32-bit numbers."""
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        if not self.simple:
+            return self._encode_whole(parts)
+        self.pieces.age()
+        young, old, tokenize, out = self.pieces.young, self.pieces.old, self.tokenize, []
+        for part in parts:
+            ids = b""
+            for piece in self._split(part):
+                known = young.get(piece)
+                if known is None:
+                    known = old.get(piece)
+                    if known is None:
+                        known = array("I", [t.id for t in tokenize(piece)]).tobytes()
+                    young[piece] = known
+                ids += known
+            out.append(ids)
+        return out
+
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
         end = array("I", [end_id]).tobytes()
         whole = any(s in text for s in self.special)  # the library looks for these before it splits
-        parts = self._encode_parts([text]) if whole else self.cache.encode(text)
+        parts = self._encode_whole([text]) if whole else self.cache.encode(text)
         return np.frombuffer(b"".join([*parts, end]), np.uint32)
 
 
