@@ -99,5 +99,12 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import fresh, scratch_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,5 +119,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "d
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id") -> DataFrame:
     """The documents without any hit; rows that share a key with a hit row go with it."""
-    hit = hits(docs, benchmark, width, key).where(F.col("n_hit") > 0).select(F.col(key).alias("_hit"))
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    name = fresh(docs, "_hit")
+    hit = hits(docs.select(key, "text"), benchmark, width, key).where(F.col("n_hit") > 0).select(F.col(key).alias(name))
+    return docs.join(hit, F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import fresh, scratch_path, written
 from .winnowing import gram_hashes, gram_position, window_minima
 
 #: After a line end or another stop that follows at least 20 characters without any; never between two stops.
@@ -167,10 +167,13 @@ def merged(runs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """All columns of ``docs`` with the text's later repeated runs deleted, and ``_removed``: the number of deleted units."""
-    runs = repeated_runs(docs, key, min_words).select(F.col(key).alias("_key"), merged(F.col("runs")).alias("_runs"))
-    joined = docs.join(runs, F.col(key) == F.col("_key"), "left")
-    kept = F.filter(units_of(F.col("text")), lambda u, i: ~F.exists("_runs", lambda r: (r["start"] <= i) & (i < r["end"])))
-    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"])
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.coalesce(removed, F.lit(0)).alias("_removed"))
+    """All columns of ``docs`` with the text's later repeated runs deleted, and ``_removed`` (in place of one that was there): the number of deleted units."""
+    own = [c for c in docs.columns if c != "_removed"]
+    name = fresh(docs, "_runs")
+    runs = repeated_runs(docs.select(key, "text"), key, min_words).select(key, merged(F.col("runs")).alias(name))
+    joined = docs.join(runs, key, "left")
+    cuts = F.col(name)
+    kept = F.filter(units_of(F.col("text")), lambda u, i: ~F.exists(cuts, lambda r: (r["start"] <= i) & (i < r["end"])))
+    removed = F.aggregate(cuts, F.lit(0), lambda a, r: a + r["end"] - r["start"])
+    text = F.when(cuts.isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in own], F.coalesce(removed, F.lit(0)).alias("_removed"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch_path, texts_of, written
+from .common import fresh, map_rows, scratch_path, texts_of, written
 from .graph import components
 
 BLOCK = 2048
@@ -187,5 +187,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, key: str = "doc_id") -> DataFrame:
     """One document of each class stays: the one with the smallest key; of rows that share it, one.  Null keys share one class key."""
     classes = near_duplicates(docs, radius, words_per_shingle, key)
-    stay = classes.groupBy("component_id").agg(F.min(key).alias("_stay")).select("_stay").distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([key]).select(docs.columns)
+    name = fresh(docs, "_stay")
+    stay = classes.groupBy("component_id").agg(F.min(key).alias(name)).select(name).distinct()
+    return docs.join(stay, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([key]).select(docs.columns)
