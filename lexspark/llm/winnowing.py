@@ -109,16 +109,18 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", k: int = 5, w: int
     The edited text: the last half of its characters gives way to as many of the next document's first (or all of them).
     Null text is empty text; of repeated keys, the greatest text stands for the next document.
     """
-    plain = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    chain = successors(plain, key)
+    # keys travel as structs: null keys compare as equal, and a join keeps the partitioning of the grouping before it
+    boxed = lambda c: F.struct(F.col(c).alias("key"))
+    plain = docs.select(boxed(key).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+    chain = successors(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), key)
     given = (
-        plain.join(chain.select(F.col(key).alias("_for"), "half", F.col("next").alias("_next")), F.col(key).eqNullSafe(F.col("_next")))
+        plain.join(chain.select(boxed(key).alias("_for"), "half", boxed("next").alias("_next")), F.col("_key") == F.col("_next"))
         .select("_for", "text", F.expr("substring(text, 1, cast(half as int))").alias("lead"))
     )
     given = with_fingerprint(given, "text", "_packed", k, w).select("_for", "lead", hash_set(F.col("_packed")).alias("next_set"))
     given = given.groupBy("_for").agg(F.max(F.struct("lead", "next_set")).alias("g"))
-    own = plain.join(given, F.col(key).eqNullSafe(F.col("_for"))).select(
-        key, "text", F.length("text").cast("bigint").alias("n_chars"), F.col("g.lead").alias("lead"), F.col("g.next_set").alias("next_set")
+    own = plain.join(given, F.col("_key") == F.col("_for")).select(
+        F.col("_key.key").alias(key), "text", F.length("text").cast("bigint").alias("n_chars"), F.col("g.lead").alias("lead"), F.col("g.next_set").alias("next_set")
     )
     edited = own.withColumn(
         "edited",
