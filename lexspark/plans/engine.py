@@ -23,6 +23,7 @@ from ..functions.split import pre_tokenize, pre_tokenize_aligned, whole
 from ..operators import added, encoding
 from ..operators.models import evaluator
 from . import config
+from .ship import ship
 
 TOKENS = T.StructType(
     [
@@ -149,6 +150,7 @@ class Engine:
 
     def tokens(self, text: Column) -> Column:
         """Parallel arrays of the model's tokens, by one Arrow function; null gives null."""
+        ship()
         made = Made(self)
 
         @F.pandas_udf(TOKENS)
@@ -202,6 +204,7 @@ class Engine:
 
     def register(self, spark: SparkSession, encode: str = "encode_ids", decode: str = "decode_ids", table: str = "tokenize") -> None:
         """SQL functions ``encode_ids(text)`` and ``decode_ids(ids)``, and a table function ``tokenize(text)``."""
+        ship(spark)
         made = Made(self)
         names = {i: t for t, i in self.vocab.items()} | self.added.by_id
 

@@ -15,6 +15,7 @@ from .functions import decode, normalize, split
 from .operators import added, encoding, models
 from .plans.config import AddedToken, Truncation
 from .plans.engine import Engine
+from .plans.ship import ship
 from .sources.config_file import checked_utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
