@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Upper bound of a row batch handed to a Python worker.  Documents can be long, so batches are bounded in rows and bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = "16m"
@@ -96,6 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -1,6 +1,7 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton after folding.
 
-Folding: compatibility normalisation, homoglyphs to Latin letters, accents removed, digits and signs that stand for letters
+Folding: compatibility normalisation, loose marks removed (accents of a language's own letters tell words apart and stay),
+homoglyphs to Latin letters, digits and signs that stand for letters
 replaced inside words, everything else than letters to one blank.  The lexicon is learned from labelled rows: word beginnings
 (stems) and whole words whose documents are toxic far more often than not, weighted by their log-odds.  A match inside an
 exception phrase does not count.  The sum of weights is normalised by the text's length and calibrated to a probability.
@@ -40,7 +41,7 @@ class _Fold(dict):
         char = chr(point)
         out = "".join(
             HOMOGLYPHS.get(c, c)
-            for c in unicodedata.normalize("NFKD", char.lower())
+            for c in unicodedata.normalize("NFKC", char.lower())
             if not unicodedata.combining(c)
         )
         out = "".join(c if c.isalpha() or c in LEET else " " for c in out)
@@ -68,6 +69,7 @@ def _letters(word: str) -> str:
 
 def fold(text: str) -> str:
     """Blank-separated folded words, with a blank before the first and after the last."""
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
     words = text.translate(_FOLD).split()
     return " ".join(["", *" ".join([w if w.isalpha() else _letters(w) for w in words]).split(), ""])
 
@@ -78,6 +80,7 @@ class ToxicityParams:
     max_terms: int = 5000  #: bound of the lexicon
     min_documents: int = 4  #: toxic documents that a term must be found in
     min_log_odds: float = 2.5
+    min_evidence: float = 20.0  #: likelihood ratio of a term against chance; rare terms are otherwise pure by luck
     stems: tuple[int, ...] = (4, 5, 6, 7, 8)  #: lengths of the word beginnings that are tried
     length_unit: int = 400  #: words per unit of length
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -159,10 +162,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", param
         return ToxicityModel({}, params.exceptions, params=params)
     clean, toxic = totals["clean"], totals["toxic"]
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    both, prior = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
+    surprise = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
+    evidence = 2 * (surprise(F.col("toxic"), prior) + surprise(F.col("clean"), max(1 - prior, 1e-9)))
     found = (
         summed.where((F.col("term") != "") & (F.col("toxic") >= params.min_documents))
         .withColumn("odds", odds)
-        .where(F.col("odds") >= params.min_log_odds)
+        .where((F.col("odds") >= params.min_log_odds) & (evidence >= params.min_evidence))
         .orderBy(F.desc("toxic"), F.desc("odds"), "term")
         .limit(params.max_terms)
         .collect()
