@@ -39,7 +39,8 @@ def to_byte_characters(text: Column) -> Column:
 
 
 def from_byte_characters(text: Column) -> Column:
-    return F.decode(F.encode(F.translate(text, _MAPPED, _LATIN1), "ISO-8859-1"), "UTF-8")
+    """Bytes that are no UTF-8 (a cut character) are replaced."""
+    return F.make_valid_utf8(F.encode(F.translate(text, _MAPPED, _LATIN1), "ISO-8859-1").cast("string"))
 
 
 def whole(text: Column) -> Column:

@@ -26,6 +26,11 @@ ENCODING = "struct<" + ",".join(f"{n}:array<{t}>" for n, t in FIELDS.items()) +
 RESULT = ENCODING[:-1] + f",overflowing:array<{ENCODING}>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def part(arrays: dict[str, Column]) -> Column:
     return F.struct(*[arrays[n].cast(f"array<{t}>").alias(n) for n, t in FIELDS.items()])
 
@@ -116,11 +121,14 @@ def trim_offsets(encoding: Column, add_prefix_space: bool) -> Column:
 
 
 def post_process(encoding: Column, rules: tuple[Part, ...], add_special_tokens: bool = True) -> Column:
-    for rule in rules:
+    def step(rule: Part) -> Callable[[Column], Column]:
         if rule.kind == "TemplateProcessing":
-            encoding = template(encoding, rule, add_special_tokens)
-        elif rule.get("trim_offsets", True):
-            encoding = trim_offsets(encoding, rule.get("add_prefix_space", True))
+            return lambda e: template(e, rule, add_special_tokens)
+        return lambda e: trim_offsets(e, rule.get("add_prefix_space", True))
+
+    for rule in rules:
+        if rule.kind == "TemplateProcessing" or rule.get("trim_offsets", True):
+            encoding = let(encoding, step(rule))
     return encoding
 
 

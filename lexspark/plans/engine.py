@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode as decoders
-from ..functions.normalize import aligned, normalize, normalize_aligned
+from ..functions.normalize import aligned, apply_one, normalize, normalize_aligned
 from ..functions.split import pre_tokenize, pre_tokenize_aligned, whole
 from ..operators import added, encoding
 from ..operators.models import evaluator
@@ -163,10 +163,14 @@ class Engine:
 
     def encode_column(self, text: Column, add_special_tokens: bool = True, tokens: Column | None = None, longest: Column | None = None) -> Column:
         made = self.tokens(text) if tokens is None else tokens
-        parts = encoding.truncate(encoding.from_tokens(made), self.plan.truncation)
-        parts = F.transform(parts, lambda p: encoding.post_process(p, self.plan.post_processor, add_special_tokens))
-        parts = F.transform(parts, lambda p: encoding.pad(p, self.plan.padding, longest))
-        result = encoding.with_overflow(parts if self.keep_overflow else F.slice(parts, 1, 1))
+        rules = self.plan
+        parts = encoding.let(encoding.from_tokens(made), lambda e: encoding.truncate(e, rules.truncation))
+        parts = parts if self.keep_overflow else F.slice(parts, 1, 1)
+        if rules.post_processor:
+            parts = F.transform(parts, lambda p: encoding.post_process(p, rules.post_processor, add_special_tokens))
+        if rules.padding:
+            parts = F.transform(parts, lambda p: encoding.pad(p, rules.padding, longest))
+        result = encoding.let(parts, encoding.with_overflow)
         return F.when(text.isNotNull(), result)
 
     # --- DataFrames -----------------------------------------------------------------------------------------------------
@@ -227,16 +231,18 @@ class Engine:
         spark.udtf.register(table, F.udtf(Tokenize, returnType="pos int, id int, token string, word int, start int, end int"))
 
 
+def _one(part: config.Part):
+    return lambda text: apply_one(text, part)
+
+
 def _normalize_gaps(pieces: Column, parts: tuple[config.Part, ...]) -> Column:
     """Normalize each unresolved piece on its own, in the place that it has; positions are recounted."""
-    from ..functions.normalize import apply_one
-
     pure = all(p.kind not in ("NFC", "NFD", "NFKC", "NFKD", "BertNormalizer") for p in parts)
     texts = F.transform(pieces, lambda p: p["text"])
     if pure:
         changed = texts
         for p in parts:
-            changed = F.transform(changed, lambda t, p=p: apply_one(t, p))
+            changed = F.transform(changed, _one(p))
     else:
 
         @F.pandas_udf("array<string>")

@@ -259,6 +259,7 @@ def test_decoders(spark):
     assert decoded(spark, ["##uelo", "Ara ?", "##új", "##o", "No .", "##guera"], wordpiece) == ["##uelo", " Ara?", "új", "o", " No.", "guera"]
     assert decoded(spark, ["a", "do not", "##x"], wordpiece | {"cleanup": False}) == ["a", " do not", "x"]
     assert decoded(spark, ["How", "Ġare", "Ġya", "Ġdoing", "?"], {"type": "ByteLevel"}) == ["How are ya doing?"]
+    assert decoded(spark, ["aÃ"], {"type": "ByteLevel"}) == ["a\ufffd"]
     assert decoded(spark, ["a▁b"], {"type": "Replace", "pattern": {"String": "▁"}, "content": " "}, {"type": "Fuse"}) == ["a b"]
     assert decoded(spark, ["a", "<0xC3>", "<0xA9>", "<0xFF>", "b"], {"type": "ByteFallback"}) == ["a", "�", "�", "�", "b"]
     assert decoded(spark, ["a", "<0xC3>", "<0xA9>", "b"], {"type": "ByteFallback"}) == ["a", "é", "b"]
@@ -326,3 +327,19 @@ def test_streaming(spark, tmp_path):
 
 def test_template_parts():
     assert Part("Sequence", {}, (Part("a"), Part("Sequence", {}, (Part("b"),)))).flat() == (Part("a"), Part("b"))
+
+
+def test_chained_post_processors_and_raw_added_tokens(spark):
+    post = {"type": "Sequence", "processors": [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}, fixtures.template(300, 301)]}
+    config = fixtures.byte_bpe_small(
+        post_processor=post,
+        normalizer={"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": "x"}, "content": "yy"}, {"type": "StripAccents"}]},
+        added_tokens=[{"content": "[M]", "normalized": False, "special": True}],
+    )
+    engine = Engine.from_json(config)
+    frame = spark.createDataFrame([("ax [M]x",)], "text string")
+    e = engine.encode(frame).first().encoding
+    assert e.tokens == ["[CLS]", "a", "y", "y", "Ġ", "[M]", "y", "y", "[SEP]"]
+    assert [tuple(o) for o in e.offsets] == [(0, 0), (0, 1), (1, 2), (1, 2), (3, 3), (3, 6), (6, 7), (6, 7), (0, 0)]
+    native = frame.select(engine.pieces(F.col("text")).alias("p")).first().p
+    assert [(p.text, p.token_id) for p in native] == [("ayy", None), ("Ġ", None), ("[M]", engine.added.by_content["[M]"]), ("yy", None)]
