@@ -58,12 +58,16 @@ def from_tokens(tokens: Column) -> Column:
 def window_starts(size: Column, rule: Truncation) -> Column:
     """Zero-based (start, end) of every part of a text of ``size`` tokens that is too long."""
     longest, step = F.lit(rule.max_length), F.lit(rule.max_length - rule.stride)
-    steps = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), step)
-    # a part is due while the one before it has not reached the end
-    due = F.filter(steps, lambda s: (s == 0) | (s - step + longest < size))
-    if rule.direction == "Right":
-        return F.transform(due, lambda s: F.struct(s.alias("start"), F.least(s + longest, size).alias("end")))
-    return F.transform(due, lambda s: F.struct(F.greatest(size - s - longest, F.lit(0)).alias("start"), (size - s).alias("end")))
+
+    def spans(n: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step)
+        # a part is due while the one before it has not reached the end
+        due = F.filter(steps, lambda s: (s == 0) | (s - step + longest < n))
+        if rule.direction == "Right":
+            return F.transform(due, lambda s: F.struct(s.alias("start"), F.least(s + longest, n).alias("end")))
+        return F.transform(due, lambda s: F.struct(F.greatest(n - s - longest, F.lit(0)).alias("start"), (n - s).alias("end")))
+
+    return let(size, spans)
 
 
 def truncate(encoding: Column, rule: Truncation | None) -> Column:
