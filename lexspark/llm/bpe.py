@@ -200,12 +200,14 @@ class ByteBpe:
     """Pattern split, transducer, decoder; one instance per Python worker."""
 
     PORTION = 8192
+    #: Bound of the remembered parts; each takes some 400 bytes.
+    MOST_PARTS = 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = regex.compile(pattern).findall
         self.transducer = MergeTransducer(ranks)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.cache = PartCache(self._encode_parts, self.pieces)
+        self.cache = PartCache(self._encode_parts, self.pieces, self.MOST_PARTS)
 
     def _encode_parts(self, parts: list[str]) -> list[tuple[bytes, str]]:
         """Per part: its ids as 32-bit numbers, and as comma-joined decimals."""
