@@ -1,179 +1,147 @@
-"""Line dedup in DataFrame functions: winnowing over line hashes, matches extended both ways, later repeated runs deleted.
+"""Line dedup in DataFrame functions: every run of words that stands earlier is found and deleted from the later place.
 
-A *unit* is a line, or a clause of it that is long enough (the cut only depends on the characters just before it, so equal
-passages are cut alike wherever they stand).  Units are hashed; two consecutive hashes make a gram, and of every two consecutive
-grams the least is a fingerprint: any repeated run of three units gives a common fingerprint.  A unit of at least ``min_words``
-words is a fingerprint of its own as well.
+A *word* is a run of characters between blanks (line ends are blanks); of scripts that are written without blanks, each character is
+one.  A *window* is ``min_words`` consecutive words, wherever lines end.  Every window but its first place is deleted; "first" is
+the smallest key, within a document the smallest position.  So of any repeated run of at least ``min_words`` words, all but the
+first place go, to the word.
 
-Each fingerprint is joined with the first document that has it (never with all), giving (document, earlier document, shift)
-diagonals; repeats within a document are found in its own row.  On a diagonal, matches are extended both ways by comparing unit
-hashes; a run of equal units with at least ``min_words`` words is deleted from the later place.
+Windows are found in two passes, neither with pairs of documents.  First, winnowing: of the grams of ``GRAM`` words in a window
+the least is its fingerprint, so equal windows have equal fingerprints, and windows whose fingerprint stands at one place only are
+unique.  Second, the hashes of the windows that are left are grouped, and all places but the first are marked.  Texts that equal
+the text of a smaller key are deleted whole beforehand, which is what their windows would give.
 
-Defined results: a null text stays null, an empty one empty; documents with a null key and documents that share a key with
-another row are compared with others, not with their own twins; a document that only repeats earlier text becomes empty, its row
-stays.  "Earlier" is a smaller key, within a document a smaller position.
+Defined results: a null text stays null, an empty one empty; documents with a null key stay as they are, and others are not
+compared with them; rows that share a key are told apart by their texts (those that share both are cut alike, and not for each
+other's sake); a document that only repeats earlier text becomes empty, its row stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, scratch_path, written
-from .winnowing import gram_hashes, gram_position, window_minima
+from .winnowing import POSITIONS, gram_position
 
-#: After a line end or another stop that follows at least 20 characters without any; never between two stops.
-STOPS = r".!?,;:|\r\n"
-CUT = rf"(?<=[{STOPS}])(?![{STOPS}])(?<=[^{STOPS}]{{20}}[{STOPS}]{{1,4}})"
-BLANK = " \t\r\n"
-WORD_BITS = 12
-MOST_WORDS = (1 << WORD_BITS) - 1
-GRAM, WINDOW = 2, 2
+BLANK = " \t\n\x0b\f\r"
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han characters.
+UNSPACED = r"฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3ffff}"
+#: Between words; the blanks before a word go with it.
+CUT = rf"(?<=\S)(?=[\s{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
+#: The same cuts without the blanks.
+BETWEEN = rf"\s+|(?<=\S)(?=[{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
+GRAM = 8
+#: An end beyond any text.
+WHOLE = 1 << 30
 
 
 def units_of(text: Column) -> Column:
-    """The text's units; joined, they are the text."""
+    """The text's words with the blanks before them (blanks at the end are one more unit); joined, they are the text."""
     return F.split(text, CUT)
 
 
-def unit_codes(units: Column) -> Column:
-    """One long per unit: 52 bits of its hash without blanks around it, and its number of words (at most 4095)."""
-
-    def code(unit: Column) -> Column:
-        bare = F.btrim(unit, F.lit(BLANK))
-        words = F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
-        return F.xxhash64(bare).bitwiseAND(F.lit(~MOST_WORDS)).bitwiseOR(F.least(words, F.lit(MOST_WORDS)).cast("bigint"))
-
-    return F.transform(units, code)
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.split(F.btrim(text, F.lit(BLANK)), BETWEEN), lambda w: F.xxhash64(w))
 
 
-def words_in(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(MOST_WORDS)).cast("int")
+def _with_next(values: str, by: int, both: Callable[[Column, Column], Column]) -> Column:
+    """``both`` of each value and the one ``by`` places on."""
+    size = F.greatest(F.size(values) - by, F.lit(0))
+    return F.zip_with(F.slice(values, 1, size), F.slice(values, F.lit(1 + by), size), both)
 
 
-def _fingerprints(coded: DataFrame, key: str, min_words: int) -> DataFrame:
-    """Rows (key, fp, pos, prev): selected grams and long single units; prev is the fingerprint's place before in the same row."""
-    chosen = (
-        coded.withColumn("_grams", gram_hashes(F.col("codes"), GRAM))
-        .withColumn("_chosen", window_minima(F.col("_grams"), WINDOW))
-        .drop("_grams")
-    )
-    pairs = F.transform(
-        "_chosen",
-        lambda p: F.struct(F.xxhash64(F.get("codes", gram_position(p).cast("int")), F.get("codes", gram_position(p).cast("int") + 1)).alias("fp"), gram_position(p).cast("int").alias("pos")),
-    )
-    long_units = F.filter(
-        F.transform("codes", lambda c, i: F.struct(F.when(words_in(c) >= min_words, F.xxhash64(c, F.lit(1), F.lit(1))).alias("fp"), i.alias("pos"))),
-        lambda s: s["fp"].isNotNull(),
-    )
-    ordered = chosen.select(key, F.array_sort(F.concat(pairs, long_units)).alias("found"))
-    linked = F.transform(
-        "found",
-        lambda s, i: F.struct(
-            s["fp"].alias("fp"),
-            s["pos"].alias("pos"),
-            F.when((i > 0) & (F.get("found", i - 1)["fp"] == s["fp"]), F.get("found", i - 1)["pos"]).alias("prev"),
-        ),
-    )
-    return ordered.select(key, F.explode(linked).alias("f")).select(key, "f.fp", "f.pos", "f.prev")
+def _hashed(df: DataFrame, words: int, into: str) -> DataFrame:
+    """Adds ``into``: the hashes of all runs of ``words`` words of ``text``.  Each doubling is a column of its own, computed once."""
+    df = df.withColumn(into, word_hashes(F.col("text")))
+    size = 1
+    while size < words:
+        by = min(size, words - size)
+        df = df.withColumn(into, _with_next(into, by, lambda a, b: F.xxhash64(a, b)))
+        size += by
+    return df
 
 
-def _runs(codes: str, other: str, shift: Column, min_words: int) -> Column:
-    """Intervals [start, end) of ``codes`` that equal ``other`` moved by ``shift``, each of at least ``min_words`` words."""
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
+def _fingerprints(named: DataFrame, key: str, min_words: int) -> DataFrame:
+    """Rows (key, _text, prints: array of (fp, pos)); texts of fewer than ``min_words`` words have none.
 
-    def close(a: Column, at: Column) -> Column:
-        return F.when(a["words"] >= min_words, F.array_append(a["out"], F.struct(a["start"].alias("start"), at.alias("end")))).otherwise(a["out"])
+    Filters stay outside: one on a computed array would be pushed below the steps, and compute each many times over.
+    """
+    gram = min(GRAM, min_words)
+    df = _hashed(named, gram, "_grams").drop("text")
+    packed = F.transform("_grams", lambda g, i: g.bitwiseAND(F.lit(~POSITIONS)).bitwiseOR((F.lit(POSITIONS) - i % (POSITIONS + 1)).cast("bigint")))
+    df = df.withColumn("_least", packed)
+    size, wanted = 1, min_words - gram + 1
+    while size < wanted:
+        by = min(size, wanted - size)
+        df = df.withColumn("_least", _with_next("_least", by, lambda a, b: F.least(a, b)))
+        size += by
+    at = F.transform(F.array_distinct("_least"), lambda p: gram_position(p).cast("int"))
+    return df.withColumn("_at", at).select(key, "_text", F.transform("_at", lambda p: F.struct(F.get("_grams", p).alias("fp"), p.alias("pos"))).alias("prints"))
 
-    def step(a: Column, i: Column) -> Column:
-        code = F.get(codes, i)
-        same = F.coalesce(code == F.get(other, i - shift), F.lit(False)) & (i >= shift)
-        return F.struct(
-            F.when(same & (a["start"] < 0), i).when(same, a["start"]).otherwise(F.lit(-1)).alias("start"),
-            F.when(same, a["words"] + words_in(code)).otherwise(F.lit(0)).alias("words"),
-            F.when(~same & (a["start"] >= 0), close(a, i)).otherwise(a["out"]).alias("out"),
-        )
 
-    begin = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("words"), nothing.alias("out"))
-    size = F.size(codes)
-    return F.aggregate(
-        F.sequence(F.lit(0), size - 1), begin, step, lambda a: F.when(a["start"] >= 0, close(a, size)).otherwise(a["out"])
-    )
+def islands(starts: Column, length: int) -> Column:
+    """Intervals [start, end) that the intervals of ``length`` at the sorted ``starts`` cover together."""
+    begins = F.filter(starts, lambda p, i: (i == 0) | (p - F.get(starts, i - 1) > length))
+    ends = F.filter(starts, lambda p, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) - p > length))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b + length).alias("end")))
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """Rows (key, runs): the intervals of units to delete from each document that has any, sorted."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "line-dedup")
-    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    coded = written(named.select(key, unit_codes(units_of(F.col("text"))).alias("codes")), f"{folder}/codes")
-    found = _fingerprints(coded, key, min_words)
-
-    # across documents: each document's first place of a fingerprint against the first document that has it
-    leading = found.where(F.col("prev").isNull()).select(key, "fp", "pos")
-    origin = (
-        leading.groupBy("fp")
-        .agg(F.min(key).alias("src"), F.min_by("pos", key).alias("src_pos"), F.max(key).alias("_last"))
-        .where(F.col("src") < F.col("_last"))
-        .drop("_last")
-    )
-    across = leading.join(origin, "fp").where(F.col(key) > F.col("src")).groupBy(key, "src").agg(F.collect_set(F.col("pos") - F.col("src_pos")).alias("shifts"))
-    # within a document: the distance to the place before
-    same = lambda a, b: F.coalesce(F.get("codes", a) == F.get("codes", b), F.lit(False))
-    within = (
-        found.where(F.col("prev").isNotNull())
-        .groupBy(key)
-        .agg(F.collect_set(F.struct("pos", "prev")).alias("places"))
-        .join(coded, key)
-        .select(
-            key,
-            "codes",
-            F.col("codes").alias("other"),
-            # a run of enough words is longer than the meeting gram, or that gram alone has them
-            F.array_distinct(
-                F.transform(
-                    F.filter(
-                        "places",
-                        lambda p: (F.get("codes", p["pos"]).isNotNull())
-                        & (
-                            ((p["pos"] > 0) & (p["prev"] > 0) & same(p["pos"] - 1, p["prev"] - 1))
-                            | same(p["pos"] + 2, p["prev"] + 2)
-                            | (words_in(F.get("codes", p["pos"])) + F.coalesce(words_in(F.get("codes", p["pos"] + 1)), F.lit(0)) >= min_words)
-                        ),
-                    ),
-                    lambda p: p["pos"] - p["prev"],
-                )
-            ).alias("shifts"),
+    """Rows (key, _text: hash of the text, runs): the disjoint intervals of words to delete from each document that has any, sorted."""
+    folder = scratch_path(docs.sparkSession, "line-dedup")
+    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("_text"), "text")
+    every = written(_fingerprints(named, key, min_words), f"{folder}/prints").where(F.size("prints") > 0)
+
+    # whole copies
+    own = every.select(key, "_text")
+    first = own.groupBy("_text").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where(F.col("_first") < F.col("_last"))
+    copies = written(own.join(first, "_text").where(F.col(key) > F.col("_first")).select(key, "_text"), f"{folder}/copies")
+
+    # windows that may stand elsewhere: those around a fingerprint that does
+    single = every.join(copies, [key, "_text"], "left_anti")
+    found = single.select(key, "_text", F.explode("prints").alias("p")).select(key, "_text", "p.fp", "p.pos")
+    met = found.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("fp")
+    before = min_words - min(GRAM, min_words)
+    places = found.join(met, "fp").groupBy(key, "_text").agg(F.sort_array(F.collect_set("pos")).alias("_places"))
+    around = written(places.select(key, "_text", islands(F.col("_places"), before + 1).alias("_around")), f"{folder}/around")
+    texts = _hashed(named.join(around, [key, "_text"]), min_words, "_windows").drop("text")
+    starts = F.flatten(
+        F.transform(
+            "_around",
+            lambda r: F.sequence(F.greatest(r["start"] - before, F.lit(0)), F.least(r["end"] - before, F.size("_windows")) - 1),
         )
     )
-    paired = (
-        across.join(coded, key)
-        .join(coded.select(F.col(key).alias("src"), F.col("codes").alias("other")), "src")
-        .select(key, "codes", "other", "shifts")
+    windows = texts.withColumn("_starts", F.array_distinct(starts)).select(
+        key, "_text", F.explode_outer(F.transform("_starts", lambda i: F.struct(F.get("_windows", i).alias("window"), i.alias("pos")))).alias("w")
     )
-    each = paired.unionByName(within).select(key, F.flatten(F.transform("shifts", lambda s: _runs("codes", "other", s, min_words))).alias("runs"))
-    return each.where(F.size("runs") > 0).groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
-
-
-def merged(runs: Column) -> Column:
-    """Sorted intervals, overlapping and touching ones joined."""
+    windows = written(windows.select(key, "_text", "w.window", "w.pos"), f"{folder}/windows")
+    place = F.struct(key, "_text", "pos")
+    origin = windows.groupBy("window").agg(F.min(place).alias("_origin"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    later = windows.join(origin, "window").where(place != F.col("_origin"))
+    runs = later.groupBy(key, "_text").agg(F.sort_array(F.collect_set("pos")).alias("_later")).select(key, "_text", islands(F.col("_later"), min_words).alias("runs"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end")))
+    return written(runs.unionByName(copies.select(key, "_text", whole.alias("runs")).distinct()), f"{folder}/runs")
 
-    def step(a: Column, r: Column) -> Column:
-        last = F.element_at(a, -1)
-        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
-        return F.when(F.size(a) == 0, F.array(r)).when(r["start"] <= last["end"], grown).otherwise(F.array_append(a, r))
 
-    return F.aggregate(runs, F.array().cast("array<struct<start:int,end:int>>"), step)
+def without(units: str, runs: Column) -> Column:
+    """The units outside the sorted, disjoint ``runs``."""
+    none = F.lit(0)
+    begins = F.concat(F.array(none), F.transform(runs, lambda r: r["end"]))
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(units)))
+    return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(units, a + 1, F.greatest(b - a, none))))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """All columns of ``docs`` with the text's later repeated runs deleted, and ``_removed`` (in place of one that was there): the number of deleted units."""
+    """All columns of ``docs`` with the text's later repeated runs deleted, and ``_removed`` (in place of one that was there): the number of deleted words."""
     own = [c for c in docs.columns if c != "_removed"]
-    name = fresh(docs, "_runs")
-    runs = repeated_runs(docs.select(key, "text"), key, min_words).select(key, merged(F.col("runs")).alias(name))
-    joined = docs.join(runs, key, "left")
-    cuts = F.col(name)
-    kept = F.filter(units_of(F.col("text")), lambda u, i: ~F.exists(cuts, lambda r: (r["start"] <= i) & (i < r["end"])))
-    removed = F.aggregate(cuts, F.lit(0), lambda a, r: a + r["end"] - r["start"])
-    text = F.when(cuts.isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in own], F.coalesce(removed, F.lit(0)).alias("_removed"))
+    name, mine, units, kept = (fresh(docs, c) for c in ("_runs", "_text_hash", "_units", "_kept"))
+    runs = repeated_runs(docs.select(key, "text"), key, min_words).select(F.col(key).alias(fresh(docs, "_of")), F.col("_text").alias(mine), F.col("runs").alias(name))
+    joined = docs.join(runs, (F.col(key) == F.col(fresh(docs, "_of"))) & (F.xxhash64("text") == F.col(mine)), "left")
+    split = joined.withColumn(units, F.when(F.col(name).isNotNull(), units_of(F.col("text")))).withColumn(kept, without(units, F.col(name)))
+    left = F.array_join(kept, "")
+    text = F.when(F.col(name).isNull(), F.col("text")).when(F.btrim(left, F.lit(BLANK)) == "", F.lit("")).otherwise(left)
+    words = lambda u: F.size(F.filter(u, lambda w: F.btrim(w, F.lit(BLANK)) != ""))
+    removed = F.when(F.col(name).isNull(), F.lit(0)).otherwise(words(F.col(units)) - words(F.col(kept)))
+    return split.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in own], removed.alias("_removed"))

@@ -373,6 +373,46 @@ def test_line_dedup(spark, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def brute_line_dedup(rows, width=25):
+    """Texts in order of their keys, as words; every window but its first place goes."""
+    seen, kept = set(), {}
+    for key, text in sorted(rows):
+        words = text.split()
+        bad = set()
+        for i in range(len(words) - width + 1):
+            window = tuple(words[i : i + width])
+            if window in seen:
+                bad.update(range(i, i + width))
+            seen.add(window)
+        kept[key] = [w for i, w in enumerate(words) if i not in bad]
+    return kept
+
+
+def test_line_dedup_finds_runs_across_short_lines_and_inside_long_ones(spark):
+    draw = random.Random(15)
+    verse = "\n".join(" ".join(words(draw, 3)) for _ in range(32))
+    plain = " ".join(words(draw, 40))
+    han = "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(60))
+    more = lambda n: " ".join(words(draw, n))
+    data = [
+        (1, f"{verse}\n{more(30)}"),
+        (2, f"{verse}\n{more(30)}"),  # short lines, then a differing line
+        (3, f"{more(30)} {plain} {more(30)}"),
+        (4, f"  {more(9)} {plain} {more(13)} \n"),  # inside a long clause without stops
+        (5, f"{han[:40]}一二三"),
+        (6, f"四五{han[:40]}七八九"),  # no blanks at all
+        (7, f"{more(24)}"),
+        (8, " ".join(["la", "le"] * 40)),
+    ]
+    found = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    for key, kept in brute_line_dedup(data).items():
+        if key not in (5, 6):
+            assert found[key].text.split() == kept
+            assert found[key]._removed == len(dict(data)[key].split()) - len(kept)
+    assert len(found[2].text.split()) == 30 and found[4].text.startswith("  ")
+    assert found[5].text == data[4][1] and found[6].text == "四五七八九" and found[6]._removed == 40
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------------
 
 
