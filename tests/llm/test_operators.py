@@ -413,6 +413,18 @@ def test_line_dedup_finds_runs_across_short_lines_and_inside_long_ones(spark):
     assert found[5].text == data[4][1] and found[6].text == "四五七八九" and found[6]._removed == 40
 
 
+def test_line_dedup_compares_with_every_earlier_place(spark):
+    draw = random.Random(16)
+    lines = [" ".join(words(draw, 6)) for _ in range(10)]
+    more = lambda n: " ".join(words(draw, n))
+    data = [(i, f"{more(12)}\n{lines[i]}\n{lines[i + 1]}\n{more(12)}") for i in range(9)]  # neighbouring pairs, in earlier documents
+    data += [(100 + i, "\n".join([more(20), *lines, more(20)])) for i in range(3)]  # the whole passage
+    data += [(200, "\n".join([lines[3], more(10), *lines, more(10), *lines]))]
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: t.split() for k, t in found.items()} == brute_line_dedup(data)
+    assert all(found[i] == dict(data)[i] for i in [*range(9), 100]) and len(found[101].split()) == 40
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------------
 
 
