@@ -118,7 +118,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "d
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id") -> DataFrame:
-    """The documents without any hit; rows that share a key with a hit row go with it."""
+    """The documents without any hit.  Rows are told apart by their texts, which alone decide: ``key`` may be null or shared."""
     name = fresh(docs, "_hit")
-    hit = hits(docs.select(key, "text"), benchmark, width, key).where(F.col("n_hit") > 0).select(F.col(key).alias(name))
-    return docs.join(hit, F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    hit = hits(docs.select(F.md5("text").alias(name), "text"), benchmark, width, name).where(F.col("n_hit") > 0).select(name)
+    return docs.join(hit, F.md5("text") == F.col(name), "left_anti")

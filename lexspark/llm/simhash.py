@@ -185,8 +185,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, key: str = "doc_id") -> DataFrame:
-    """One document of each class stays: the one with the smallest key; of rows that share it, one.  Null keys share one class key."""
-    classes = near_duplicates(docs, radius, words_per_shingle, key)
-    name = fresh(docs, "_stay")
-    stay = classes.groupBy("component_id").agg(F.min(key).alias(name)).select(name).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([key]).select(docs.columns)
+    """One row of each class stays: the one with the smallest key, null last.  Rows are told apart by key and text; of equal ones, one stays."""
+    name = fresh(docs, "_row")
+    rows = docs.withColumn(name, F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.md5("text").alias("text")))
+    classes = near_duplicates(rows.select(name, "text"), radius, words_per_shingle, name)
+    stay = classes.groupBy("component_id").agg(F.min(name).alias(name)).select(name)
+    return rows.join(stay, name, "left_semi").dropDuplicates([name]).select(docs.columns)

@@ -425,6 +425,20 @@ def test_line_dedup_compares_with_every_earlier_place(spark):
     assert all(found[i] == dict(data)[i] for i in [*range(9), 100]) and len(found[101].split()) == 40
 
 
+def test_stages_decide_by_row(spark):
+    draw = random.Random(17)
+    item, *own = [" ".join(words(draw, 40)) for _ in range(8)]
+    data = [(None, own[0]), (None, own[1]), (1, own[2]), (1, own[3]), (2, own[2]), (3, own[4]), (None, own[4])]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    same = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert same(simhash.drop_near_duplicates(frame)) == sorted([*data[:4], data[5]], key=str)
+    bad = spark.createDataFrame([(None, item), (1, f"{own[5]} {item}")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert same(decontamination.drop_contaminated(frame.union(bad), benchmark)) == sorted(data, key=str)
+    shared = [(4, own[6]), (5, f"{own[6]} {own[5]}"), (5, own[3])]  # only the second of key 5's rows holds nothing of key 4's
+    assert {tuple(r) for r in linededup.dedup_lines(spark.createDataFrame(shared, "doc_id long, text string")).select("doc_id", F.trim("text")).collect()} == {(4, own[6]), (5, own[5]), (5, own[3])}
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------------
 
 
