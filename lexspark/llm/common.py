@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
@@ -28,7 +29,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); only where none is set, as in tests, a local one is made."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).  Where none is set, a single-machine session gets a local one; a cluster raises."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,12 +47,38 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of an execution go when it has ended, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` in the shared folder and read it back: cuts lineage, survives lost executors."""
-    df.write.parquet(path)
+    """Write ``df`` to ``path`` in the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffle files."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def preceding_sum(df: DataFrame, order: list[str], size: str, into: str, path: str) -> DataFrame:
+    """Adds ``into``: the sum of ``size`` over all rows before, in ascending ``order`` (nulls first).
+
+    Rows are range-partitioned and written to ``path``; a window runs within each range, and only the ranges' sums (a partition
+    count, not data) meet in one task.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = [F.asc_nulls_first(c) for c in order]
+    ranged = written(df.repartitionByRange(parts, *by).withColumn("_seg", F.spark_partition_id()), path)
+    sums = ranged.groupBy("_seg").agg(F.sum(size).alias("_sum"))
+    earlier = F.sum("_sum").over(W.orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))
+    before = sums.select("_seg", F.coalesce(earlier, F.lit(0)).cast("bigint").alias("_before"))
+    within = F.sum(size).over(W.partitionBy("_seg").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(before), "_seg").withColumn(into, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_seg", "_before")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,14 +5,16 @@ one.  A *window* is ``min_words`` consecutive words, wherever lines end.  Every
 the smallest key, within a document the smallest position.  So of any repeated run of at least ``min_words`` words, all but the
 first place go, to the word.
 
-Windows are found in two passes, neither with pairs of documents.  First, winnowing: of the grams of ``GRAM`` words in a window
-the least is its fingerprint, so equal windows have equal fingerprints, and windows whose fingerprint stands at one place only are
-unique.  Second, the hashes of the windows that are left are grouped, and all places but the first are marked.  Texts that equal
-the text of a smaller key are deleted whole beforehand, which is what their windows would give.
+Windows are found in two passes, neither with pairs of documents.  First, winnowing: of the words in a window at which a gram of
+``GRAM`` words begins, the one with the least hash is chosen, the rightmost on ties, and its gram is the window's fingerprint.
+Equal windows have equal fingerprints, so windows whose fingerprint stands at one place only are unique.  Second, the 96-bit
+hashes of the windows that are left are grouped, and all places but the first are marked.  A place is one number, the count of all
+words before it in the order of keys, so that minima are combined before the shuffle.  Texts that equal the text of a smaller key
+are deleted whole beforehand, which is what their windows would give.
 
 Defined results: a null text stays null, an empty one empty; documents with a null key stay as they are, and others are not
 compared with them; rows that share a key are told apart by their texts (those that share both are cut alike, and not for each
-other's sake); a document that only repeats earlier text becomes empty, its row stays.
+other's sake); a document that only repeats earlier text becomes empty, its row stays; columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -22,28 +24,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch_path, written
+from .common import delete_path, fresh, preceding_sum, scratch_path, written
 from .winnowing import POSITIONS, gram_position
 
 BLANK = " \t\n\x0b\f\r"
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han characters.
-UNSPACED = r"฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3ffff}"
+UNSPACED = r"฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3ffff}"
 #: Between words; the blanks before a word go with it.
 CUT = rf"(?<=\S)(?=[\s{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
 #: The same cuts without the blanks.
 BETWEEN = rf"\s+|(?<=\S)(?=[{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
-GRAM = 8
+#: Both for texts that have blanks between all words.
+PLAIN_CUT, PLAIN_BETWEEN = r"(?<=\S)(?=\s)", r"\s+"
+GRAM = 10
 #: An end beyond any text.
 WHOLE = 1 << 30
 
 
+def unspaced(text: Column) -> Column:
+    """True where the text has characters of scripts without blanks."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]")
+
+
 def units_of(text: Column) -> Column:
     """The text's words with the blanks before them (blanks at the end are one more unit); joined, they are the text."""
-    return F.split(text, CUT)
+    return F.when(unspaced(text), F.split(text, CUT)).otherwise(F.split(text, PLAIN_CUT))
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(F.split(F.btrim(text, F.lit(BLANK)), BETWEEN), lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    bare = F.btrim(text, F.lit(BLANK))
+    return F.when(unspaced(text), F.split(bare, BETWEEN)).otherwise(F.split(bare, PLAIN_BETWEEN))
 
 
 def _with_next(values: str, by: int, both: Callable[[Column, Column], Column]) -> Column:
@@ -52,33 +62,25 @@ def _with_next(values: str, by: int, both: Callable[[Column, Column], Column]) -
     return F.zip_with(F.slice(values, 1, size), F.slice(values, F.lit(1 + by), size), both)
 
 
-def _hashed(df: DataFrame, words: int, into: str) -> DataFrame:
-    """Adds ``into``: the hashes of all runs of ``words`` words of ``text``.  Each doubling is a column of its own, computed once."""
-    df = df.withColumn(into, word_hashes(F.col("text")))
-    size = 1
-    while size < words:
-        by = min(size, words - size)
-        df = df.withColumn(into, _with_next(into, by, lambda a, b: F.xxhash64(a, b)))
-        size += by
-    return df
-
+def _fingerprints(named: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``_size`` (words) and ``prints`` (array of (fp, pos)) in place of ``text``; texts of fewer than ``min_words`` words have none.
 
-def _fingerprints(named: DataFrame, key: str, min_words: int) -> DataFrame:
-    """Rows (key, _text, prints: array of (fp, pos)); texts of fewer than ``min_words`` words have none.
-
-    Filters stay outside: one on a computed array would be pushed below the steps, and compute each many times over.
+    Each step is a column of its own, computed once; filters stay outside, as one on a computed array would be pushed below the steps.
     """
     gram = min(GRAM, min_words)
-    df = _hashed(named, gram, "_grams").drop("text")
-    packed = F.transform("_grams", lambda g, i: g.bitwiseAND(F.lit(~POSITIONS)).bitwiseOR((F.lit(POSITIONS) - i % (POSITIONS + 1)).cast("bigint")))
+    df = named.withColumn("_words", words_of(F.col("text"))).drop("text").withColumn("_size", F.size("_words"))
+    packed = F.transform("_words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~POSITIONS)).bitwiseOR((F.lit(POSITIONS) - i % (POSITIONS + 1)).cast("bigint")))
     df = df.withColumn("_least", packed)
     size, wanted = 1, min_words - gram + 1
     while size < wanted:
         by = min(size, wanted - size)
         df = df.withColumn("_least", _with_next("_least", by, lambda a, b: F.least(a, b)))
         size += by
-    at = F.transform(F.array_distinct("_least"), lambda p: gram_position(p).cast("int"))
-    return df.withColumn("_at", at).select(key, "_text", F.transform("_at", lambda p: F.struct(F.get("_grams", p).alias("fp"), p.alias("pos"))).alias("prints"))
+    at = F.filter(F.transform(F.array_distinct("_least"), lambda p: gram_position(p).cast("int")), lambda p: p + gram <= F.col("_size"))
+    df = df.withColumn("_at", F.when(F.col("_size") >= min_words, at).otherwise(F.array().cast("array<int>")))
+    return df.withColumn(
+        "prints", F.transform("_at", lambda p: F.struct(F.xxhash64(F.slice("_words", p + 1, gram)).alias("fp"), p.alias("pos")))
+    ).drop("_words", "_least", "_at")
 
 
 def islands(starts: Column, length: int) -> Column:
@@ -90,39 +92,50 @@ def islands(starts: Column, length: int) -> Column:
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
     """Rows (key, _text: hash of the text, runs): the disjoint intervals of words to delete from each document that has any, sorted."""
-    folder = scratch_path(docs.sparkSession, "line-dedup")
-    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("_text"), "text")
-    every = written(_fingerprints(named, key, min_words), f"{folder}/prints").where(F.size("prints") > 0)
-
-    # whole copies
-    own = every.select(key, "_text")
-    first = own.groupBy("_text").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where(F.col("_first") < F.col("_last"))
-    copies = written(own.join(first, "_text").where(F.col(key) > F.col("_first")).select(key, "_text"), f"{folder}/copies")
-
-    # windows that may stand elsewhere: those around a fingerprint that does
-    single = every.join(copies, [key, "_text"], "left_anti")
-    found = single.select(key, "_text", F.explode("prints").alias("p")).select(key, "_text", "p.fp", "p.pos")
-    met = found.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("fp")
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "line-dedup")
+    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("_text"), F.hash("text").alias("_more"), "text")
+    every = written(_fingerprints(named, min_words).withColumn("_doc", F.monotonically_increasing_id()), f"{folder}/prints")
+
+    # whole copies: rows whose text a smaller key has as well
+    whole_text = ["_text", "_more", "_size"]
+    own = written(every.where(F.size("prints") > 0).groupBy(key, *whole_text).agg(F.min("_doc").alias("_doc")), f"{folder}/own")
+    first = own.groupBy(*whole_text).agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
+    marked = own.join(first, whole_text, "left").withColumn("_copy", F.coalesce(F.col(key) > F.col("_first"), F.lit(False)))
+    marked = written(marked.drop("_first", "_more"), f"{folder}/marked")
+    copies = marked.where("_copy")
+    placed = written(preceding_sum(marked.where("not _copy").drop("_copy"), [key, "_text"], "_size", "_base", f"{folder}/order"), f"{folder}/placed")
+
+    # windows that may stand elsewhere: those around a fingerprint that stands at two places (copies' places are one)
+    found = every.select("_doc", "_text", F.explode("prints").alias("p")).select("_doc", "_text", "p.fp", "p.pos")
+    place = F.xxhash64("_text", "pos")
+    met = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    places = found.drop("_text").join(met, "fp").groupBy("_doc").agg(F.sort_array(F.collect_set("pos")).alias("_places"))
     before = min_words - min(GRAM, min_words)
-    places = found.join(met, "fp").groupBy(key, "_text").agg(F.sort_array(F.collect_set("pos")).alias("_places"))
-    around = written(places.select(key, "_text", islands(F.col("_places"), before + 1).alias("_around")), f"{folder}/around")
-    texts = _hashed(named.join(around, [key, "_text"]), min_words, "_windows").drop("text")
+    around = places.join(placed, "_doc").select(key, "_text", "_base", F.col("_size"), islands(F.col("_places"), before + 1).alias("_around"))
+    around = written(around, f"{folder}/around")
+
     starts = F.flatten(
-        F.transform(
-            "_around",
-            lambda r: F.sequence(F.greatest(r["start"] - before, F.lit(0)), F.least(r["end"] - before, F.size("_windows")) - 1),
-        )
-    )
-    windows = texts.withColumn("_starts", F.array_distinct(starts)).select(
-        key, "_text", F.explode_outer(F.transform("_starts", lambda i: F.struct(F.get("_windows", i).alias("window"), i.alias("pos")))).alias("w")
+        F.transform("_around", lambda r: F.sequence(F.greatest(r["start"] - before, F.lit(0)), F.least(r["end"] - before, F.col("_size") - min_words + 1) - 1))
     )
-    windows = written(windows.select(key, "_text", "w.window", "w.pos"), f"{folder}/windows")
-    place = F.struct(key, "_text", "pos")
-    origin = windows.groupBy("window").agg(F.min(place).alias("_origin"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    later = windows.join(origin, "window").where(place != F.col("_origin"))
-    runs = later.groupBy(key, "_text").agg(F.sort_array(F.collect_set("pos")).alias("_later")).select(key, "_text", islands(F.col("_later"), min_words).alias("runs"))
+    texts = named.drop("_more").join(around, [key, "_text"]).withColumn("_hashes", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).drop("text").withColumn("_starts", starts)
+
+    def window(i: Column) -> Column:
+        run = F.slice("_hashes", i + 1, min_words)
+        return F.struct(F.xxhash64(run).alias("window"), F.hash(run).alias("more"), i.alias("pos"))
+
+    windows = texts.select("_base", F.explode(F.transform("_starts", window)).alias("w")).select("w.window", "w.more", "_base", "w.pos")
+    windows = written(windows, f"{folder}/windows")
+    at = F.col("_base") + F.col("pos")
+    origin = windows.groupBy("window", "more").agg(F.min(at).alias("_origin"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    origin = written(origin, f"{folder}/origins")
+    later = windows.join(origin, ["window", "more"]).where(at != F.col("_origin")).groupBy("_base").agg(F.sort_array(F.collect_set("pos")).alias("_later"))
+    runs = later.join(placed, "_base").select(key, "_text", islands(F.col("_later"), min_words).alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end")))
-    return written(runs.unionByName(copies.select(key, "_text", whole.alias("runs")).distinct()), f"{folder}/runs")
+    found_runs = written(runs.unionByName(copies.select(key, "_text", whole.alias("runs"))), f"{folder}/runs")
+    for part in ("prints", "own", "marked", "order", "placed", "around", "windows", "origins"):
+        delete_path(spark, f"{folder}/{part}")
+    return found_runs
 
 
 def without(units: str, runs: Column) -> Column:
