@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..plans.ship import ship
 
 #: Upper bound of a row batch handed to a Python worker.  Documents can be long, so batches are bounded in rows and bytes.
-BATCH_ROWS = 1000
-BATCH_BYTES = "16m"
+BATCH_ROWS = 10_000
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Line dedup in DataFrame functions: every run of words that stands earlier is found and deleted from the later place.
+"""Line dedup: every run of words that stands earlier is found and deleted from the later place.
 
 A *word* is a run of characters between blanks (line ends are blanks); of scripts that are written without blanks, each character is
 one.  A *window* is ``min_words`` consecutive words, wherever lines end.  Every window but its first place is deleted; "first" is
 the smallest key, within a document the smallest position.  So of any repeated run of at least ``min_words`` words, all but the
 first place go, to the word.
 
-Windows are found in two passes, neither with pairs of documents.  First, winnowing: of the words in a window at which a gram of
-``GRAM`` words begins, the one with the least hash is chosen, the rightmost on ties, and its gram is the window's fingerprint.
-Equal windows have equal fingerprints, so windows whose fingerprint stands at one place only are unique.  Second, the 96-bit
-hashes of the windows that are left are grouped, and all places but the first are marked.  A place is one number, the count of all
-words before it in the order of keys, so that minima are combined before the shuffle.  Texts that equal the text of a smaller key
-are deleted whole beforehand, which is what their windows would give.
+Winnowing: of the words in a window at which a gram of ``GRAM`` words begins, the one with the least hash is chosen, and its gram
+is the window's fingerprint.  Equal windows have equal fingerprints, so only windows whose fingerprint stands at two places are
+compared, by 96-bit hashes; all places but the first are marked, and marked windows that touch are joined to runs.
+
+No pairs of documents are made.  Grams and windows meet by one shuffle each, and are compared with their neighbours in order.
+Before it a task keeps one row per gram or window that it has met more than once: the others are known to be repeated already.
+So a passage that a third of all documents hold makes as many rows as there are tasks.  A place is one number, the sizes of all
+texts before it in the order of keys.  Texts that equal the text of a smaller key are deleted whole beforehand.
 
 Defined results: a null text stays null, an empty one empty; documents with a null key stay as they are, and others are not
 compared with them; rows that share a key are told apart by their texts (those that share both are cut alike, and not for each
@@ -19,142 +21,230 @@ other's sake); a document that only repeats earlier text becomes empty, its row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import delete_path, fresh, preceding_sum, scratch_path, written
-from .winnowing import POSITIONS, gram_position
+from .common import delete_path, fresh, map_rows, preceding_sum, scratch_path, written
+from .wordscan import UNSPACED_RANGES, mix, runs_hashed, steps, winnowed
 
 BLANK = " \t\n\x0b\f\r"
-#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han characters.
-UNSPACED = r"฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3ffff}"
+UNSPACED = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in UNSPACED_RANGES)
 #: Between words; the blanks before a word go with it.
 CUT = rf"(?<=\S)(?=[\s{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
-#: The same cuts without the blanks.
-BETWEEN = rf"\s+|(?<=\S)(?=[{UNSPACED}])|(?<=[{UNSPACED}])(?=\S)"
-#: Both for texts that have blanks between all words.
-PLAIN_CUT, PLAIN_BETWEEN = r"(?<=\S)(?=\s)", r"\s+"
 GRAM = 10
-#: An end beyond any text.
-WHOLE = 1 << 30
-
-
-def unspaced(text: Column) -> Column:
-    """True where the text has characters of scripts without blanks."""
-    return (F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]")
+#: Tasks over which the copies of one text are dealt.
+SALTS = 64
+#: Rows that a task gathers before it compares and sends them.
+GATHERED = 400_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def units_of(text: Column) -> Column:
     """The text's words with the blanks before them (blanks at the end are one more unit); joined, they are the text."""
-    return F.when(unspaced(text), F.split(text, CUT)).otherwise(F.split(text, PLAIN_CUT))
+    return F.split(text, CUT)
 
 
-def words_of(text: Column) -> Column:
+def word_count(text: Column) -> Column:
+    unspaced = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]")
+    every = F.size(F.filter(units_of(text), lambda w: F.btrim(w, F.lit(BLANK)) != ""))
     bare = F.btrim(text, F.lit(BLANK))
-    return F.when(unspaced(text), F.split(bare, BETWEEN)).otherwise(F.split(bare, PLAIN_BETWEEN))
-
-
-def _with_next(values: str, by: int, both: Callable[[Column, Column], Column]) -> Column:
-    """``both`` of each value and the one ``by`` places on."""
-    size = F.greatest(F.size(values) - by, F.lit(0))
-    return F.zip_with(F.slice(values, 1, size), F.slice(values, F.lit(1 + by), size), both)
-
-
-def _fingerprints(named: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``_size`` (words) and ``prints`` (array of (fp, pos)) in place of ``text``; texts of fewer than ``min_words`` words have none.
-
-    Each step is a column of its own, computed once; filters stay outside, as one on a computed array would be pushed below the steps.
-    """
-    gram = min(GRAM, min_words)
-    df = named.withColumn("_words", words_of(F.col("text"))).drop("text").withColumn("_size", F.size("_words"))
-    packed = F.transform("_words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~POSITIONS)).bitwiseOR((F.lit(POSITIONS) - i % (POSITIONS + 1)).cast("bigint")))
-    df = df.withColumn("_least", packed)
-    size, wanted = 1, min_words - gram + 1
-    while size < wanted:
-        by = min(size, wanted - size)
-        df = df.withColumn("_least", _with_next("_least", by, lambda a, b: F.least(a, b)))
-        size += by
-    at = F.filter(F.transform(F.array_distinct("_least"), lambda p: gram_position(p).cast("int")), lambda p: p + gram <= F.col("_size"))
-    df = df.withColumn("_at", F.when(F.col("_size") >= min_words, at).otherwise(F.array().cast("array<int>")))
-    return df.withColumn(
-        "prints", F.transform("_at", lambda p: F.struct(F.xxhash64(F.slice("_words", p + 1, gram)).alias("fp"), p.alias("pos")))
-    ).drop("_words", "_least", "_at")
-
-
-def islands(starts: Column, length: int) -> Column:
-    """Intervals [start, end) that the intervals of ``length`` at the sorted ``starts`` cover together."""
-    begins = F.filter(starts, lambda p, i: (i == 0) | (p - F.get(starts, i - 1) > length))
-    ends = F.filter(starts, lambda p, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) - p > length))
-    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b + length).alias("end")))
+    return F.when(unspaced, every).when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"\s+")))
+
+
+def _gathered(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= GATHERED:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+
+
+def _same_as_before(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return out
+
+
+GRAMS = ["k", "doc", "pos", "known"]
+#: ``words`` and ``bytes``: start and end of a run in its text, 32 bits each.
+WINDOWS = ["k", "more", "base", "words", "bytes", "known"]
+
+
+def _grams(min_words: int, gram: int) -> Callable:
+    """Rows (k: gram, doc: its text, pos, known: it stands at two places), each gram once per task and others dealt by their place."""
+
+    def found(batches):
+        for batch in batches:
+            names = batch.column("_text").to_numpy(zero_copy_only=False)
+            for a, _, words in steps(batch.column("text")):
+                _, chosen = winnowed(words, min_words, gram)
+                chosen = chosen[~_same_as_before(chosen)]
+                if len(chosen):
+                    text = words.text_of(chosen)
+                    yield [runs_hashed(words.hashes, gram, chosen, 0xA24BAED4963EE407), names[a + text], (chosen - words.first[text]).astype(np.int32)]
+
+    def run(batches):
+        for fp, doc, pos in _gathered(found(batches)):
+            place = mix(doc.view(np.uint64) * _ODD + pos.astype(np.uint64))
+            order = np.lexsort((place, fp))
+            fp, doc, pos, place = fp[order], doc[order], pos[order], place[order]
+            once = ~_same_as_before(fp, place)
+            fp, doc, pos, place = fp[once], doc[once], pos[once], place[once]
+            later = _same_as_before(fp)
+            known = later.copy()
+            known[:-1] |= later[1:]
+            yield _batch([np.where(later, place, fp), doc, pos, known], GRAMS)
+
+    return run
+
+
+def _windows(min_words: int, gram: int) -> Callable:
+    """Rows (k, more: hashes of a window, place); places known to be later come joined to runs, dealt by their place."""
+
+    def found(batches):
+        for batch in batches:
+            base = batch.column("_base").to_numpy(zero_copy_only=False)
+            places = batch.column("_places")
+            for a, b, words in steps(batch.column("text")):
+                part = places.slice(a, b - a)
+                own = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                met = np.zeros(len(words.starts) + 1, bool)
+                met[own + np.repeat(words.first[:-1], sizes)] = True
+                at, chosen = winnowed(words, min_words, gram)
+                at = at[met[chosen]]
+                if len(at):
+                    text = words.text_of(at)
+                    ends, before = words.bounds()
+                    pos = (at - words.first[text]).astype(np.int32)
+                    more = (runs_hashed(words.hashes, min_words, at, 0x8CB92BA72F3D8DD7) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield [runs_hashed(words.hashes, min_words, at, 0xD1342543DE82EF95), more, base[a + text], pos, before[at], ends[at + min_words - 1]]
+
+    def rows(k, more, base, start, end, begin, to, known):
+        pair = lambda a, b: a.astype(np.int64) << 32 | b.astype(np.int64)
+        return _batch([k, more, base, pair(start, end), pair(begin, to), known], WINDOWS)
+
+    def run(batches):
+        for k, more, base, pos, begin, end in _gathered(found(batches)):
+            order = np.lexsort((base + pos, k))
+            k, more, base, pos, begin, end = [c[order] for c in (k, more, base, pos, begin, end)]
+            known = _same_as_before(k, more)
+            rest = ~known
+            yield rows(*[c[rest] for c in (k, more, base, pos, pos + min_words, begin, end, known)])
+            repeated = known & ~_same_as_before(k, more, base, pos)
+            if repeated.any():
+                order = np.argsort((base + pos)[repeated], kind="stable")
+                joined = _joined([c[repeated][order] for c in (base, pos, pos + min_words, begin, end)])
+                none = np.zeros(len(joined[0]), np.int32)
+                yield rows(mix(joined[0].view(np.uint64)), none, *joined, none == 0)
+
+    return run
+
+
+def _joined(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs that overlap or touch become one; rows are sorted by base and start."""
+    base, start, end, begin, to = rows
+    if not len(base):
+        return rows
+    reach = np.maximum.accumulate(base + end)
+    fresh_run = np.concatenate([[True], (base + start)[1:] > reach[:-1]])
+    heads = np.flatnonzero(fresh_run)
+    return [base[heads], start[heads], np.maximum.reduceat(end, heads), begin[heads], np.maximum.reduceat(to, heads)]
+
+
+def _met(grams: DataFrame) -> DataFrame:
+    """Rows (doc, pos) whose gram stands at another place as well."""
+    same = W.partitionBy("k")
+    place = F.xxhash64("doc", "pos")
+    told = grams.select("doc", "pos", F.max("known").over(same).alias("known"), F.min(place).over(same).alias("a"), F.max(place).over(same).alias("b"))
+    return told.where("known or a <> b").select("doc", "pos")
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """Rows (base, words, bytes): the windows that stand earlier, and the runs that are known."""
+    before = F.lag(F.struct("base", "words")).over(W.partitionBy("k", "more").orderBy("base", "words"))
+    told = windows.withColumn("before", before).where("known or before.base <> base or before.words <> words")
+    return told.select("base", "words", "bytes")
+
+
+def _runs(later: DataFrame) -> DataFrame:
+    """Rows (base, runs): those that overlap or touch are one."""
+    order = W.partitionBy("base").orderBy("words")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    first, last = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    named = {"start": first("words"), "end": last("words"), "from": first("bytes"), "to": last("bytes")}
+    opens = later.select("base", "words", *[v.alias(c) for c, v in named.items()]).withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = opens.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = numbered.groupBy("base", "run").agg(*[f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.min, "from"), (F.max, "to"))])
+    return joined.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from", "to"))).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """Rows (key, _text: hash of the text, runs): the disjoint intervals of words to delete from each document that has any, sorted."""
+    """Rows (key, _text: hash of the text, runs, copy) of the texts to cut: ``runs`` are disjoint and sorted, with first and next word
+    (``start``, ``end``) and first and next byte (``from``, ``to``); ``copy``: the whole text stands in a document with a smaller key."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "line-dedup")
-    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("_text"), F.hash("text").alias("_more"), "text")
-    every = written(_fingerprints(named, min_words).withColumn("_doc", F.monotonically_increasing_id()), f"{folder}/prints")
+    gram = min(GRAM, min_words)
+    named = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.xxhash64("text").alias("_text"), "text")
 
-    # whole copies: rows whose text a smaller key has as well
+    # whole copies, and the place of every other text
     whole_text = ["_text", "_more", "_size"]
-    own = written(every.where(F.size("prints") > 0).groupBy(key, *whole_text).agg(F.min("_doc").alias("_doc")), f"{folder}/own")
+    own = named.select(key, "_text", F.hash("text").alias("_more"), (F.length("text") + 1).alias("_size")).distinct()
+    own = written(own, f"{folder}/own")
     first = own.groupBy(*whole_text).agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
-    marked = own.join(first, whole_text, "left").withColumn("_copy", F.coalesce(F.col(key) > F.col("_first"), F.lit(False)))
-    marked = written(marked.drop("_first", "_more"), f"{folder}/marked")
-    copies = marked.where("_copy")
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # copies of one text meet in many tasks
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    marked = salted.join(first, [*whole_text, "_salt"], "left").select(key, "_text", "_size", F.coalesce(F.col(key) > F.col("_first"), F.lit(False)).alias("_copy"))
+    marked = written(marked, f"{folder}/marked")
     placed = written(preceding_sum(marked.where("not _copy").drop("_copy"), [key, "_text"], "_size", "_base", f"{folder}/order"), f"{folder}/placed")
 
-    # windows that may stand elsewhere: those around a fingerprint that stands at two places (copies' places are one)
-    found = every.select("_doc", "_text", F.explode("prints").alias("p")).select("_doc", "_text", "p.fp", "p.pos")
-    place = F.xxhash64("_text", "pos")
-    met = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    places = found.drop("_text").join(met, "fp").groupBy("_doc").agg(F.sort_array(F.collect_set("pos")).alias("_places"))
-    before = min_words - min(GRAM, min_words)
-    around = places.join(placed, "_doc").select(key, "_text", "_base", F.col("_size"), islands(F.col("_places"), before + 1).alias("_around"))
-    around = written(around, f"{folder}/around")
-
-    starts = F.flatten(
-        F.transform("_around", lambda r: F.sequence(F.greatest(r["start"] - before, F.lit(0)), F.least(r["end"] - before, F.col("_size") - min_words + 1) - 1))
-    )
-    texts = named.drop("_more").join(around, [key, "_text"]).withColumn("_hashes", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).drop("text").withColumn("_starts", starts)
-
-    def window(i: Column) -> Column:
-        run = F.slice("_hashes", i + 1, min_words)
-        return F.struct(F.xxhash64(run).alias("window"), F.hash(run).alias("more"), i.alias("pos"))
-
-    windows = texts.select("_base", F.explode(F.transform("_starts", window)).alias("w")).select("w.window", "w.more", "_base", "w.pos")
-    windows = written(windows, f"{folder}/windows")
-    at = F.col("_base") + F.col("pos")
-    origin = windows.groupBy("window", "more").agg(F.min(at).alias("_origin"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    origin = written(origin, f"{folder}/origins")
-    later = windows.join(origin, ["window", "more"]).where(at != F.col("_origin")).groupBy("_base").agg(F.sort_array(F.collect_set("pos")).alias("_later"))
-    runs = later.join(placed, "_base").select(key, "_text", islands(F.col("_later"), min_words).alias("runs"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end")))
-    found_runs = written(runs.unionByName(copies.select(key, "_text", whole.alias("runs"))), f"{folder}/runs")
-    for part in ("prints", "own", "marked", "order", "placed", "around", "windows", "origins"):
+    # grams that stand at two places, gathered per text
+    grams = map_rows(named.select("_text", "text"), _grams(min_words, gram), "k long, doc long, pos int, known boolean")
+    places = _met(grams).groupBy("doc").agg(F.collect_set("pos").alias("_places"))
+    around = written(places.join(placed, F.col("doc") == F.col("_text")).select(key, "_text", "_base", "_places"), f"{folder}/around")
+
+    # windows around them that stand earlier, joined to runs
+    texts = named.join(around.hint("shuffle_hash"), [key, "_text"]).select("_base", "_places", "text")
+    windows = map_rows(texts, _windows(min_words, gram), "k long, more int, base long, words long, bytes long, known boolean")
+    runs = _runs(_later(written(windows, f"{folder}/windows")))
+    cut = runs.join(placed, F.col("base") == F.col("_base")).select(key, "_text", "runs", F.lit(False).alias("copy"))
+    copies = marked.where("_copy").select(key, "_text", F.lit(None).cast(cut.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy"))
+    out = written(cut.unionByName(copies), f"{folder}/runs")
+    for part in ("own", "marked", "order", "placed", "around", "windows"):
         delete_path(spark, f"{folder}/{part}")
-    return found_runs
-
-
-def without(units: str, runs: Column) -> Column:
-    """The units outside the sorted, disjoint ``runs``."""
-    none = F.lit(0)
-    begins = F.concat(F.array(none), F.transform(runs, lambda r: r["end"]))
-    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(units)))
-    return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(units, a + 1, F.greatest(b - a, none))))
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = 25) -> DataFrame:
     """All columns of ``docs`` with the text's later repeated runs deleted, and ``_removed`` (in place of one that was there): the number of deleted words."""
     own = [c for c in docs.columns if c != "_removed"]
-    name, mine, units, kept = (fresh(docs, c) for c in ("_runs", "_text_hash", "_units", "_kept"))
-    runs = repeated_runs(docs.select(key, "text"), key, min_words).select(F.col(key).alias(fresh(docs, "_of")), F.col("_text").alias(mine), F.col("runs").alias(name))
-    joined = docs.join(runs, (F.col(key) == F.col(fresh(docs, "_of"))) & (F.xxhash64("text") == F.col(mine)), "left")
-    split = joined.withColumn(units, F.when(F.col(name).isNotNull(), units_of(F.col("text")))).withColumn(kept, without(units, F.col(name)))
-    left = F.array_join(kept, "")
-    text = F.when(F.col(name).isNull(), F.col("text")).when(F.btrim(left, F.lit(BLANK)) == "", F.lit("")).otherwise(left)
-    words = lambda u: F.size(F.filter(u, lambda w: F.btrim(w, F.lit(BLANK)) != ""))
-    removed = F.when(F.col(name).isNull(), F.lit(0)).otherwise(words(F.col(units)) - words(F.col(kept)))
-    return split.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in own], removed.alias("_removed"))
+    of, mine, name, copy, count, left = (fresh(docs, c) for c in ("_of", "_text_hash", "_runs", "_copy", "_count", "_left"))
+    runs = repeated_runs(docs.select(key, "text"), key, min_words).select(
+        F.col(key).alias(of), F.col("_text").alias(mine), F.col("runs").alias(name), F.col("copy").alias(copy)
+    )
+    joined = docs.join(runs.hint("shuffle_hash"), (F.col(key) == F.col(of)) & (F.xxhash64("text") == F.col(mine)), "left")
+    text, cut, size = F.col("text"), F.col(name), F.col(count)
+    sized = joined.withColumn(count, F.when(F.col(copy), word_count(text)))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda r: r["to"]))
+    ends = F.concat(F.transform(cut, lambda r: r["from"]), F.array(F.octet_length(text).cast("bigint")))
+    piece = lambda a, b: F.substring(text.cast("binary"), (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    sized = sized.withColumn(left, F.array_join(F.zip_with(begins, ends, piece), ""))
+    kept = F.when(F.btrim(left, F.lit(BLANK)) == "", F.lit("")).otherwise(F.col(left))
+    return sized.select(
+        *[(F.when(cut.isNotNull(), kept).when(size >= min_words, F.lit("")).otherwise(text) if c == "text" else F.col(f"`{c}`")).alias(c) for c in own],
+        F.when(cut.isNotNull(), F.aggregate(cut, F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"]).cast("int")).when(size >= min_words, size).otherwise(0).alias("_removed"),
+    )

@@ -550,3 +550,41 @@ def test_language(spark):
     assert found[904].rejected and 0 <= found[904].score <= 1
     bare = language.fit_language(frame.limit(0).select("text", "lang"))
     assert {r.lang_pred for r in language.identify(frame, bare).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_line_dedup_equals_brute_force_on_tangled_texts(spark, seed):
+    """Few distinct words, shared pieces, whole copies, self-repeats, a text of 100,000 words, odd column names."""
+    draw = random.Random(seed)
+    pool = words(draw, 40)
+    pieces = [" ".join(draw.choices(pool, k=draw.randrange(20, 70))) for _ in range(8)]
+    blank = lambda: draw.choice([" ", "\n", "\t ", " \r\n"])
+    texts = [blank().join(draw.choice([*pieces, *draw.choices(pool, k=6)]) for _ in range(draw.randrange(1, 9))) for _ in range(60)]
+    texts += [texts[3], texts[3], " ".join(draw.choices(words(draw, 3000), k=100_000)), f"x {pieces[0]}", "", " \n "]
+    data = [(i * 7 % 101, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(*d, 1, 2, "r", 3) for d in data], "doc_id long, text string, _runs int, base int, _text string, _removed int").repartition(5)
+    found = {r.doc_id: r for r in linededup.dedup_lines(frame).collect()}
+    kept = brute_line_dedup(data)
+    assert {k: r.text.split() for k, r in found.items()} == kept
+    assert all(found[k]._removed == len(t.split()) - len(kept[k]) for k, t in data)
+    assert frame.columns == linededup.dedup_lines(frame.limit(0)).columns
+
+
+def test_words_of_bytes_equal_words_of_characters():
+    from lexspark.llm import wordscan
+    import pyarrow as pa
+
+    draw = random.Random(33)
+    texts = ["", " ", "a", "世界 a世b", "กขa ข", "\U00020001x\U00020002 é\n\n😀 ", *["".join(draw.choices("ab é世ก😀\n\t\U00020001", k=draw.randrange(40))) for _ in range(300)]]
+    alone = "".join(f"{chr(a)}-{chr(b)}" for a, b in wordscan.UNSPACED_RANGES)
+    units = [re.findall(rf"[{alone}]|[^ \t\n\x0b\f\r{alone}]+", t) for t in texts]
+    by_hash: dict[int, str] = {}
+    for a, b, found in wordscan.steps(pa.array(texts)):
+        for t in range(a, b):
+            own = range(found.first[t - a], found.first[t - a + 1])
+            assert [bytes(found.data[found.starts[w] : found.ends[w]]).decode() for w in own] == units[t], texts[t]
+            for w, unit in zip(own, units[t]):
+                assert by_hash.setdefault(int(found.hashes[w]), unit) == unit
+    assert len(by_hash) == len({u for own in units for u in own})
+    long = np.frombuffer(("x" * 20_000 + " " + "x" * 19_999 + "y").encode(), np.uint8)
+    assert len(set(wordscan.words_of(long, np.array([0, len(long)])).hashes.tolist())) == 2
