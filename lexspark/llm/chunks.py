@@ -6,8 +6,10 @@ So where a blank follows a character that is no white space, a match begins; a t
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
+from contextlib import contextmanager
 
 _BLANK_AFTER_SPACE = re.compile(r"\s ")
 #: Longer parts are encoded, not remembered.
@@ -16,6 +18,18 @@ LONGEST_KEPT = 64
 MOST_KEPT = 1_000_000
 
 
+@contextmanager
+def collector_paused():
+    """No cycle search meanwhile: it would walk through long lists of strings time and again, which are no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Generations:
     """A bounded memory in two generations: when the young one is full it becomes the old one, and what the old one had and was
     not asked for again is forgotten."""
@@ -48,23 +62,42 @@ class PartCache:
             return self._look(self.later, parts[1:], " ")
         return self._look(self.first, parts[:1], "") + self._look(self.later, parts[1:], " ")
 
+    def encode_all(self, texts: list[str]) -> list:
+        """The joined results (bytes) of each text; parts that are not remembered are encoded together."""
+        firsts, laters, plan = [], [], []
+        for text in texts:
+            if _BLANK_AFTER_SPACE.search(text):
+                parts = self.split(text)
+                plan.append((len(parts), 0))
+                firsts += parts
+                continue
+            parts = text.split(" ")
+            head = 1 if parts[0] else 0  # else the text starts with a blank, or is empty
+            firsts += parts[:head]
+            laters += parts[1:]
+            plan.append((head, len(parts) - 1))
+        first, later = self._look(self.first, firsts, ""), self._look(self.later, laters, " ")
+        out, a, b = [], 0, 0
+        for n, m in plan:
+            out.append(b"".join(first[a : a + n] + later[b : b + m]))
+            a, b = a + n, b + m
+        return out
+
     def _look(self, known: Generations, parts: list[str], lead: str) -> list:
         known.age()
         young, old = known.young, known.old
         got = list(map(young.get, parts))
-        absent = [i for i, g in enumerate(got) if g is None]
+        absent = [p for p, g in zip(parts, got) if g is None]
         if absent:
-            fresh: dict[str, object] = {}
-            for i in absent:
-                part = parts[i]
-                if part not in fresh:
-                    fresh[part] = old.get(part)
-            missing = [p for p, g in fresh.items() if g is None]
+            distinct = dict.fromkeys(absent)
+            missing = [p for p in distinct if p not in old]
+            fresh = {p: old[p] for p in distinct if p in old}
             if missing:
                 fresh.update(zip(missing, self.encode_parts([lead + p for p in missing])))
-            for i in absent:
-                part = parts[i]
-                got[i] = fresh[part]
-                if len(part) <= LONGEST_KEPT:
-                    young[part] = got[i]
+            filled = map(fresh.__getitem__, absent)
+            got = [next(filled) if g is None else g for g in got]
+            young.update(fresh)
+            for part in missing:
+                if len(part) > LONGEST_KEPT:
+                    del young[part]
         return got

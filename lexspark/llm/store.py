@@ -7,15 +7,18 @@ its chunks), and Merkle roots over chunks, documents and segments let a reader v
 Files, all Parquet, in one folder of the shared file system:
 
 * ``chunks``: digest, n, width (bytes per id), data (little-endian ids); each digest once
-* ``recipes``: seg, doc_id, row (tie-break), n_tokens, root, recipe (array of digest, n, tail = ids after the chunk); segments ascend by doc_id
-* ``manifest``: seg, first and last doc_id, documents, ids, root of the segment
+* ``recipes``: seg, doc_id, row (place in its segment), n_tokens, root, recipe (array of digest, n, tail = ids after the chunk);
+  segments ascend by doc_id
+* ``manifest``: level, seg, at, documents, ids, root: a Merkle tree over the recipes in order.  A node of level 0 covers up to
+  ``FAN`` recipes of a segment, one of a higher level up to ``FAN`` nodes, the last level has one node
 
-Reading back checks each chunk against its digest and each recipe against its Merkle root.  The CRC-32 of a document is composed
-from the CRC-32 of its stored chunks: shifted by the ids that follow and combined by exclusive or, so no document's ids have to
-be moved; ``read_ids`` reassembles whole id streams where they are wanted.
+Reading back checks each chunk against its digest, each recipe against its Merkle root, and the tree recomputed from the recipes
+against the manifest: a lost, added, altered or reordered recipe and a damaged manifest raise.  The CRC-32 of a document is
+composed from the CRC-32 of its stored chunks: shifted by the ids that follow and combined by exclusive or, so no document's ids
+have to be moved; ``read_ids`` reassembles whole id streams where they are wanted.
 
 Defined results: null text is empty text (just the end id); an empty table gives an empty store; repeated rows and repeated keys
-keep one recipe each; null keys sort first.
+keep one recipe each; null keys sort first; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,13 @@ from pyspark.sql import functions as F
 
 from ..functions.split import BYTE_CHARS
 from .bpe import share_file
-from .chunks import MOST_KEPT, Generations, PartCache
-from .common import map_rows, scratch_path, texts_of
+from .chunks import LONGEST_KEPT, PartCache, collector_paused
+from .common import map_rows, scratch_path, texts_of, written
+
+
+#: Recipes of a segment, about, and the most nodes under a node of the manifest's tree.
+SEGMENT = 4_000_000
+FAN = 4096
 
 
 @dataclass(frozen=True)
@@ -94,17 +103,23 @@ def pack(ids: np.ndarray) -> tuple[int, bytes]:
     return width, ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def chunk_digest(width: int, data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=bytes([width])).digest()
+
+
 def unpack(width: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if width == 2 else "<u4")
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per distinct part of the texts, and by its parts: splitter, then model.
+    """The tokenizers library, asked once per distinct part of the texts that is not remembered, and by its parts: splitter, then model.
 
     The library's own call spends most of its time around the model; a word of letters needs no splitter, as it is one match.
     """
 
     STOPS = frozenset(".,!?;:")
+    #: Bound of the remembered parts; each takes some 200 bytes.
+    MOST_PARTS = 1_800_000
 
     def __init__(self, path: str):
         import os
@@ -116,47 +131,49 @@ class LibraryEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.simple = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
         self.blank = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.simple else " "
-        self.tokenize = self.library.model.tokenize
-        self.pieces = Generations(MOST_KEPT)
-        self.cache = PartCache(self._encode_parts, lambda text: [text])
-
-    def _split(self, part: str) -> list[str]:
-        """The library's matches of a part, in byte characters."""
-        lead, body = (self.blank, part[1:]) if part[0] == " " else ("", part)
-        word, stop = (body[:-1], body[-1:]) if body[-1:] in self.STOPS else (body, "")
-        if word.isalpha():
-            if not word.isascii():
-                word = word.encode("utf-8").decode("latin-1").translate(BYTES)
-            return [lead + word, stop] if stop else [lead + word]
-        return [m for m, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        self.of_stop = {s: array("I", [t.id for t in self.library.model.tokenize(s)]).tobytes() for s in self.STOPS}
+        self.cache = PartCache(self._encode_parts, lambda text: [text], self.MOST_PARTS)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part as little-endian 32-bit numbers."""
-        if not self.simple:
-            return self._encode_whole(parts)
-        self.pieces.age()
-        young, old, tokenize, out = self.pieces.young, self.pieces.old, self.tokenize, []
+        """The ids of each part as little-endian 32-bit numbers.  A word before a stop is looked up, and remembered, by itself."""
+        blank, stops, split, tokenize = self.blank, self.STOPS, self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
+        of_stop, out = self.of_stop, []
         for part in parts:
-            ids = b""
-            for piece in self._split(part):
-                known = young.get(piece)
-                if known is None:
-                    known = old.get(piece)
-                    if known is None:
-                        known = array("I", [t.id for t in tokenize(piece)]).tobytes()
-                    young[piece] = known
-                ids += known
-            out.append(ids)
+            lead, body, known = (blank, part[1:], self.cache.later) if part[0] == " " else ("", part, self.cache.first)
+            stop = body[-1:] if body[-1:] in stops else ""
+            word = body[:-1] if stop else body
+            if not word.isalpha():
+                out.append(array("I", [t.id for m, _ in split(part) for t in tokenize(m)]).tobytes())
+                continue
+            ids = (known.young.get(word) or known.old.get(word)) if stop else None
+            if ids is None:
+                piece = lead + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(BYTES))
+                ids = array("I", [t.id for t in tokenize(piece)]).tobytes()
+                if stop and len(word) < LONGEST_KEPT:
+                    known.young[word] = ids
+            out.append(ids + of_stop[stop] if stop else ids)
         return out
 
-    def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    #: Characters of text whose parts are looked up together.
+    PORTION = 1 << 20
+
+    def _encode_whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, end to end; and where each text's ids end."""
+        end, streams = array("I", [end_id]).tobytes(), []
+        sizes = np.cumsum([len(t) for t in texts])
+        for group in np.split(np.array(texts, object), np.flatnonzero(np.diff(sizes // self.PORTION)) + 1):
+            # the library looks for special tokens before it splits
+            apart = [not self.simple or any(s in t for s in self.special) for t in group]
+            with collector_paused():
+                known = iter(self.cache.encode_all([t for t, alone in zip(group, apart) if not alone]))
+            streams += [(self._encode_whole(t) if alone else next(known)) + end for t, alone in zip(group, apart)]
+        return np.frombuffer(b"".join(streams), np.uint32), np.cumsum([len(x) // 4 for x in streams], dtype=np.int64)
 
     def encode(self, text: str, end_id: int) -> np.ndarray:
-        end = array("I", [end_id]).tobytes()
-        whole = any(s in text for s in self.special)  # the library looks for these before it splits
-        parts = self._encode_whole([text]) if whole else self.cache.encode(text)
-        return np.frombuffer(b"".join([*parts, end]), np.uint32)
+        return self.encode_batch([text], end_id)[0]
 
 
 _of_this_worker: dict[str, LibraryEncoder] = {}
@@ -179,13 +196,13 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str =
         sent: set[bytes] = set()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [])
-            for text in texts_of(batch.column(1)):
-                ids = encoder.encode(text, end_id)
+            every, ends = encoder.encode_batch(texts_of(batch.column(1)), end_id)
+            for ids in np.split(every, ends[:-1]):
                 recipe, chunks, start = [], [], 0
                 for end in cut_points(ids, params):
                     part = ids[start:end]
                     width, data = pack(part)
-                    digest = hashlib.blake2b(data, digest_size=16, person=bytes([width])).digest()
+                    digest = chunk_digest(width, data)
                     recipe.append({"digest": digest, "n": end - start, "tail": len(ids) - end})
                     if digest not in sent:
                         if len(sent) > 500_000:
@@ -220,24 +237,37 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     encoded = spark.read.parquet(encoded_path)
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.*").dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-encoded.count() // SEGMENT))
     recipes = encoded.select(key, "n_tokens", "root", "recipe")
     ordered = recipes.repartitionByRange(parts, F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key), "root")
-    (
-        ordered.withColumn("seg", F.spark_partition_id())
-        .withColumn("row", F.monotonically_increasing_id())
-        .write.parquet(f"{folder}/recipes")
-    )
-    stored = spark.read.parquet(f"{folder}/recipes")
-    manifest = stored.groupBy("seg").agg(
-        F.min(key).alias("first_doc"), F.max(key).alias("last_doc"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.hex("root").alias("root")))), lambda r: r["root"]), ""), 256).alias("root"),
-    )
-    manifest.write.parquet(f"{folder}/manifest")
+    numbered = ordered.withColumn("seg", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered.write.parquet(f"{folder}/recipes")
+    tree(spark.read.parquet(f"{folder}/recipes"), key).write.parquet(f"{folder}/manifest")
     delete_path(spark, encoded_path)
     return folder
 
 
+def tree(recipes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows (level, seg, at, documents, ids, root) of the Merkle tree over recipes in order; at most ``FAN`` rows meet in a group."""
+    spark = recipes.sparkSession
+    folder = scratch_path(spark, "merkle")
+    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.hex(F.col(key).cast("string").cast("binary")), F.lit("null")), "row", "n_tokens", F.hex("root")).cast("binary"), 256)
+    nodes = recipes.select("seg", F.col("row").alias("at"), F.lit(1).cast("bigint").alias("documents"), F.col("n_tokens").alias("ids"), leaf.alias("root"))
+    levels: list[DataFrame] = []
+    while True:
+        up = nodes.withColumn("to", F.floor(F.col("at") / FAN)).groupBy("seg", "to").agg(
+            F.sum("documents").alias("documents"),
+            F.sum("ids").alias("ids"),
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda r: r["root"]), "").cast("binary"), 256).alias("root"),
+        )
+        up = written(up.select("seg", F.col("to").alias("at"), "documents", "ids", "root"), f"{folder}/{len(levels)}")
+        levels.append(up.select(F.lit(len(levels)).alias("level"), "*"))
+        far, last = up.agg(F.max("at"), F.max("seg")).first()
+        if not far and not last:
+            return reduce(DataFrame.unionByName, levels)
+        nodes = up if far else up.select(F.lit(0).alias("seg"), F.col("seg").cast("bigint").alias("at"), "documents", "ids", "root")
+
+
 # --- CRC-32 of concatenations -------------------------------------------------------------------------------------------
 
 
@@ -291,7 +321,7 @@ def checked_chunks(spark: SparkSession, folder: str) -> DataFrame:
             crcs = []
             for digest, n, width, data in zip(*[batch.column(c).to_pylist() for c in ("digest", "n", "width", "data")]):
                 ids = unpack(width, data)
-                if hashlib.blake2b(data, digest_size=16, person=bytes([width])).digest() != digest or len(ids) != n:
+                if chunk_digest(width, data) != digest or len(ids) != n:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(crcs, pa.int64())], ["digest", "crc"])
@@ -300,7 +330,7 @@ def checked_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def checked_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct recipes (root, recipe); a recipe that differs from its Merkle root raises."""
+    """Distinct recipes (root, recipe); any recipe that differs from its Merkle root raises."""
 
     def run(batches):
         for batch in batches:
@@ -309,11 +339,22 @@ def checked_recipes(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError(f"recipe {root.hex()} is damaged")
             yield batch
 
-    return map_rows(spark.read.parquet(f"{folder}/recipes").select("root", "recipe").dropDuplicates(["root"]), run, f"root binary, recipe {RECIPE}")
+    return map_rows(spark.read.parquet(f"{folder}/recipes").select("root", "recipe"), run, f"root binary, recipe {RECIPE}").dropDuplicates(["root"])
+
+
+def check_manifest(spark: SparkSession, folder: str, key: str = "doc_id") -> None:
+    """Raises where the tree over the recipes differs from the manifest."""
+    names = ["level", "seg", "at", "documents", "ids", "root"]
+    now = tree(spark.read.parquet(f"{folder}/recipes"), key).select(*names)
+    stored = spark.read.parquet(f"{folder}/manifest").select(*names)
+    odd = now.withColumn("n", F.lit(1)).unionByName(stored.withColumn("n", F.lit(-1))).groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0")
+    if bad := odd.orderBy("level", "seg", "at").first():
+        raise ValueError(f"the recipes differ from the manifest: level {bad['level']}, segment {bad['seg']}, node {bad['at']}")
 
 
 def document_facts(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """Per document from the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
+    check_manifest(spark, folder, key)
     used = checked_recipes(spark, folder).select("root", F.explode("recipe").alias("c")).select("root", "c.digest", "c.n", "c.tail")
     parts = used.join(checked_chunks(spark, folder), "digest").select("root", "n", "tail", "crc")
 
@@ -323,12 +364,12 @@ def document_facts(spark: SparkSession, folder: str, key: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("n"), pa.array(moved.astype(np.int64))], ["root", "n", "crc"])
 
     whole = map_rows(parts, shift, "root binary, n int, crc long").groupBy("root").agg(F.sum("n").alias("found"), F.bit_xor("crc").alias("ids_crc32"))
+    # in a table of its own, so that tasks with one frequent root can be split
+    whole = written(whole, scratch_path(spark, "id-store-crc"))
     recipes = spark.read.parquet(f"{folder}/recipes").select("seg", key, "row", "n_tokens", "root")
     # one row per segment (a partition count, not data) is ordered in one task
-    before = (
-        spark.read.parquet(f"{folder}/manifest")
-        .select("seg", F.coalesce(F.sum("ids").over(W.orderBy("seg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    )
+    sizes = spark.read.parquet(f"{folder}/manifest").where("level = 0").groupBy("seg").agg(F.sum("ids").alias("ids"))
+    before = sizes.select("seg", F.coalesce(F.sum("ids").over(W.orderBy("seg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = F.sum("n_tokens").over(W.partitionBy("seg").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     started = recipes.join(F.broadcast(before), "seg").withColumn("start", F.col("base") + F.coalesce(within, F.lit(0)))
     joined = started.join(whole, "root", "left")
@@ -337,18 +378,27 @@ def document_facts(spark: SparkSession, folder: str, key: str = "doc_id") -> Dat
 
 
 def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """Whole id streams: (key, row, ids).  A document's ids are gathered in one row, bounded by its own length."""
+    """Whole id streams: (key, seg, row, ids).  A document's ids are gathered in one row, bounded by its own length; damage raises."""
+    check_manifest(spark, folder, key)
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "width", "data")
-    parts = spark.read.parquet(f"{folder}/recipes").select(key, "row", F.explode("recipe").alias("c")).select(key, "row", "c.digest", "c.tail")
-    gathered = parts.join(chunks, "digest").groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct((-F.col("tail")).alias("at"), "width", "data"))).alias("parts"))
+    parts = spark.read.parquet(f"{folder}/recipes").select(key, "seg", "row", "root", F.explode_outer("recipe").alias("c")).select(key, "seg", "row", "root", "c.digest", "c.tail")
+    gathered = parts.join(chunks, "digest", "left").groupBy(key, "seg", "row", "root").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("tail")).alias("at"), "digest", "width", "data"))).alias("parts")
+    )
     kind = gathered.schema[0].dataType.simpleString()
 
     def join(batches):
         for batch in batches:
-            ids = [[int(i) for p in parts for i in unpack(p["width"], p["data"])] for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], [key, "row", "ids"])
-
-    return map_rows(gathered, join, f"{key} {kind}, row long, ids array<long>")
+            whole = []
+            for root, parts in zip(batch.column("root").to_pylist(), batch.column("parts").to_pylist()):
+                if any(p["data"] is None or chunk_digest(p["width"], p["data"]) != p["digest"] for p in parts) or merkle_root([p["digest"] for p in parts]) != root:
+                    raise ValueError(f"the ids of recipe {root.hex()} are damaged")
+                whole.append(np.concatenate([unpack(p["width"], p["data"]) for p in parts]).astype(np.int64))
+            lengths = np.cumsum([0, *map(len, whole)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(whole) if whole else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), ids], [key, "seg", "row", "ids"])
+
+    return map_rows(gathered, join, f"{key} {kind}, seg int, row long, ids array<long>")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id") -> DataFrame:

@@ -157,6 +157,44 @@ def test_damage_is_found(spark, docs, tmp_path):
         store.document_facts(spark, folder).collect()
 
 
+def test_lost_or_altered_recipes_are_found(spark, docs, tmp_path, monkeypatch):
+    """A removed, reordered or altered recipe and a damaged manifest raise; so do lost chunks; the tree may have many levels."""
+    import shutil
+
+    monkeypatch.setattr(store, "FAN", 3)
+    whole = store.write_store(docs, TOKENIZER, 2, f"file://{tmp_path}/w")
+    assert store.document_facts(spark, whole).count() == docs.count()
+    manifest = spark.read.parquet(f"{whole}/manifest")
+    assert manifest.where("level = 0").count() >= 8 and manifest.agg(F.max("level")).first()[0] >= 2
+    top = manifest.orderBy(F.desc("level")).first()
+    assert manifest.where(f"level = {top.level}").count() == 1 and top.documents == docs.count()
+
+    def damaged(table, change):
+        folder = tmp_path / "x"
+        shutil.rmtree(folder, ignore_errors=True)
+        shutil.copytree(tmp_path / "w", folder)
+        change(spark.read.parquet(f"file://{tmp_path}/w/{table}")).write.mode("overwrite").parquet(f"file://{folder}/{table}")
+        return f"file://{folder}"
+
+    one = spark.read.parquet(f"{whole}/recipes").orderBy("doc_id").first()
+    here = (F.col("seg") == one.seg) & (F.col("row") == one.row)
+    changes = [
+        ("recipes", lambda df: df.where(~here)),
+        ("recipes", lambda df: df.withColumn("row", F.when(F.col("row") < 2, 1 - F.col("row")).otherwise(F.col("row")))),
+        ("recipes", lambda df: df.withColumn("recipe", F.when(here, F.slice("recipe", 1, 0)).otherwise(F.col("recipe")))),
+        ("recipes", lambda df: df.withColumn("n_tokens", F.when(here, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))),
+        ("manifest", lambda df: df.withColumn("root", F.when(F.col("level") == 1, F.reverse("root")).otherwise(F.col("root")))),
+        ("manifest", lambda df: df.where("level > 0")),
+        ("chunks", lambda df: df.limit(df.count() - 1)),
+    ]
+    for table, change in changes:
+        bad = damaged(table, change)
+        with pytest.raises(Exception, match="damaged|differ from the manifest|lost chunks"):
+            store.document_facts(spark, bad).collect()
+        with pytest.raises(Exception, match="damaged|differ from the manifest"):
+            store.read_ids(spark, bad).collect()
+
+
 def test_cuts_follow_content():
     draw = np.random.default_rng(3)
     ids = draw.integers(0, 50000, 5000).astype(np.uint32)
