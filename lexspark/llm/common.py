@@ -18,6 +18,10 @@ BATCH_ROWS = 10_000
 BATCH_BYTES = "8m"
 
 
+#: A table of a few numbers a row is broadcast up to this count, which is looked up; beyond it, it is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,30 +103,36 @@ def one_label_per_document(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def balanced_sample(df: DataFrame, by: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """At most about ``per_class`` rows of each value of ``by``, and never more than ``per_class * max_classes`` in all.
+def balanced_hashes(hashed: DataFrame, by: str, per_class: int) -> DataFrame:
+    """Rows (``by``, _h): the first ``per_class`` distinct hashes of each value of ``by``, in a fixed order that is like a random one."""
+    distinct = hashed.where(F.col(by).isNotNull()).select(by, "_h").distinct()
+    counts = distinct.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    mixed = F.xxhash64(F.lit(1), "_h")
+    unit = F.pmod(mixed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = distinct.join(counts, by).withColumn("_unit", unit).where(F.col("_unit") * F.col("_n") < 2 * per_class + 100)
+    rank = F.row_number().over(W.partitionBy(by).orderBy("_unit", "_h"))
+    return some.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select(by, "_h")
+
+
+def balanced_sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
+    """Rows (``by``, text): of each value of ``by``, ``per_class`` distinct texts, or all if there are fewer; each text once.
 
-    The choice is a threshold on a hash of the row, scaled by the class's count: no sort of a hot class in one task.
-    Classes beyond the ``max_classes`` most frequent ones are left out of the sample (not out of any result).
+    Texts are chosen by the order of their hashes, so copies count once and neither crowd out nor swell a sample.  Hashes are made
+    distinct before they are counted, a threshold scaled by the class's count leaves some two times as many as wanted, and only
+    those are ranked; texts move for the chosen hashes alone.  Every class has its sample, however many there are.
     """
-    rows = df.where(F.col(by).isNotNull()).withColumn("_h", F.xxhash64(*[F.col(c) for c in df.columns]))
-    counts = (
-        rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), F.asc(by)).limit(max_classes)
-    ).collect()
-    if not counts:
-        return rows.drop("_h").limit(0)
-    share = F.lit(None).cast("double")
-    for row in counts:
-        share = F.when(F.col(by) == F.lit(row[0]), F.lit(min(1.0, per_class / row[1]))).otherwise(share)
-    unit = F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(unit < share).drop("_h")
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_labels: int = 2) -> DataFrame:
-    """Rows (text, _label) of a bounded, balanced sample: keys are sampled first, so that only the sample's texts are moved."""
-    keys = docs.select("doc_id").join(one_label_per_document(labels, label), "doc_id").distinct()
-    chosen = balanced_sample(keys, "_label", per_label, max_labels)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_label")
+    named = rows.select(by, "text", F.xxhash64("text").alias("_h"))
+    chosen = written(balanced_hashes(named.select(by, "_h"), by, per_class), scratch_path(rows.sparkSession, "sample"))
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    return named.join(small, [by, "_h"]).groupBy(by, "_h").agg(F.max("text").alias("text")).select(by, "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """Rows (text, _label) of a bounded, balanced sample of distinct texts; only the sample's texts are moved."""
+    one = one_label_per_document(labels, label)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_h")).join(one, "doc_id").select("_label", "_h")
+    chosen = balanced_hashes(hashed, "_label", per_label)
+    return docs.select("text", F.xxhash64("text").alias("_h")).join(F.broadcast(chosen), "_h").groupBy("_label", "_h").agg(F.max("text").alias("text")).select("text", "_label")
 
 
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,7 +5,8 @@ centroids (spherical k-means on a bounded sample of its labelled texts); a text
 largest cosine, and is *rejected* where that cosine is under the language's own distance bound.
 
 Defined results: null text or a text without any letter gives ``und`` with score 0; an empty table gives no rows; rows with
-null language teach nothing; without any labelled row all texts are ``und``.  Extra columns are ignored.
+null language teach nothing; without any labelled row all texts are ``und``.  Repeated rows get the same result each and count once
+in the sample, as equal texts do; very long texts are read whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ class LanguageParams:
     buckets: int = 8192  #: hashed n-grams
     centroids: int = 4  #: clusters per language
     sample_per_language: int = 600  #: bound of the labelled rows that are fitted on, per language
-    max_languages: int = 256
     rounds: int = 12  #: of k-means
     reject_quantile: float = 0.001  #: training cosines under this quantile set a language's rejection bound
     reject_slack: float = 0.5  #: the bound is this share of the quantile
@@ -106,7 +106,7 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit_language(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Fit on a bounded sample of (text, lang) rows; n-gram counts are made on the executors, clusters on the driver."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    sample = balanced_sample(rows, "lang", params.sample_per_language, params.max_languages)
+    sample = balanced_sample(rows, "lang", params.sample_per_language).select("text", "lang")
     buckets = params.buckets
 
     def features(batches):
@@ -122,19 +122,21 @@ def fit_language(labelled: DataFrame, params: LanguageParams = LanguageParams())
     collected = map_rows(sample, features, "lang string, terms binary").collect()
     collected.sort(key=lambda r: (r["lang"], bytes(r["terms"])))
     languages = sorted({r["lang"] for r in collected})
-    counts = np.zeros((len(collected), buckets), np.float32)
-    for i, r in enumerate(collected):
+    sparse: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {language: [] for language in languages}
+    seen = np.zeros(buckets, np.int64)
+    for r in collected:
         half = len(r["terms"]) // 2
-        counts[i, np.frombuffer(r["terms"], np.uint32, half // 4)] = np.frombuffer(r["terms"], np.float32, offset=half)
-    seen = (counts > 0).sum(axis=0)
+        at, value = np.frombuffer(r["terms"], np.uint32, half // 4), np.frombuffer(r["terms"], np.float32, offset=half)
+        sparse[r["lang"]].append((at, value))
+        seen[at] += 1
     idf = np.log((1 + len(collected)) / (1 + seen)).astype(np.float32) + np.float32(0.05)
-    vectors = np.log1p(counts) * idf
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors /= np.where(norms > 0, norms, 1)
     centres, owner, bound = [], [], []
-    names = np.array([r["lang"] for r in collected])
-    for j, language in enumerate(languages):
-        own = vectors[(names == language) & (norms[:, 0] > 0)]
+    for j, language in enumerate(languages):  # one language's sample is dense at a time
+        own = np.zeros((len(sparse[language]), buckets), np.float32)
+        for i, (at, value) in enumerate(sparse[language]):
+            own[i, at] = np.log1p(value) * idf[at]
+        norms = np.linalg.norm(own, axis=1, keepdims=True)
+        own = (own / np.where(norms > 0, norms, 1))[norms[:, 0] > 0]
         if not len(own):
             own = np.zeros((1, buckets), np.float32)
         centre = spherical_kmeans(own, params.centroids, params.rounds)

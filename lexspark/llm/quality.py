@@ -6,7 +6,9 @@ a randomised SVD; the labelled latent vectors (bounded) are broadcast, every tex
 labelled vectors are computed block by block, and the labels of the ``neighbours`` nearest ones vote with their similarity.
 
 Defined results: null and empty texts have no terms and get the sample's prior as score; an empty table gives no rows; without
-any labelled row the prior is 0.5.  Ties between neighbours go to the smaller position in the (sorted) sample.
+any labelled row the prior is 0.5.  Ties between neighbours go to the smaller position in the (sorted) sample.  Repeated rows get
+the same score each and count once in the sample, as equal texts do; very long texts are read whole, in memory for one text of
+some eight times its size; columns of any name are carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -159,20 +161,27 @@ def vote(rows: np.ndarray, model: QualityModel) -> np.ndarray:
     if not len(model.labels):
         return np.full(len(rows), model.prior)
     cosines = rows @ model.vectors.T
-    k = min(model.params.neighbours, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.clip(np.take_along_axis(cosines, near, axis=1), 0, None).astype(np.float64) ** 4
+    count = cosines.shape[1]
+    k = min(model.params.neighbours, count)
+    least = np.partition(cosines, count - k, axis=1)[:, count - k : count - k + 1]
+    above, tied = cosines > least, cosines == least
+    room = k - above.sum(axis=1, keepdims=True)
+    near = above | (tied & (np.cumsum(tied, axis=1) <= room))
+    weight = np.where(near, np.clip(cosines, 0, None), 0).astype(np.float64) ** 4
     total = weight.sum(axis=1)
-    share = (weight * model.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
+    share = weight @ model.labels / np.where(total > 0, total, 1)
     return np.where(total > 0, share, model.prior)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (score >= 0.5) to the columns ``keep`` (default: doc_id) of every document."""
+def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score (0 to 1) and whether it is 0.5 at least, under the names ``into``, to the columns ``keep`` (default: doc_id)."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
+    clash = set(into) & {f.name for f in fields}
+    if clash:
+        raise ValueError(f"columns to keep clash with the results: {sorted(clash)}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{into[0]}` double, `{into[1]}` int"
     has_text = "text" in keep
 
     def predict(batches):
@@ -185,7 +194,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
                 score = np.clip(vote(latent(counts, m.weight, m.projection), m), 0, 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                    [*keep, "score", "predicted"],
+                    [*keep, *into],
                 )
 
     return map_rows(docs.select(*keep, *([] if has_text else ["text"])), predict, schema)

@@ -7,7 +7,8 @@ replaced inside words, everything else than letters to one blank.  The lexicon i
 exception phrase does not count.  The sum of weights is normalised by the text's length and calibrated to a probability.
 
 Defined results: null, empty and letterless texts have no match and get the smallest score; an empty table gives no rows; with
-no labelled rows the lexicon is empty and every score is 0.  Extra columns are ignored.
+no labelled rows the lexicon is empty and every score is 0.  Repeated rows get the same score each and count once in the sample,
+as equal texts do; very long texts are matched whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,6 @@ def fold(text: str) -> str:
 @dataclass(frozen=True)
 class ToxicityParams:
     sample_per_label: int = 6000  #: bound of the labelled rows that are learned from, per label
-    max_terms: int = 5000  #: bound of the lexicon
     min_documents: int = 4  #: toxic documents that a term must be found in
     min_log_odds: float = 2.5
     min_evidence: float = 20.0  #: likelihood ratio of a term against chance; rare terms are otherwise pure by luck
@@ -88,7 +88,7 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Bounded by ``max_terms``.  ``lexicon`` maps a folded pattern with a leading blank to its weight."""
+    """Bounded by the sample: a term needs ``min_documents`` of its toxic texts.  ``lexicon`` maps a folded pattern with a leading blank to its weight."""
 
     lexicon: dict[str, float]
     exceptions: tuple[str, ...]
@@ -169,8 +169,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", param
         summed.where((F.col("term") != "") & (F.col("toxic") >= params.min_documents))
         .withColumn("odds", odds)
         .where((F.col("odds") >= params.min_log_odds) & (evidence >= params.min_evidence))
-        .orderBy(F.desc("toxic"), F.desc("odds"), "term")
-        .limit(params.max_terms)
         .collect()
     )
     lexicon = choose_terms({r["term"]: (r["toxic"], r["clean"], r["odds"]) for r in found}, stems)

@@ -626,3 +626,99 @@ def test_words_of_bytes_equal_words_of_characters():
     assert len(by_hash) == len({u for own in units for u in own})
     long = np.frombuffer(("x" * 20_000 + " " + "x" * 19_999 + "y").encode(), np.uint8)
     assert len(set(wordscan.words_of(long, np.array([0, len(long)])).hashes.tolist())) == 2
+
+
+# --- samples -------------------------------------------------------------------------------------------------------------------
+
+
+def test_samples_are_bounded_and_filled_in_spite_of_copies(spark):
+    from lexspark.llm.common import balanced_sample, labelled_sample
+
+    texts = [("aa", "copy")] * 20_000 + [("aa", f"other {i}") for i in range(50)] + [("bb", "copy")] * 300 + [(None, "x"), ("cc", None)]
+    texts += [(f"l{i}", f"text {i} {j}") for i in range(300) for j in range(2)]
+    frame = spark.createDataFrame(texts, "lang string, text string").repartition(4)
+    found = balanced_sample(frame, "lang", 40).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d"), F.max("text").alias("t")).collect()
+    n = {r.lang: r.n for r in found}
+    assert n["aa"] == 40 and n["bb"] == 1 and n["cc"] == 1 and len(n) == 303 and all(r.n == r.d for r in found if r.lang != "cc")
+    assert {r.t for r in found if r.lang == "bb"} == {"copy"} and all(n[f"l{i}"] == 2 for i in range(300))
+    docs = spark.createDataFrame([(7, f"t {i}") for i in range(5000)] + [(i, "same") for i in range(100, 900)] + [(8, "u"), (9, "v"), (10, "w")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0), (10, 0)] + [(i, 1) for i in range(100, 900)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 2).collect()
+    assert sorted(r._label for r in rows) == [0, 0, 1, 1] and len({r.text for r in rows}) == 4
+
+
+def test_tied_neighbours_are_taken_in_order():
+    same = np.tile(np.array([[1.0, 0.0]], np.float32), (4000, 1))
+    labels = np.zeros(4000, np.float32)
+    labels[:25] = 1
+    model = quality.QualityModel(np.zeros(0), np.zeros(0), np.zeros((0, 2)), same, labels, 0.5, quality.QualityParams())
+    assert quality.vote(same[:3], model).tolist() == [1, 1, 1]
+
+
+def test_toxic_matching_equals_a_naive_scan():
+    draw = random.Random(41)
+    pool = words(draw, 60)
+    lexicon = {f" {w[: draw.randrange(3, 7)]}": float(i + 1) for i, w in enumerate(pool[:12])} | {f" {w} ": 0.5 + i for i, w in enumerate(pool[12:20])}
+    model = toxicity.ToxicityModel(lexicon, (f"{pool[0]} {pool[30]}", f"{pool[31]} {pool[13]}"))
+    machine = toxicity.automaton(model)
+    shields = [toxicity.fold(p)[:-1] for p in model.exceptions]
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(draw.choices(pool, k=40)))
+        covered = {q for p in shields for s in range(len(folded)) if folded.startswith(p, s) for q in range(s, s + len(p))}
+        best = {}
+        for s in range(len(folded)):
+            hits = [(len(p), w) for p, w in lexicon.items() if folded.startswith(p, s)]
+            if hits and s not in covered:
+                best[s] = max(hits)[1]
+        total, n = toxicity.weight_of(folded, machine)
+        assert n == len(best) and total == pytest.approx(sum(best.values()))
+
+
+# --- near-duplicates by similarity -----------------------------------------------------------------------------------------------
+
+
+def jaccard(a, b, n=5):
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_found(spark):
+    draw = random.Random(51)
+    data, pairs, base = [], [], [" ".join(words(draw, draw.choice([60, 150, 400, 1500]))) for _ in range(150)]
+    passage = " ".join(words(draw, 15))
+    for i, text in enumerate(base):
+        w = text.split()
+        for _ in range(max(1, round(len(w) * draw.choice([0.005, 0.01, 0.02])))):
+            w[draw.randrange(len(w))] = draw.choice(words(draw, 1))
+        data += [(i, text), (1000 + i, " ".join(w))]
+        pairs.append((i, jaccard(text, " ".join(w))))
+    data += [(2000 + i, " ".join([*words(draw, 30), passage, *words(draw, 30)])) for i in range(300)]  # a shared passage is no near copy
+    data += [(3000, None), (3001, ""), (3002, " \n"), (3003, "one two"), (3004, "one two"), (None, base[0]), (3005, "x" * 100_000)]
+    frame = spark.createDataFrame([(*d, 1, "c") for d in data], "doc_id long, text string, fp int, component_id string").repartition(5)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame).collect()}
+    close = [(i, j) for i, j in pairs if j >= 0.8]
+    assert len(close) > 60 and sum(1000 + i not in kept for i, _ in close) >= 0.95 * len(close)
+    far = [i for i, j in pairs if j < 0.6]
+    assert all(1000 + i in kept for i in far) and set(range(150)) | set(range(2000, 2300)) <= kept
+    assert kept & {3000, 3001, 3002} == {3000} and kept & {3003, 3004} == {3003} and None not in kept and 3005 in kept
+    assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0 and simhash.SimilarityParams().found > 0.999
+
+
+def test_hot_buckets_of_wide_fingerprints_lose_nothing(spark):
+    draw = random.Random(52)
+    base = draw.getrandbits(256)
+    prints = sorted({base ^ sum(1 << b for b in draw.sample(range(256), draw.randrange(12))) for _ in range(200)} | {draw.getrandbits(256) for _ in range(50)})
+    frame = spark.createDataFrame([(0, 5, p.to_bytes(32, "little")) for p in prints], "table int, bucket long, fp binary")
+    from lexspark.llm.graph import components
+
+    label = brute_components([(p, p) for p in prints], radius=9)
+    for block in (16, 4096):
+        root = {int.from_bytes(r["node"], "little"): r["root"] for r in components(simhash.links_in_buckets(frame, 9, block, 256)).collect()}
+        groups = {}
+        for p in prints:
+            groups.setdefault(label[p], set()).add(bytes(root.get(p, p.to_bytes(32, "little"))))
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
