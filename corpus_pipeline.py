@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, decontamination, linededup, quality, simhash
-from lexspark.llm.common import held_out, scratch_path, table, written
+from lexspark.llm.common import fresh, held_out, scratch_path, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote scores under 0.5 go.  Learned from the labelled rows outside the held-out fold."""
     model = quality.fit_quality(docs.where(~held_out(3, 1)), table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, docs.columns)
-    return scored.where(F.col("predicted") == 1).select(docs.columns)
+    score, good = fresh(docs, "score"), fresh(docs, "predicted")
+    scored = quality.score_quality(docs, model, docs.columns, (score, good))
+    return scored.where(F.col(good) == 1).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
