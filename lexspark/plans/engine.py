@@ -23,6 +23,7 @@ from ..functions.split import pre_tokenize, pre_tokenize_aligned, whole
 from ..operators import added, encoding
 from ..operators.models import evaluator
 from . import config
+from .rows import row_decoder, row_encoder
 from .ship import ship
 
 TOKENS = T.StructType(
@@ -41,15 +42,15 @@ MOST_WORDS = 300_000
 class Made:
     """Goes to the executors as the engine; its tokenizer is made there, once per task."""
 
-    def __init__(self, engine: "Engine"):
-        self.engine, self.run = engine, None
+    def __init__(self, engine: "Engine", make=None):
+        self.engine, self.make, self.run = engine, make, None
 
     def __getstate__(self):
-        return {"engine": self.engine, "run": None}
+        return {"engine": self.engine, "make": self.make, "run": None}
 
     def tokenizer(self):
         if self.run is None:
-            self.run = self.engine.tokenizer()
+            self.run = self.engine.tokenizer() if self.make is None else self.make(self.engine)
         return self.run
 
 
@@ -187,6 +188,28 @@ class Engine:
         parts = F.transform(F.concat(F.array(main), F.col(into)["overflowing"]), lambda p: encoding.pad(p, self.plan.padding, F.lit(most)))
         return bare.withColumn(into, F.when(F.col(into).isNotNull(), encoding.with_overflow(parts)))
 
+    def token_counts(self, df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+        """Rows (*by, token, id, n): how often each token of the model stands in the texts of a group.
+
+        Words are split by expressions and counted before any shuffle; only distinct words go to the model.
+        """
+        pieces = df.select(*by, F.explode(self.pieces(F.col(text))).alias("_p")).select(*by, F.col("_p.text").alias("_word"), F.col("_p.token_id").alias("_id"))
+        counted = pieces.groupBy(*by, "_word", "_id").agg(F.count(F.lit(1)).alias("_n"))
+        ship()
+        model = Made(self, _model_of)
+        names = Made(self, _names_of)
+
+        @F.pandas_udf("array<struct<id:int,token:string>>")
+        def tokenize(words: pd.Series, ids: pd.Series) -> pd.Series:
+            run, name = model.tokenizer(), names.tokenizer()
+            return pd.Series([[{"id": i, "token": t} for i, t, _, _ in run(w)] if g != g or g is None else [{"id": int(g), "token": name[int(g)]}] for w, g in zip(words, ids)], dtype=object)
+
+        distinct = counted.select("_word", "_id").distinct() if by else counted
+        made = distinct.withColumn("_t", tokenize(F.col("_word"), F.col("_id")))
+        if by:
+            made = counted.join(made, (counted["_word"] == made["_word"]) & counted["_id"].eqNullSafe(made["_id"])).select(*by, "_n", "_t")
+        return made.select(*by, "_n", F.explode("_t").alias("_t")).groupBy(*by, F.col("_t.token").alias("token"), F.col("_t.id").alias("id")).agg(F.sum("_n").alias("n"))
+
     def id_tokens(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         """The token strings of an array of ids; an id without a token raises.
 
@@ -207,18 +230,21 @@ class Engine:
     # --- SQL --------------------------------------------------------------------------------------------------------------
 
     def register(self, spark: SparkSession, encode: str = "encode_ids", decode: str = "decode_ids", table: str = "tokenize") -> None:
-        """SQL functions ``encode_ids(text)`` and ``decode_ids(ids)``, and a table function ``tokenize(text)``."""
+        """SQL functions ``encode_ids(text[, add_special_tokens])`` (no special tokens where the flag is left out) and
+        ``decode_ids(ids[, skip_special_tokens])`` (they are skipped where it is), and a table function ``tokenize(text)`` of the
+        tokens before truncation and post-processing.  Null gives null."""
         ship(spark)
-        made = Made(self)
-        names = {i: t for t, i in self.vocab.items()} | self.added.by_id
+        made, encoder, decoder = Made(self), Made(self, row_encoder), Made(self, row_decoder)
 
         @F.pandas_udf("array<int>")
-        def encode_ids(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: made.tokenizer()(t)[0], na_action="ignore")
+        def encode_ids(texts: pd.Series, *flags: pd.Series) -> pd.Series:
+            run, flag = encoder.tokenizer(), _flags(texts, flags, False)
+            return pd.Series([None if t is None else run(t, f) for t, f in zip(texts, flag)], dtype=object)
 
         @F.pandas_udf("string")
-        def decode_ids(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda r: " ".join(names[int(i)] for i in r), na_action="ignore")
+        def decode_ids(rows: pd.Series, *flags: pd.Series) -> pd.Series:
+            run, flag = decoder.tokenizer(), _flags(rows, flags, True)
+            return pd.Series([None if r is None else run(r, f) for r, f in zip(rows, flag)], dtype=object)
 
         class Tokenize:
             def eval(self, text: str):
@@ -231,6 +257,19 @@ class Engine:
         spark.udtf.register(table, F.udtf(Tokenize, returnType="pos int, id int, token string, word int, start int, end int"))
 
 
+def _model_of(engine: Engine):
+    return evaluator(engine.plan.model, engine.merge_priority)
+
+
+def _names_of(engine: Engine) -> dict[int, str]:
+    return engine.added.by_id
+
+
+def _flags(rows: pd.Series, given: tuple[pd.Series, ...], default: bool) -> list[bool]:
+    """The optional flag of an SQL function: the default where it is left out or null."""
+    return [default] * len(rows) if not given else [default if f is None or f != f else bool(f) for f in given[0]]
+
+
 def _one(part: config.Part):
     return lambda text: apply_one(text, part)
 

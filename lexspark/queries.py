@@ -17,6 +17,7 @@ from .plans.config import AddedToken, Truncation
 from .plans.engine import Engine
 from .plans.ship import ship
 from .sources.config_file import checked_utf8
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def _quoted(text: str) -> str:
@@ -71,10 +72,12 @@ PIECES_SQL = (
     r"regexp_extract_all(regexp_replace(text, '(\s)(\S)', chr(57344) || '\1\2', 'g'), "
     r"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x{E000}]+|\s+')"
 )
-MERGED_SQL = r"regexp_replace(mapped, '(.)', '<\1>', 'g')"
+#: Marks around tokens: private-use characters, which no byte is mapped to.
+_L, _R = "\ue100", "\ue101"
+MERGED_SQL = rf"regexp_replace(mapped, '(.)', '{_L}\1{_R}', 'g')"
 for _a, _b in fixtures.MERGES:
-    MERGED_SQL = f"replace({MERGED_SQL}, '<{_a}><{_b}>', '<{_a}{_b}>')"
-#: CTEs: g(key, k, piece) and m(piece, mapped, tokens).  Pieces with the delimiters themselves are left to the other tests.
+    MERGED_SQL = f"replace({MERGED_SQL}, '{_L}{_a}{_R}{_L}{_b}{_R}', '{_L}{_a}{_b}{_R}')"
+#: CTEs: g(key, k, piece) and mp(piece, mapped).
 BYTE_WORDS_SQL = rf"""
 {BYTES_SQL},
 g AS (SELECT doc_id, unnest(range(0, len(ps))) AS k, unnest(ps) AS piece FROM (SELECT doc_id, {PIECES_SQL} AS ps FROM documents)),
@@ -109,8 +112,10 @@ _normalizer("n2c_drop_marks", normalize.drop_marks, "strip_accents(text)")
 _normalizer("n2d_lowercase", F.lower, "lower(text)")
 _normalizer("n3_nfc", lambda t: normalize.normal_form("NFC")(t), "nfc_normalize(text)")
 _normalizer("n4_nfd", lambda t: normalize.normal_form("NFD")(t), _decomposed_sql("NFD"))
-_normalizer("n5_nfkc", lambda t: normalize.normal_form("NFKC")(t), "nfc_normalize(text)")
-_normalizer("n6_nfkd", lambda t: normalize.normal_form("NFKD")(t), _decomposed_sql("NFKD"))
+#: The texts hold no compatibility character: a ligature, a circled digit, a half-width kana and a fraction stand before each.
+_COMPATIBILITY, _FOLDED = "ﬁ①ﾊ½ ", "fi1ハ1⁄2 "
+_normalizer("n5_nfkc", lambda t: normalize.normal_form("NFKC")(F.concat(F.lit(_COMPATIBILITY), t)), f"'{_FOLDED}' || nfc_normalize(text)")
+_normalizer("n6_nfkd", lambda t: normalize.normal_form("NFKD")(F.concat(F.lit(_COMPATIBILITY), t)), f"'{_FOLDED}' || ({_decomposed_sql('NFKD').split(' AS normalized')[0].split('SELECT doc_id, ')[1]})")
 _normalizer("n7_prepend", lambda t: normalize.prepend(t, "▁"), "CASE WHEN text = '' THEN text ELSE '▁' || text END")
 _normalizer("n8_replace", lambda t: normalize.replace(t, "tion", "<&>"), "replace(text, 'tion', '<&>')")
 _normalizer("n9_strip", lambda t: normalize.strip(F.concat(F.lit(" \t"), t, F.lit("\n "))), r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')")
@@ -230,14 +235,13 @@ def m2_wordpiece_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BPE_SQL = (
-    f"WITH {BYTE_WORDS_SQL}, r AS (SELECT DISTINCT mapped AS word, replace(trim({MERGED_SQL}, '<>'), '><', ' ') AS tokens FROM mp WHERE NOT regexp_matches(mapped, '[<>]')) "
+    f"WITH {BYTE_WORDS_SQL}, r AS (SELECT DISTINCT mapped AS word, replace(trim({MERGED_SQL}, '{_L}{_R}'), '{_R}{_L}', ' ') AS tokens FROM mp) "
     "SELECT word, tokens, len(string_split(tokens, ' '))::BIGINT AS n FROM r"
 )
 
 
 def _byte_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.explode(split.byte_level_words(F.col("text"))).alias("word"))
-    return words.where(~F.col("word").rlike("[<>]"))  # the SQL uses these as marks
+    return read(spark, sf_dir, "documents").select(F.explode(split.byte_level_words(F.col("text"))).alias("word"))
 
 
 @query(BPE_SQL)
@@ -309,11 +313,29 @@ def s4_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("special = 0").select("item_id", long("pos").alias("pos"), long("id").alias("id"), "token", long("word").alias("word"), long("start").alias("start"), long("end").alias("stop"))
 
 
-@query(rf"WITH RECURSIVE {wordpiece_sql('benchmark', 'item_id')} SELECT item_id, (count(*) + 2)::BIGINT AS n FROM tok GROUP BY item_id")
+def _decoded_sql() -> str:
+    sql = "CASE WHEN p = 1 THEN piece WHEN piece LIKE '##%' THEN substr(piece, 3) ELSE ' ' || piece END"
+    for old, new in decode.CLEANUP:
+        sql = f"replace({sql}, {_quoted(old)}, {_quoted(new)})"
+    return sql
+
+
+@query(
+    rf"""WITH RECURSIVE {wordpiece_sql('documents', 'doc_id')},
+kept AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS p FROM tok WHERE piece <> '[UNK]'),
+texts AS (SELECT doc_id, string_agg({_decoded_sql()}, '' ORDER BY p) AS decoded FROM kept GROUP BY doc_id),
+numbers AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY k, j) AS ids FROM tok GROUP BY doc_id)
+SELECT doc_id, md5('2,' || coalesce(ids || ',', '') || '3') AS ids_md5, md5(coalesce(ids, '')) AS bare_md5, md5(coalesce(decoded, '')) AS decoded_md5
+FROM documents LEFT JOIN texts USING (doc_id) LEFT JOIN numbers USING (doc_id)"""
+)
 def s9_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     Engine.from_json(fixtures.bert_small()).register(spark)
-    read(spark, sf_dir, "benchmark").createOrReplaceTempView("_lexspark_items")
-    return spark.sql("SELECT item_id, size(encode_ids(text)) + 2L AS n FROM _lexspark_items")
+    read(spark, sf_dir, "documents").createOrReplaceTempView("_lexspark_documents")
+    digest = lambda ids: f"md5(cast(array_join(cast({ids} AS array<string>), ',') AS binary))"
+    return spark.sql(
+        f"SELECT doc_id, {digest('encode_ids(text, true)')} AS ids_md5, {digest('encode_ids(text, false)')} AS bare_md5, "
+        "md5(cast(decode_ids(encode_ids(text, true)) AS binary)) AS decoded_md5 FROM _lexspark_documents"
+    )
 
 
 def _windows_sql(direction: str) -> str:
@@ -423,14 +445,9 @@ def d7_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- analytics over tokens ---------------------------------------------------------------------------------------------------
 
 
-def _tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine.from_json(fixtures.bert_small(post_processor=None))
-    return engine.encode(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
-
-
 @query(f"WITH RECURSIVE {wordpiece_sql('documents', 'doc_id')} SELECT piece AS token, count(*)::BIGINT AS n FROM tok GROUP BY piece")
 def t1_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens_of_documents(spark, sf_dir).select(F.explode("encoding.tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return Engine.from_json(fixtures.bert_small()).token_counts(read(spark, sf_dir, "documents").select("text")).select("token", "n")
 
 
 @query(
@@ -438,7 +455,11 @@ def t1_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT lang, source, count(*)::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_tokens, coalesce(sum(u), 0)::BIGINT AS n_unk FROM documents LEFT JOIN c USING (doc_id) GROUP BY lang, source"
 )
 def t2_tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens_of_documents(spark, sf_dir)
-    unknown = F.size(F.filter("encoding.ids", lambda i: i == 1)).cast("bigint")
-    counted = tokens.select("lang", "source", F.size("encoding.ids").cast("bigint").alias("n"), unknown.alias("u"))
-    return counted.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
+    docs, group = read(spark, sf_dir, "documents").select("lang", "source", "text"), ["lang", "source"]
+    tokens = Engine.from_json(fixtures.bert_small()).token_counts(docs, by=tuple(group))
+    unknown = F.sum(F.when(F.col("id") == 1, F.col("n")).otherwise(0))
+    summed = tokens.groupBy(*group).agg(F.sum("n").alias("n"), unknown.alias("u"))
+    counted = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
+    same = [counted[c].eqNullSafe(summed[c]) for c in group]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return counted.join(summed, same, "left").select(counted["lang"], counted["source"], "n_docs", zero("n").alias("n_tokens"), zero("u").alias("n_unk"))

@@ -343,3 +343,33 @@ def test_chained_post_processors_and_raw_added_tokens(spark):
     assert [tuple(o) for o in e.offsets] == [(0, 0), (0, 1), (1, 2), (1, 2), (3, 3), (3, 6), (6, 7), (6, 7), (0, 0)]
     native = frame.select(engine.pieces(F.col("text")).alias("p")).first().p
     assert [(p.text, p.token_id) for p in native] == [("ayy", None), ("Ġ", None), ("[M]", engine.added.by_content["[M]"]), ("yy", None)]
+
+
+def test_sql_functions_equal_the_engines_columns(spark):
+    from lexspark import fixtures
+
+    texts = ["the station, isn't it? " * 6, "déjà vu . 世界", "", None, "a", "x" * 60, " lead"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for build in (fixtures.bert_small, fixtures.byte_bpe_small, fixtures.trunc_pad):
+        engine = Engine.from_json(build())
+        engine.register(spark)
+        frame.createOrReplaceTempView("_texts")
+        for flag in (True, False):
+            columns = engine.encode(frame, add_special_tokens=flag).select("i", F.col("encoding.ids").alias("ids"))
+            wanted = {r.i: r.ids for r in columns.collect()}
+            decoded = {r.i: r.decoded for r in engine.decode(columns, skip_special_tokens=flag).collect()}
+            found = spark.sql(f"SELECT i, encode_ids(text, {flag}) AS ids, decode_ids(encode_ids(text, {flag}), {flag}) AS decoded FROM _texts").collect()
+            assert {r.i: r.ids for r in found} == wanted and all(r.decoded == (None if r.ids is None else decoded[r.i]) for r in found)
+        both = spark.sql("SELECT i, encode_ids(text) AS a, encode_ids(text, false) AS b, decode_ids(encode_ids(text)) AS c, decode_ids(encode_ids(text), true) AS d FROM _texts").collect()
+        assert all(r.a == r.b and r.c == r.d for r in both)
+
+
+def test_token_counts_equal_counted_encodings(spark):
+    from lexspark import fixtures
+
+    engine, _ = Engine.from_json(fixtures.bert_small(post_processor=None)).add_tokens("tion")
+    frame = spark.createDataFrame([("a", "the station the tions"), (None, "the the"), ("b", ""), ("b", None), ("a", "zzz the")], "g string, text string")
+    single = engine.encode(frame).select("g", F.explode(F.arrays_zip("encoding.tokens", "encoding.ids")).alias("t")).groupBy("g", "t.tokens", "t.ids").count()
+    assert sorted(map(tuple, engine.token_counts(frame, by=("g",)).collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+    total = engine.token_counts(frame).groupBy().agg(F.sum("n")).first()[0]
+    assert total == sum(r["count"] for r in single.collect())

@@ -36,3 +36,22 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "lexspark.llm", "corpus_pipeline", "xxhash"])
+def test_entry_works_without_the_optional_parts(missing):
+    """In a fresh interpreter where one module cannot be imported, the engine's queries are all there."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys, warnings
+warnings.simplefilter('ignore')
+sys.modules[{missing!r}] = None
+import __spark_entry__ as e
+from lexspark import queries
+assert set(queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+assert 'pipeline' not in e.queries()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
