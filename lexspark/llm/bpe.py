@@ -10,7 +10,9 @@ and transitions are made when first needed and kept; the determinisation is lazy
 **Decoder.**  Tokens are byte strings that may end inside a character.  The state says which bytes may follow and how many
 bytes of an unfinished character are pending; (state, token) transitions are made when first needed.
 
-Defined results: null text encodes as empty text to no tokens; an empty table gives no rows; unknown ids raise ``KeyError``.
+Defined results: null text encodes as empty text to no tokens; an empty table gives no rows; unknown ids raise ``KeyError``;
+repeated rows each get a row; a very long text or pre-token takes memory in proportion to its own length, the transducer's table
+stays within its bound; extra columns, of any name, are carried along by ``keep`` or ignored.
 """
 
 from __future__ import annotations
@@ -95,23 +97,28 @@ class MergeTransducer:
         emitted = tuple(self._tokens(data, last, cut))
         rest, kept = data[cut:], (0, *last[cut + 1 :])
         target = self.ids.get(rest)
+        if target is None and len(self.residue) >= self.max_states:
+            self._reset()  # within a piece as well: the state that is reached is all that the rest of it needs
+            target, state = self.ids.get(rest), None
         if target is None:
             target = self.ids[rest] = len(self.residue)
             self.residue.append(rest)
             self.last.append(kept)
             self.moves.append({})
             self.ends.append(None)
-        self.moves[state][byte] = (emitted, target)
+        if state is not None:
+            self.moves[state][byte] = (emitted, target)
         return emitted, target
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.residue) > self.max_states:
-            self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
             move = moves[state].get(byte)
-            emitted, state = move if move is not None else self._grow(state, byte)
+            if move is None:
+                move = self._grow(state, byte)
+                moves = self.moves
+            emitted, state = move
             if emitted:
                 out += emitted
         end = self.ends[state]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,10 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
+from ..sources.tables import read_table
 
 #: Upper bound of a row batch handed to a Python worker.  Documents can be long, so batches are bounded in rows and bytes.
 BATCH_ROWS = 10_000
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 #: A table of a few numbers a row is broadcast up to this count, which is looked up; beyond it, it is joined by shuffle.
@@ -23,7 +25,7 @@ BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -135,10 +137,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     return docs.select("text", F.xxhash64("text").alias("_h")).join(F.broadcast(chosen), "_h").groupBy("_label", "_h").agg(F.max("text").alias("text")).select("text", "_label")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive tasks, and two of them share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

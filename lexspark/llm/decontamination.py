@@ -6,7 +6,8 @@ counts the shingles that items have, combined before the shuffle; windows with a
 pass meets those rare shingles; the window must fit before and after the meeting point, and its words are then compared.
 
 Defined results: null and wordless texts have no words and no hits; wordless items have no window; equal windows of several items
-count for each; an empty benchmark marks nothing; repeated rows each get a row; extra columns are ignored.
+count for each; words of an item with a null ``item_id`` are hit, but it has no id to be counted or listed under; an empty benchmark
+marks nothing; repeated rows each get a row; extra columns are ignored.
 """
 
 from __future__ import annotations

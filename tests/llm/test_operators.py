@@ -87,6 +87,13 @@ def test_states_are_bounded():
         assert len(small.residue) < 200
 
 
+def test_states_are_bounded_within_a_piece(both):
+    draw = random.Random(3)
+    small = bpe.MergeTransducer(bpe.load_ranks(RANKS), max_states=1000)
+    piece = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100_000)).encode()
+    assert small.encode(piece) == both[0].transducer.encode(piece) and len(small.residue) <= 1000
+
+
 def test_streaming_decoder_completes_characters(both):
     mine, _ = both
     text = "a😀é世ß" * 50
