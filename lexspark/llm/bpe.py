@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from .chunks import PartCache
-from .common import map_rows, texts_of
+from .common import map_rows, remembered, texts_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -239,7 +239,7 @@ class ByteBpe:
         yield decoder.finish()
 
 
-_of_this_worker: dict[tuple[str, str], ByteBpe] = {}
+_of_this_worker: dict[tuple[str, str], ByteBpe] = remembered("bpe")
 
 
 def worker_bpe(path: str, pattern: str) -> ByteBpe:
@@ -296,4 +296,4 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, outputs: l
                 [batch.column(c) for c in keep] + [pa.array(found[o], types.get(o, pa.string())) for o in outputs], [*keep, *outputs]
             )
 
-    return map_rows(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema)
+    return map_rows(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema, "bpe")

@@ -146,11 +146,24 @@ def give_back() -> None:
         pass
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What operators remember in a Python worker beyond a task, by name.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    return _REMEMBERED.setdefault(name, {})
+
+
+def map_rows(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, remembers: str | None = None
+) -> DataFrame:
+    """``function`` over the Arrow batches of each partition.  A worker keeps what one operator remembers at a time."""
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
 
     def run(batches):
+        for name in _REMEMBERED.keys() - {remembers}:
+            _REMEMBERED[name].clear()
         try:
             yield from function(batches)
         finally:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..functions.split import BYTE_CHARS
 from .bpe import share_file
 from .chunks import LONGEST_KEPT, PartCache, collector_paused
-from .common import map_rows, scratch_path, texts_of, written
+from .common import map_rows, remembered, scratch_path, texts_of, written
 
 
 #: Recipes of a segment, about, and the most nodes under a node of the manifest's tree.
@@ -176,7 +176,7 @@ class LibraryEncoder:
         return self.encode_batch([text], end_id)[0]
 
 
-_of_this_worker: dict[str, LibraryEncoder] = {}
+_of_this_worker: dict[str, LibraryEncoder] = remembered("store")
 
 
 def worker_encoder(path: str) -> LibraryEncoder:
@@ -224,7 +224,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str =
             )
 
     schema = f"{key} {kind}, n_tokens long, root binary, recipe {RECIPE}, chunks array<struct<digest:binary,n:int,width:int,data:binary>>"
-    return map_rows(docs.select(key, "text"), run, schema)
+    return map_rows(docs.select(key, "text"), run, schema, "store")
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, key: str = "doc_id", params: ChunkParams = ChunkParams()) -> str:
