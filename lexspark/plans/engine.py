@@ -191,24 +191,11 @@ class Engine:
     def token_counts(self, df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
         """Rows (*by, token, id, n): how often each token of the model stands in the texts of a group.
 
-        Words are split by expressions and counted before any shuffle; only distinct words go to the model.
+        A worker asks the model once per distinct word that it remembers; tokens are counted before the shuffle.
         """
-        pieces = df.select(*by, F.explode(self.pieces(F.col(text))).alias("_p")).select(*by, F.col("_p.text").alias("_word"), F.col("_p.token_id").alias("_id"))
-        counted = pieces.groupBy(*by, "_word", "_id").agg(F.count(F.lit(1)).alias("_n"))
-        ship()
-        model = Made(self, _model_of)
-        names = Made(self, _names_of)
-
-        @F.pandas_udf("array<struct<id:int,token:string>>")
-        def tokenize(words: pd.Series, ids: pd.Series) -> pd.Series:
-            run, name = model.tokenizer(), names.tokenizer()
-            return pd.Series([[{"id": i, "token": t} for i, t, _, _ in run(w)] if g != g or g is None else [{"id": int(g), "token": name[int(g)]}] for w, g in zip(words, ids)], dtype=object)
-
-        distinct = counted.select("_word", "_id").distinct() if by else counted
-        made = distinct.withColumn("_t", tokenize(F.col("_word"), F.col("_id")))
-        if by:
-            made = counted.join(made, (counted["_word"] == made["_word"]) & counted["_id"].eqNullSafe(made["_id"])).select(*by, "_n", "_t")
-        return made.select(*by, "_n", F.explode("_t").alias("_t")).groupBy(*by, F.col("_t.token").alias("token"), F.col("_t.id").alias("id")).agg(F.sum("_n").alias("n"))
+        made = df.select(*by, self.tokens(F.col(text)).alias("_t"))
+        each = made.select(*by, F.explode(F.arrays_zip(F.col("_t.tokens").alias("token"), F.col("_t.ids").alias("id"))).alias("_t"))
+        return each.select(*by, "_t.token", "_t.id").groupBy(*by, "token", "id").agg(F.count(F.lit(1)).alias("n"))
 
     def id_tokens(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         """The token strings of an array of ids; an id without a token raises.
@@ -257,14 +244,6 @@ class Engine:
         spark.udtf.register(table, F.udtf(Tokenize, returnType="pos int, id int, token string, word int, start int, end int"))
 
 
-def _model_of(engine: Engine):
-    return evaluator(engine.plan.model, engine.merge_priority)
-
-
-def _names_of(engine: Engine) -> dict[int, str]:
-    return engine.added.by_id
-
-
 def _flags(rows: pd.Series, given: tuple[pd.Series, ...], default: bool) -> list[bool]:
     """The optional flag of an SQL function: the default where it is left out or null."""
     return [default] * len(rows) if not given else [default if f is None or f != f else bool(f) for f in given[0]]
