@@ -615,6 +615,36 @@ def test_line_dedup_equals_brute_force_on_tangled_texts(spark, seed):
     assert frame.columns == linededup.dedup_lines(frame.limit(0)).columns
 
 
+def test_line_dedup_needs_no_python_on_executors(spark, monkeypatch):
+    """Frequent lines, texts of many copies, odd blanks: DataFrame operations alone find what brute force does."""
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, refused)
+    draw = random.Random(34)
+    pool = words(draw, 3000)
+    line, copied = " ".join(words(draw, 30)), " ".join(words(draw, 60))
+    data = [(i, f"{' '.join(draw.choices(pool, k=30))}{draw.choice([' ', chr(9), ' ' + chr(10)])}{line}") for i in range(2500)]
+    data += [(5000 + i, copied) for i in range(100)] + [(6000, f"x {copied}"), (6001, " ".join(["la"] * 200)), (6002, f"la {line} le"), (-1, f"{copied}\r")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    plan = linededup._grams(frame.select(F.xxhash64("text").alias("_text"), "text").where("doc_id < 2500 and pmod(_text, 64) = 0"), 25, 10)
+    assert linededup._frequent(plan).count()
+    found = {r.doc_id: r for r in linededup.dedup_lines(frame).collect()}
+    kept = brute_line_dedup(data)
+    assert {k: r.text.split() for k, r in found.items()} == kept
+    assert all(found[k]._removed == len(t.split()) - len(kept[k]) for k, t in data)
+
+
+def test_words_by_expressions_equal_words_of_characters(spark):
+    draw = random.Random(35)
+    texts = ["", " ", "a", "世界 a世b", "กขa ข", "\U00020001x\U00020002 é\n\n😀 ", *["".join(draw.choices("ab é世ก😀\n\t\U00020001", k=draw.randrange(40))) for _ in range(300)]]
+    texts += ["".join(draw.choices("ab é\n", k=draw.randrange(40))) for _ in range(100)]
+    for r in linededup.with_words(spark.createDataFrame([(t,) for t in texts], "text string"), "words").collect():
+        assert r.words.split(" ") == (re.findall(rf"[{linededup.UNSPACED}]|[^ \t\n\x0b\f\r{linededup.UNSPACED}]+", r.text) or [""]), r.text
+
+
 def test_words_of_bytes_equal_words_of_characters():
     from lexspark.llm import wordscan
     import pyarrow as pa
