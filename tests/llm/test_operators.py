@@ -151,6 +151,54 @@ def test_special_token_text_is_left_to_the_library():
         assert encoder.encode(text, 2).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_parts_are_cut_where_matches_begin():
+    import regex
+    from tokenizers import Tokenizer
+
+    from lexspark.llm import chunks
+
+    draw = random.Random(21)
+    alphabet = "abcTs  \n\t'sdrevml.,!?éßñ世😀 \u3000\u0301٣²Ⅷ\x1c\x85\u200b\xa0ÀжΩ×÷'19\rªʼ\x00"
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(30))) for _ in range(5000)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = chunks.part_starts(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    parts = [bytes(data[a:b]).decode() for a, b in zip(starts, [*starts[1:], len(data)])]
+    split = Tokenizer.from_file(TOKENIZER).pre_tokenizer.pre_tokenize_str
+    for find in (regex.compile(public_tokenizers.PATTERN).findall, lambda t: [m for m, _ in split(t)]):
+        assert [m for p in parts for m in find(p)] == [m for t in texts for m in find(t)]
+
+
+def test_library_is_asked_once_per_distinct_match():
+    asked = []
+
+    class Watched(store.LibraryEncoder):
+        def _encode_parts(self, parts):
+            asked.extend(parts)
+            return super()._encode_parts(parts)
+
+    draw = random.Random(22)
+    some = ["alba", "été", "Überaus", "nord", "x2"]
+    texts = ["".join(draw.choice(some) + draw.choice([" ", ". ", ".\n", "&&& ", "\n", " 7, "]) for _ in range(40)) for _ in range(20)]
+    encoder = Watched(TOKENIZER)
+    for text in texts:
+        assert encoder.encode(text, 2).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], text
+    matches = {m for t in texts for m, _ in encoder.library.pre_tokenizer.pre_tokenize_str(t)}
+    assert len(asked) <= len(matches) + 2  # white space before a blank or a text's end goes with what is next to it
+
+
+def test_whole_batches_are_encoded_and_cut_like_single_texts(rows):
+    import pyarrow as pa
+
+    encoder = store.LibraryEncoder(TOKENIZER)
+    texts = [*(t for _, t in rows), "a<|endoftext|>b", "", None, "x" * 100]
+    for array in (pa.array(texts), pa.array(["cut off", *texts])[1:], pa.array([], pa.string())):
+        ids, ends = encoder.encode_batch(array, 2)
+        wanted = [encoder.library.encode(t or "", add_special_tokens=False).ids + [2] for t in array.to_pylist()]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == (wanted or [[]])
+        for params in (store.ChunkParams(), store.ChunkParams(least=3, mean_bits=3)):
+            assert store.cut_all(ids, ends, params) == [store.cut_points(np.array(w, np.uint32), params) for w in wanted]
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     folder = store.write_store(docs, TOKENIZER, 2, f"file://{tmp_path}/d")
     chunks = spark.read.parquet(f"{folder}/chunks").collect()
