@@ -22,13 +22,14 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .chunks import PartCache
-from .common import map_rows, remembered, texts_of
+from .chunks import PATTERN, PartTable, part_starts, text_starts
+from .common import map_rows, remembered
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -157,13 +158,17 @@ class Utf8Machine:
 
 
 class StreamingDecoder:
-    """Feed ids in any portions; whole characters come out as soon as they are complete."""
+    """Feed ids in any portions; whole characters come out as soon as they are complete.
+
+    Between characters, tokens that end there again change nothing, so only the others are stepped through.
+    """
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.states: list[tuple[int, int, int, int]] = [Utf8Machine.START]
         self.number = {Utf8Machine.START: 0}
         self.moves: list[dict[int, int]] = [{}]
+        self.kinds = np.zeros(max(tokens, default=0) + 1, np.int8)  # between characters: 1 stays there, 2 does not, 0 not yet known
         self.reset()
 
     def reset(self) -> None:
@@ -181,15 +186,27 @@ class StreamingDecoder:
         self.moves[state][token] = target
         return target
 
+    def _leaving(self, ids: np.ndarray) -> list[int]:
+        """The places of the tokens that, begun between characters, end within one."""
+        kinds = self.kinds[ids]
+        if not kinds.all():
+            for token in set(ids[kinds == 0].tolist()):
+                self.kinds[token] = 1 if self._grow(0, token) == 0 else 2
+            kinds = self.kinds[ids]
+        return np.flatnonzero(kinds == 2).tolist()
+
     def feed(self, ids: Iterable[int]) -> bytes:
         """The bytes of all characters completed by these ids."""
-        ids = list(ids)
-        state, moves = self.state, self.moves
-        for token in ids:
-            target = moves[state].get(token)
-            state = target if target is not None else self._grow(state, token)
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        data = self.rest + b"".join(map(self.tokens.__getitem__, ids))  # unknown ids raise
+        state, moves, at = self.state, self.moves, 0
+        for place in [0, *self._leaving(np.array(ids, np.int64))]:
+            at = max(at, place)
+            while at < len(ids) and (state or at == place):
+                target = moves[state].get(ids[at])
+                state = target if target is not None else self._grow(state, ids[at])
+                at += 1
         self.state = state
-        data = self.rest + b"".join(map(self.tokens.__getitem__, ids))
         pending = self.states[state][3]
         self.rest = data[len(data) - pending :] if pending else b""
         return data[: len(data) - pending] if pending else data
@@ -199,38 +216,48 @@ class StreamingDecoder:
         return rest
 
 
-def ids_of(parts: list[tuple[bytes, str]]) -> list[int]:
-    return array("I", b"".join([p for p, _ in parts])).tolist()
-
-
 class ByteBpe:
     """Pattern split, transducer, decoder; one instance per Python worker."""
 
     PORTION = 8192
-    #: Bound of the remembered parts; each takes some 400 bytes.
+    #: Bytes of text that are encoded together: less than for the store, as the pipeline's executors have less to spare.
+    TEXT_PORTION = 1 << 20
+    #: Bound of the remembered parts; each takes some 200 bytes.
     MOST_PARTS = 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = regex.compile(pattern).findall
+        self.public = pattern == PATTERN
         self.transducer = MergeTransducer(ranks)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.cache = PartCache(self._encode_parts, self.pieces, self.MOST_PARTS)
+        self.names = np.array([b"%d," % i for i in range(max(self.tokens) + 1)])  # filled with zero bytes
+        self.table = PartTable(self._encode_parts, self.MOST_PARTS, part_starts if self.public else text_starts, self.TEXT_PORTION)
 
-    def _encode_parts(self, parts: list[str]) -> list[tuple[bytes, str]]:
-        """Per part: its ids as 32-bit numbers, and as comma-joined decimals."""
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part as 32-bit numbers.  In the public pattern letters, with a blank before them or none, are one match."""
         encode, out = self.transducer.encode, []
         for part in parts:
-            ids = [i for piece in self.pieces(part) for i in encode(piece.encode("utf-8", "surrogatepass"))]
-            out.append((array("I", ids).tobytes(), ",".join(map(str, ids))))
+            text = part.decode("utf-8")
+            if self.public and (text[1:] if text[:1] == " " else text).isalpha():
+                ids = encode(part)
+            else:
+                ids = [i for piece in self.pieces(text) for i in encode(piece.encode("utf-8"))]
+            out.append(array("I", ids).tobytes())
         return out
 
-    def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
-        return self.cache.encode(text)
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) end to end, and where each text's ids end."""
+        return self.table.encode(texts)
 
     def encode(self, text: str) -> list[int]:
-        return ids_of(self.encode_parts(text))
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """The ids as decimals, comma-joined."""
+        held = self.names[ids].view(np.uint8)
+        return held[held != 0][:-1].tobytes()
 
-    def decode(self, ids: list[int]) -> Iterator[bytes]:
+    def decode(self, ids: list[int] | np.ndarray) -> Iterator[bytes]:
         decoder = getattr(self, "decoder", None) or StreamingDecoder(self.tokens)
         self.decoder = decoder
         decoder.reset()
@@ -275,25 +302,28 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, outputs: l
     def run(batches):
         bpe = worker_bpe(SparkFiles.get(name), pattern)
         for batch in batches:
-            found: dict[str, list] = {o: [] for o in outputs}
-            for text in texts_of(batch.column("text")):
-                parts = bpe.encode_parts(text)
-                ids = ids_of(parts)
-                row: dict[str, object] = {"ids": ids, "n_tokens": len(ids)}
-                if "ids_sha256" in found:
-                    row["ids_sha256"] = hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest()
-                if decodes:
+            every, ends = bpe.encode_batch(batch.column("text"))
+            bounds = np.concatenate([[0], ends]).astype(np.int32)
+            found: dict[str, object] = {o: [] for o in outputs}
+            if "ids" in found:
+                found["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(every.astype(np.int32)))
+            if "n_tokens" in found:
+                found["n_tokens"] = np.diff(bounds)
+            if "ids_sha256" in found:
+                found["ids_sha256"] = [hashlib.sha256(bpe.decimals(every[a:b])).hexdigest() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            if decodes:
+                for start, end in zip(bounds.tolist(), bounds[1:].tolist()):
                     digest, whole = hashlib.sha256(), []
-                    for data in bpe.decode(ids):
+                    for data in bpe.decode(every[start:end]):
                         digest.update(data)
                         if "decoded" in found:
                             whole.append(data)
-                    row["decoded_sha256"], row["decoded"] = digest.hexdigest(), b"".join(whole)
-                for o in outputs:
-                    found[o].append(row[o])
-            types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.binary()}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(found[o], types.get(o, pa.string())) for o in outputs], [*keep, *outputs]
-            )
+                    if "decoded_sha256" in found:
+                        found["decoded_sha256"].append(digest.hexdigest())
+                    if "decoded" in found:
+                        found["decoded"].append(b"".join(whole))
+            types = {"n_tokens": pa.int64(), "decoded": pa.binary()}
+            columns = [found[o] if o == "ids" else pa.array(found[o], types.get(o, pa.string())) for o in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, [*keep, *outputs])
 
     return map_rows(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema, "bpe")

@@ -1,13 +1,13 @@
 """Cutting a text into parts that byte-level BPE treats independently, so that each distinct part is encoded once.
 
-Under the public pre-tokenisation pattern a match can hold a blank only as its first character or within a run of white space.
-So where a blank follows a character that is no white space, a match begins; a text may be cut before each such blank.
+Under the public pre-tokenisation pattern a run of letters, of digits, of white space or of other characters ends where the next one
+begins, but for a blank, which goes with what follows it, and an apostrophe, which may go with letters.  Places where a match surely
+begins are found over the bytes of many texts at once.
 """
 
 from __future__ import annotations
 
 import gc
-import re
 import unicodedata
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BLANK_AFTER_SPACE = re.compile(r"\s ")
+#: The public pre-tokenisation pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer parts are encoded, not remembered.
 LONGEST_KEPT = 64
 #: Bound of the remembered parts of a worker.
@@ -49,65 +50,6 @@ class Generations:
             self.old, self.young = self.young, {}
 
 
-class PartCache:
-    """Remembers what ``encode_parts(list of parts)`` gave; parts at the text's start and after a blank are kept apart."""
-
-    def __init__(self, encode_parts: Callable[[list[str]], list], split: Callable[[str], list[str]], most: int = MOST_KEPT):
-        self.encode_parts, self.split = encode_parts, split
-        self.first, self.later = Generations(most // 4), Generations(most - most // 4)
-
-    def encode(self, text: str) -> list:
-        """The results of the text's parts, in order."""
-        if not text:
-            return []
-        if _BLANK_AFTER_SPACE.search(text):
-            return self._look(self.first, self.split(text), "")
-        parts = text.split(" ")
-        if not parts[0]:  # the text starts with a blank: the part after it owns the blank
-            return self._look(self.later, parts[1:], " ")
-        return self._look(self.first, parts[:1], "") + self._look(self.later, parts[1:], " ")
-
-    def encode_all(self, texts: list[str]) -> list:
-        """The joined results (bytes) of each text; parts that are not remembered are encoded together."""
-        firsts, laters, plan = [], [], []
-        for text in texts:
-            if _BLANK_AFTER_SPACE.search(text):
-                parts = self.split(text)
-                plan.append((len(parts), 0))
-                firsts += parts
-                continue
-            parts = text.split(" ")
-            head = 1 if parts[0] else 0  # else the text starts with a blank, or is empty
-            firsts += parts[:head]
-            laters += parts[1:]
-            plan.append((head, len(parts) - 1))
-        first, later = self._look(self.first, firsts, ""), self._look(self.later, laters, " ")
-        out, a, b = [], 0, 0
-        for n, m in plan:
-            out.append(b"".join(first[a : a + n] + later[b : b + m]))
-            a, b = a + n, b + m
-        return out
-
-    def _look(self, known: Generations, parts: list[str], lead: str) -> list:
-        known.age()
-        young, old = known.young, known.old
-        got = list(map(young.get, parts))
-        absent = [p for p, g in zip(parts, got) if g is None]
-        if absent:
-            distinct = dict.fromkeys(absent)
-            missing = [p for p in distinct if p not in old]
-            fresh = {p: old[p] for p in distinct if p in old}
-            if missing:
-                fresh.update(zip(missing, self.encode_parts([lead + p for p in missing])))
-            filled = map(fresh.__getitem__, absent)
-            got = [next(filled) if g is None else g for g in got]
-            young.update(fresh)
-            for part in missing:
-                if len(part) > LONGEST_KEPT:
-                    del young[part]
-        return got
-
-
 # --- parts of an Arrow batch ------------------------------------------------------------------------------------------------
 
 LETTER, DIGIT, OTHER, QUOTE, BLANK, SPACE, BEYOND, DOUBT = range(8)  # BEYOND: any class but white space; DOUBT: any class
@@ -163,6 +105,11 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
+def text_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For other patterns: a text that is not empty is one part."""
+    return offsets[:-1][offsets[:-1] < offsets[1:]]
+
+
 class PartTable:
     """Encodes all texts of an Arrow array at once: their distinct parts are looked up, the ids of all parts are gathered.
 
@@ -172,8 +119,14 @@ class PartTable:
     #: Bytes of text whose parts are told apart together, about; temporary arrays take some 30 times as much.
     PORTION = 1 << 22
 
-    def __init__(self, encode_parts: Callable[[list[bytes]], list[bytes]], most: int = MOST_KEPT):
-        self.encode_parts, self.known = encode_parts, Generations(most)
+    def __init__(
+        self,
+        encode_parts: Callable[[list[bytes]], list[bytes]],
+        most: int = MOST_KEPT,
+        cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = part_starts,
+        portion: int = PORTION,
+    ):
+        self.encode_parts, self.known, self.cut, self.portion = encode_parts, Generations(most), cut, portion
 
     def _look(self, parts: list[bytes]) -> list[bytes]:
         """The ids of distinct parts."""
@@ -196,7 +149,7 @@ class PartTable:
         return got
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = part_starts(data, offsets)
+        starts = self.cut(data, offsets)
         bounds = np.append(starts, len(data)).astype(np.int32)
         named = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         index = named.indices.to_numpy()
@@ -218,7 +171,7 @@ class PartTable:
         data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
         ids, ends, a, before = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
         while a < n:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.PORTION, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.portion, "right")) - 1)
             own, own_ends = self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ids.append(own)
             ends.append(own_ends + before)

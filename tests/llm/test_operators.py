@@ -121,6 +121,51 @@ def test_encode_and_decode(docs, rows, nothing, both):
     assert bpe.encode_and_decode(nothing, RANKS, public_tokenizers.PATTERN, ["ids"]).count() == 0
 
 
+def test_transducer_is_asked_once_per_distinct_match(both):
+    asked = []
+
+    class Watched(bpe.ByteBpe):
+        def _encode_parts(self, parts):
+            asked.extend(parts)
+            return super()._encode_parts(parts)
+
+    draw = random.Random(23)
+    some = ["alba", "été", "Überaus", "nord", "x2"]
+    texts = ["".join(draw.choice(some) + draw.choice([" ", ". ", ".\n", "&&& ", "\n", " 7, "]) for _ in range(40)) for _ in range(20)]
+    mine = Watched(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    for text in texts:
+        assert mine.encode(text) == both[1].encode_ordinary(text)
+    assert len(asked) <= len({m for t in texts for m in mine.pieces(t)}) + 2  # white space before a blank or a text's end goes with what is next to it
+
+
+def test_other_patterns_are_not_cut_at_blanks():
+    ranks, pattern = bpe.load_ranks(RANKS), r"\S+\s*|\s+"
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    mine = bpe.ByteBpe(ranks, pattern)
+    for text in ("the cat, the  dog.\nAnd 42 x's", " lead", "", "of the of the"):
+        assert mine.encode(text) == theirs.encode_ordinary(text), text
+
+
+def test_streaming_decoder_in_portions(both):
+    mine, _ = both
+    draw = random.Random(24)
+    lone = [i for i, t in mine.tokens.items() if max(t) >= 0x80]
+    ids = [draw.choice(lone) if draw.random() < 0.4 else draw.randrange(len(mine.tokens)) for _ in range(6000)]
+    decoder, out, at = bpe.StreamingDecoder(mine.tokens), [], 0
+    while at < len(ids):
+        n = draw.randrange(5)
+        out.append(decoder.feed(ids[at : at + n]))
+        now = bpe.Utf8Machine.START
+        for byte in b"".join(mine.tokens[i] for i in ids[: at + n]):
+            now = bpe.Utf8Machine.step(now, byte)
+        assert len(decoder.rest) == now[3]
+        at += n
+        if at > 300:
+            break
+    out += [decoder.feed(ids[at:3000]), decoder.feed(np.array(ids[max(at, 3000) :])), decoder.finish()]
+    assert b"".join(out) == b"".join(mine.tokens[i] for i in ids)
+
+
 # --- store -----------------------------------------------------------------------------------------------------------------------
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
