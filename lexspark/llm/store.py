@@ -153,7 +153,8 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.simple = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
+        splitter = self.library.pre_tokenizer
+        self.simple = self.library.normalizer is None and type(splitter).__name__ == "ByteLevel" and splitter.use_regex and not splitter.add_prefix_space
         self.blank = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.simple else " "
         self.table = PartTable(self._encode_parts, self.MOST_PARTS)
 

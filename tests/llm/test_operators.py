@@ -244,6 +244,19 @@ def test_whole_batches_are_encoded_and_cut_like_single_texts(rows):
             assert store.cut_all(ids, ends, params) == [store.cut_points(np.array(w, np.uint32), params) for w in wanted]
 
 
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}])
+def test_other_splitters_are_left_to_the_library(tmp_path, change):
+    import json
+
+    with open(TOKENIZER) as file:
+        said = json.load(file)
+    said["pre_tokenizer"] |= change
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    encoder = store.LibraryEncoder(str(tmp_path / "t.json"))
+    for text in ("one two.\nThree, four", " lead", "it's  two\n x!", "", "of the of the"):
+        assert encoder.encode(text, 2).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     folder = store.write_store(docs, TOKENIZER, 2, f"file://{tmp_path}/d")
     chunks = spark.read.parquet(f"{folder}/chunks").collect()
