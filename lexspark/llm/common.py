@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,18 +55,26 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 #: Shuffle files of an execution go when it has ended, instead of when the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings of the session for what is planned and run meanwhile; those from before come back."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` in the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffle files."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
+    with settings(df.sparkSession, FREED):
         df.write.parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +94,22 @@ def preceding_sum(df: DataFrame, order: list[str], size: str, into: str, path: s
     return ranged.join(F.broadcast(before), "_seg").withColumn(into, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_seg", "_before")
 
 
+#: A key with this part of all rows, or more, is looked up in a broadcast table, which so has at most this many rows.
+SHARES = 10_000
+
+
+def joined_by_share(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, shares: int = SHARES) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row per key and in ``count`` how many rows of ``left`` have it.
+
+    Keys with a ``shares``-th of the ``total`` rows or more are at most ``shares``: they are broadcast, whatever the size of the tables.
+    Other rows are shuffled, and none of their keys can fill a task.  Both tables are read twice, so they should be written ones.
+    """
+    hot = F.col(count) * shares >= total
+    heavy = F.broadcast(right.where(hot))
+    light = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot), on)
+    return left.join(heavy, on).unionByName(light)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

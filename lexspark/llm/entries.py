@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, licenses, linededup, quality, simhash, store, toxicity, winnowing
+from . import alignment, bpe, decontamination, exactdedup, language, licenses, linededup, prefixtrie, quality, simhash, store, toxicity, winnowing
 from .common import held_out, table
 
 
@@ -70,6 +70,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(
+    spark: SparkSession,
+    sf_dir: str,
+    a: str = public_tokenizers.path("byte_bpe_50k.json"),
+    b: str = public_tokenizers.path("piece_bpe_32k.model"),
+) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,12 +100,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_decontamination,
         op10_simhash,
+        op11_prefix_trie,
+        op12_token_alignment,
+        op13_exact_dedup,
     )
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": prefixtrie.ORACLE,
+    "op13_exact_dedup": exactdedup.ORACLE,
     "op5_license_scan": licenses.oracle(WORDS_SQL),
     "op9_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
