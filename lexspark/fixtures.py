@@ -17,6 +17,8 @@ EMPTY: dict[str, Any] = {
     "decoder": None,
     "model": None,
 }
+#: Stands for a blank at the front of a word.
+MARK = "▁"
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 #: Short words and word parts of the corpus's languages.
 PARTS = (
@@ -46,6 +48,22 @@ def byte_bpe_vocab() -> dict[str, int]:
     return {piece: i for i, piece in enumerate(dict.fromkeys([*BYTE_CHARS, *("".join(m) for m in MERGES)]))}
 
 
+def unigram_pieces() -> list[tuple[str, float]]:
+    """The unknown token, the word mark, most letters (the rarer are unknown) and word parts; scores are multiples of 1/8, with ties."""
+    heads = list(dict.fromkeys([*string.ascii_lowercase.translate({ord(c): None for c in "jkqxz"}), *string.digits, ",", ".", *PARTS]))
+    pieces = dict.fromkeys([MARK, *heads, *(MARK + h for h in heads if len(h) > 1)])
+    return [("<unk>", 0.0), *((p, -(8 + 5 * len(p) + i % 7) / 8) for i, p in enumerate(pieces))]
+
+
+def unigram_small(**changes: Any) -> dict[str, Any]:
+    return EMPTY | {
+        "normalizer": BERT_NORMALIZER,
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "BertPreTokenizer"}, {"type": "Metaspace", "replacement": MARK, "prepend_scheme": "always"}]},
+        "decoder": {"type": "Metaspace", "replacement": MARK},
+        "model": {"type": "Unigram", "unk_id": 0, "vocab": [list(p) for p in unigram_pieces()]},
+    } | changes
+
+
 def template(cls: int = 2, sep: int = 3) -> dict[str, Any]:
     token = lambda name, id: {"id": name, "ids": [id], "tokens": [name]}
     return {

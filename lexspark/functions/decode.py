@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.encoding import let
 from ..plans.config import Part
 from .split import from_byte_characters
 
@@ -88,6 +89,29 @@ def strip(tokens: Column, content: str, start: int, stop: int) -> Column:
     return F.transform(tokens, one)
 
 
+def bpe_decoder(tokens: Column, suffix: str = "</w>") -> Column:
+    """The suffix that ends a word becomes a blank, and nothing at the end."""
+    ended = lambda all: F.transform(all, lambda t, i: F.replace(t, F.lit(suffix), F.when(i == F.size(all) - 1, F.lit("")).otherwise(F.lit(" "))))
+    return let(tokens, ended)
+
+
+def metaspace(tokens: Column, mark: str = "▁", drop_first: bool = True) -> Column:
+    """Marks become blanks; one that begins the first token goes."""
+
+    def one(token: Column, i: Column) -> Column:
+        first = F.when((i == 0) & F.startswith(token, F.lit(mark)), F.substring(token, F.lit(len(mark) + 1), F.length(token))).otherwise(token)
+        return F.replace(first if drop_first else token, F.lit(mark), F.lit(" "))
+
+    return F.transform(tokens, one)
+
+
+def ctc(tokens: Column, pad: str = "<pad>", word: str = "|", clean: bool = True) -> Column:
+    """Runs of a token become one; pads, which part runs, go, and so do tokens that are empty afterwards; delimiters become blanks."""
+    runs = let(tokens, lambda all: F.filter(all, lambda t, i: (i == 0) | (t != F.get(all, i - 1))))
+    plain = F.transform(F.filter(runs, lambda t: t != pad), lambda t: F.replace(cleanup(t), F.lit(word), F.lit(" ")) if clean else t)
+    return F.filter(plain, lambda t: t != "")
+
+
 def apply_one(tokens: Column, part: Part) -> Column:
     if part.kind == "WordPiece":
         return wordpiece(tokens, part.get("prefix", "##"), part.get("cleanup", True))
@@ -100,6 +124,12 @@ def apply_one(tokens: Column, part: Part) -> Column:
         return byte_fallback(tokens)
     if part.kind == "Fuse":
         return F.array(F.array_join(tokens, ""))
+    if part.kind == "BPEDecoder":
+        return bpe_decoder(tokens, part.get("suffix", "</w>"))
+    if part.kind == "Metaspace":
+        return metaspace(tokens, part.get("replacement", "▁"), part.get("add_prefix_space", part.get("prepend_scheme", "always") != "never"))
+    if part.kind == "CTC":
+        return ctc(tokens, part.get("pad_token", "<pad>"), part.get("word_delimiter_token", "|"), part.get("cleanup", True))
     return strip(tokens, part.options["content"], part.get("start", 0), part.get("stop", 0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -111,6 +112,53 @@ def normalize(text: Column, parts: tuple[Part, ...]) -> Column:
     return text
 
 
+@lru_cache
+def _spread() -> str:
+    """A class of the characters that decomposition without marks, then lower case, turn into more or fewer than one."""
+    lone = []
+    for point in range(0x80, 0x110000):
+        char = chr(point)
+        if unicodedata.decomposition(char)[:1] not in ("", "<") or char.lower() != char and len(char.lower()) > 1:
+            base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+            if len(base.lower()) != 1:
+                lone.append(point)
+    ranges: list[list[int]] = [[0xAC00, 0xD7A3]]
+    for point in lone:
+        if ranges[-1][1] == point - 1 and len(ranges) > 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+def moves_one(text: Column, part: Part) -> Column:
+    """Whether a normalizer may leave some character of the text elsewhere than it was."""
+    if part.kind == "BertNormalizer":
+        options, classes = bert_options(part), []
+        if options["clean"]:
+            classes.append(DROPPED)
+        if options["chinese"]:
+            classes.append(f"[{_JAVA_IDEOGRAPHS}]")
+        if options["accents"] or options["lower"]:
+            classes += [r"\p{Mn}", f"[{_spread()}]"]
+        return text.rlike("|".join(classes)) if classes else F.lit(False)
+    if part.kind == "Prepend":
+        return text != ""
+    if part.kind == "Replace":
+        return F.contains(text, F.lit(literal_pattern(part))) if literal_pattern(part) else F.lit(False)
+    if part.kind == "StripAccents":
+        return text.rlike(r"[\x{300}-\x{36F}]")
+    return apply_one(text, part) != text
+
+
+def moves(text: Column, parts: tuple[Part, ...]) -> Column:
+    moved = F.lit(False)
+    for part in parts:
+        moved = moved | moves_one(text, part)
+        text = apply_one(text, part)
+    return moved
+
+
 # --- with alignment ---------------------------------------------------------------------------------------------------------
 
 #: Text, and for each of its characters the start and the end of the original that it came from.  Ranges where nothing has moved.

@@ -1,12 +1,13 @@
-"""WordPiece and byte-pair models: a word becomes tokens (id, value, start, end).
+"""WordPiece, byte-pair, word-level and unigram models: a word becomes tokens (id, value, start, end).
 
-The evaluators below run inside Arrow functions, once per distinct word that a worker meets (bounded memory).  For both models
-there is a plan of built-in operators only as well: ``wordpiece_by_join`` and ``bpe_by_replace``.
+The evaluators below run inside Arrow functions, once per distinct word.  There are plans of built-in operators only as well:
+``wordpiece_by_join``, ``unigram_by_join``, ``wordlevel_by_join``, and ``bpe_by_replace`` for a few hundred merge rules.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.config import BpeModel, WordPieceModel
+from ..plans.config import BpeModel, Model, UnigramModel, WordLevelModel, WordPieceModel
 
 Token = tuple[int, str, int, int]
 
@@ -135,27 +136,84 @@ class Bpe:
         return [(ids[i], sizes[i]) for i in range(size) if live[i]]
 
 
-def evaluator(model: WordPieceModel | BpeModel | None, merge_priority: str = "lowest"):
+class WordLevel:
+    def __init__(self, model: WordLevelModel):
+        self.model = model
+
+    def tokenize(self, word: str) -> list[Token]:
+        """The word as one token; one that is not in the vocabulary is the unknown token, or none if that is missing, too."""
+        name = word if word in self.model.vocab else self.model.unk_token
+        return [(self.model.vocab[name], name, 0, len(word))] if word and name in self.model.vocab else []
+
+
+class Unigram:
+    def __init__(self, model: UnigramModel):
+        self.model, self.vocab = model, model.vocab
+        self.scores = {piece: model.pieces[i][1] for piece, i in model.vocab.items()}
+        self.longest = max(map(len, model.vocab), default=0)
+
+    def tokenize(self, word: str) -> list[Token]:
+        """The likeliest segmentation; of equally likely ones, that whose last piece is longest, and so on backwards."""
+        m, size = self.model, len(word)
+        best: list[tuple[float, int, int | None]] = [(0.0, 0, None)]
+        for end in range(1, size + 1):
+            found = []
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                if piece in self.scores:
+                    found.append((best[start][0] + self.scores[piece], -start, self.vocab[piece]))
+            if word[end - 1] not in self.scores:
+                found.append((best[end - 1][0] + m.unknown_score, 1 - end, None))
+            best.append(max(found, key=lambda f: f[:2]))
+        parts, at = [], size
+        while at > 0:
+            start, i = -best[at][1], best[at][2]
+            if i is None and m.fuse_unk and parts and parts[-1][0] is None:
+                parts[-1] = (None, start, parts[-1][2])
+            else:
+                parts.append((i, start, at))
+            at = start
+        out: list[Token] = []
+        for i, start, end in reversed(parts):
+            text = word[start:end]
+            names = [f"<0x{b:02X}>" for b in text.encode("utf-8", "surrogatepass")] if i is None and m.byte_fallback else []
+            if names and all(n in self.vocab for n in names):
+                out += [(self.vocab[n], n, start, end) for n in names]
+            elif i is not None or m.unk_id is not None:
+                out.append((m.unk_id if i is None else i, text, start, end))
+        return out
+
+
+def evaluator(model: Model | None, merge_priority: str = "lowest"):
     """word -> tokens; no model gives no tokens."""
     if model is None:
         return lambda word: []
-    return (WordPiece(model) if isinstance(model, WordPieceModel) else Bpe(model, merge_priority)).tokenize
+    if isinstance(model, BpeModel):
+        return Bpe(model, merge_priority).tokenize
+    kinds = {WordPieceModel: WordPiece, WordLevelModel: WordLevel, UnigramModel: Unigram}
+    return kinds[type(model)](model).tokenize
 
 
 # --- plans of built-in operators -----------------------------------------------------------------------------------------
 
 
+TOKEN = "struct<id:int,value:string,start:int,end:int>"
+#: Pieces of a vocabulary that is broadcast; a larger one is joined by shuffle.
+MOST_BROADCAST = 2_000_000
+
+
 def vocab_table(spark, vocab: dict[str, int]) -> DataFrame:
-    """The vocabulary (of configured, bounded size) as a table (piece, id)."""
-    return spark.createDataFrame(sorted(vocab.items(), key=lambda x: x[1]) or [("", 0)], "piece string, id int").where(F.col("piece") != "")
+    """The vocabulary as a table (piece, id), broadcast in joins up to ``MOST_BROADCAST`` pieces."""
+    made = spark.createDataFrame(sorted(vocab.items(), key=lambda x: x[1]) or [("", 0)], "piece string, id int").where(F.col("piece") != "")
+    return F.broadcast(made) if len(vocab) <= MOST_BROADCAST else made
 
 
 def token_to_id(tokens: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
-    return tokens.join(F.broadcast(vocab.select(F.col("piece").alias(token), "id")), token, "left")
+    return tokens.join(vocab.select(F.col("piece").alias(token), "id"), token, "left")
 
 
 def id_to_token(ids: DataFrame, vocab: DataFrame, id: str = "id") -> DataFrame:
-    return ids.join(F.broadcast(vocab.select(F.col("id").alias(id), F.col("piece").alias("token"))), id, "left")
+    return ids.join(vocab.select(F.col("id").alias(id), F.col("piece").alias("token")), id, "left")
 
 
 def wordpiece_by_join(words: DataFrame, model: WordPieceModel, word: str = "word") -> DataFrame:
@@ -172,14 +230,13 @@ def wordpiece_by_join(words: DataFrame, model: WordPieceModel, word: str = "word
         "piece", F.concat(F.when(F.col("start") > 1, F.lit(prefix)).otherwise(F.lit("")), F.substring("word", F.col("start"), F.col("size")))
     )
     best = (
-        named.join(F.broadcast(vocab_table(spark, model.vocab)), "piece")
+        named.join(vocab_table(spark, model.vocab), "piece")
         .groupBy("word", "start")
         .agg(F.max(F.struct("size", "id", "piece")).alias("best"))
         .groupBy("word")
         .agg(F.map_from_entries(F.collect_list(F.struct("start", "best"))).alias("best"))
     )
-    token = "struct<id:int,value:string,start:int,end:int>"
-    begin = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{token}>").alias("out"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{TOKEN}>").alias("out"))
 
     def step(a: Column, i: Column) -> Column:
         hit = F.try_element_at(F.col("best"), i)
@@ -187,13 +244,91 @@ def wordpiece_by_join(words: DataFrame, model: WordPieceModel, word: str = "word
         here = (a["at"] == i) & hit.isNotNull()
         return F.when(here, F.struct((i + hit["size"]).alias("at"), F.array_append(a["out"], made).alias("out"))).otherwise(a)
 
-    unknown = F.array(F.struct(F.lit(model.vocab.get(model.unk_token, 0)).alias("id"), F.lit(model.unk_token).alias("value"), F.lit(0).alias("start"), F.length("word").alias("end"))).cast(f"array<{token}>")
+    unknown = F.array(F.struct(F.lit(model.vocab.get(model.unk_token, 0)).alias("id"), F.lit(model.unk_token).alias("value"), F.lit(0).alias("start"), F.length("word").alias("end"))).cast(f"array<{TOKEN}>")
     whole = distinct.join(best, "word", "left")
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), begin, step, lambda a: F.when(a["at"] == F.length("word") + 1, a["out"]))
-    tokens = F.when(F.length("word") == 0, F.array().cast(f"array<{token}>")).otherwise(F.coalesce(F.when(F.col("best").isNotNull(), walked), unknown))
+    tokens = F.when(F.length("word") == 0, F.array().cast(f"array<{TOKEN}>")).otherwise(F.coalesce(F.when(F.col("best").isNotNull(), walked), unknown))
     return whole.select(F.col("word").alias(word), tokens.alias("tokens"))
 
 
+def wordlevel_by_join(words: DataFrame, model: WordLevelModel, word: str = "word") -> DataFrame:
+    """Rows (word, tokens) for each distinct word: itself, or the unknown token."""
+    distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
+    met = token_to_id(distinct, vocab_table(words.sparkSession, model.vocab), "word")
+    unknown = model.vocab.get(model.unk_token)
+    id = F.coalesce("id", F.lit(unknown))
+    value = F.when(F.col("id").isNull(), model.unk_token).otherwise(F.col("word"))
+    one = F.array(F.struct(id.alias("id"), value.alias("value"), F.lit(0).alias("start"), F.length("word").alias("end")))
+    none = id.isNull() | (F.col("word") == "")
+    return met.select(F.col("word").alias(word), F.when(none, F.array()).otherwise(one).cast(f"array<{TOKEN}>").alias("tokens"))
+
+
+def unigram_by_join(words: DataFrame, model: UnigramModel, word: str = "word") -> DataFrame:
+    """Rows (word, tokens) for each distinct word: the likeliest segmentation over the lattice of its pieces.
+
+    Substrings are joined with the vocabulary; a word's arcs, ordered by their end, are folded into the best way to each place (Viterbi),
+    which is walked back.  All is built-in expressions.
+    """
+    spark, longest = words.sparkSession, max(map(len, model.vocab), default=1)
+    listed = [(piece, i, model.pieces[i][1]) for piece, i in model.vocab.items() if piece]
+    vocab = spark.createDataFrame(listed or [("", 0, 0.0)], "piece string, id int, score double")
+    vocab = F.broadcast(vocab) if len(listed) <= MOST_BROADCAST else vocab
+    distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
+    filled = distinct.where(F.col("word") != "")
+    starts = filled.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size")
+    spans = starts.select("word", "start", size).withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
+    met = spans.join(vocab, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    arc = F.struct((F.col("start") + F.col("size")).alias("end"), "start", "id", F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
+    arcs = met.groupBy("word").agg(F.array_sort(F.collect_list(arc)).alias("arcs"))
+
+    place = "struct<score:double,back:int,id:int>"
+    origin = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id"))
+    begin = F.struct(F.array().cast(f"array<{place}>").alias("done"), origin.alias("best"), F.lit(0).alias("at"))
+
+    def arrive(a: Column, x: Column) -> Column:
+        # places before the arc's end are done; of equal scores the arc that begins first is the greater
+        before = F.when(x["start"] == a["at"], a["best"]["score"]).otherwise(F.get(a["done"], x["start"])["score"])
+        way = F.struct((before + x["score"]).alias("score"), (-x["start"]).alias("back"), x["id"].alias("id"))
+        here = F.struct(a["done"].alias("done"), F.greatest(a["best"], way).alias("best"), a["at"].alias("at"))
+        return F.when(x["end"] == a["at"], here).otherwise(F.struct(F.array_append(a["done"], a["best"]).alias("done"), way.alias("best"), x["end"].alias("at")))
+
+    ways = F.aggregate("arcs", begin, arrive, lambda a: F.array_append(a["done"], a["best"]))
+    part = "struct<id:int,start:int,end:int>"
+    last = F.struct(F.length("word").alias("at"), F.array().cast(f"array<{part}>").alias("out"))
+
+    def back(a: Column, end: Column) -> Column:
+        way, next = F.get(F.col("ways"), end), F.get(a["out"], 0)
+        start = -way["back"]
+        one = lambda stop: F.struct(way["id"].alias("id"), start.alias("start"), stop.alias("end"))
+        grown = F.array_prepend(a["out"], one(end))
+        if model.fuse_unk:
+            both = way["id"].isNull() & (F.size(a["out"]) > 0) & next["id"].isNull()
+            grown = F.when(both, F.array_prepend(F.slice(a["out"], 2, F.greatest(F.size(a["out"]) - 1, F.lit(0))), one(next["end"]))).otherwise(grown)
+        return F.when(end == a["at"], F.struct(start.alias("at"), grown.alias("out"))).otherwise(a)
+
+    parts = F.aggregate(F.sequence(F.length("word"), F.lit(1), F.lit(-1)), last, back, lambda a: a["out"])
+
+    def token(p: Column) -> Column:
+        text = F.substring("word", p["start"] + 1, p["end"] - p["start"])
+        made = F.struct(F.coalesce(p["id"], F.lit(model.unk_id)).alias("id"), text.alias("value"), p["start"].alias("start"), p["end"].alias("end"))
+        one = F.array(made).cast(f"array<{TOKEN}>")
+        if model.unk_id is None:
+            one = F.when(p["id"].isNull(), F.array().cast(f"array<{TOKEN}>")).otherwise(one)
+        if not model.byte_fallback:
+            return one
+        ids = F.from_json(F.lit(json.dumps([model.vocab.get(f"<0x{b:02X}>") for b in range(256)])), "array<int>")
+        pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+        each = lambda h: F.struct(F.get(ids, F.conv(h, 16, 10).cast("int")).alias("id"), F.concat(F.lit("<0x"), h, F.lit(">")).alias("value"), p["start"].alias("start"), p["end"].alias("end"))
+        made_of_bytes = F.transform(pairs, each).cast(f"array<{TOKEN}>")
+        return F.when(p["id"].isNull() & ~F.exists(made_of_bytes, lambda t: t["id"].isNull()), made_of_bytes).otherwise(one)
+
+    found = arcs.withColumn("ways", ways).select("word", F.flatten(F.transform(parts, token)).alias("tokens"))
+    none = distinct.where(F.col("word") == "").select("word", F.array().cast(f"array<{TOKEN}>").alias("tokens"))
+    return found.unionByName(none).select(F.col("word").alias(word), "tokens")
+
+
+#: Marks around tokens; no token may hold one.  Those that a text holds are tokens of their own.
 LEFT, RIGHT = "\ufdd0", "\ufdd1"
 
 
@@ -212,17 +347,25 @@ def bpe_by_replace(text: Column, model: BpeModel) -> Column:
     """Array of token strings by one literal replacement per rule, in rank order.  For a few hundred rules at most."""
     if not replaceable(model):
         raise ValueError("these rules cannot be applied by replacement; use the evaluator")
+    if any(c in x for x in model.vocab for c in (LEFT, RIGHT)):
+        raise ValueError("the vocabulary holds the marks of this plan; use the evaluator")
     rules = [(a, b) for a, b in model.merges if a in model.vocab and b in model.vocab and a + b in model.vocab]
     steps = F.array(*[F.struct(F.lit(f"{LEFT}{a}{RIGHT}{LEFT}{b}{RIGHT}").alias("pair"), F.lit(f"{LEFT}{a}{b}{RIGHT}").alias("made")) for a, b in rules])
-    marked = F.regexp_replace(text, r"(?s)(.)", f"{LEFT}$1{RIGHT}")
-    merged = F.aggregate(steps, marked, lambda s, m: F.replace(s, m["pair"], m["made"])) if rules else marked
-    return F.filter(F.split(F.replace(merged, F.lit(LEFT), F.lit("")), RIGHT), lambda t: t != "")
+
+    def merged(text: Column) -> Column:
+        marked = F.regexp_replace(text, r"(?s)(.)", f"{LEFT}$1{RIGHT}")
+        joined = F.aggregate(steps, marked, lambda s, m: F.replace(s, m["pair"], m["made"])) if rules else marked
+        return F.filter(F.split(F.replace(joined, F.lit(LEFT), F.lit("")), RIGHT), lambda t: t != "")
+
+    either = F.regexp_extract_all(text, F.lit(f"[{LEFT}{RIGHT}]|[^{LEFT}{RIGHT}]+"), F.lit(0))
+    apart = F.flatten(F.transform(either, lambda t: F.when(t.isin(LEFT, RIGHT), F.array(t)).otherwise(merged(t))))
+    return F.when(text.rlike(f"[{LEFT}{RIGHT}]"), apart).otherwise(merged(text))
 
 
 def out_of_vocabulary(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """Words that the vocabulary lacks, with their frequency."""
     counted = words.groupBy(word).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(vocab.select(F.col("piece").alias(word))), word, "left_anti")
+    return counted.join(vocab.select(F.col("piece").alias(word)), word, "left_anti")
 
 
 def running_offsets(tokens: DataFrame, by: list[str], order: str, length: str = "length") -> DataFrame:

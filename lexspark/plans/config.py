@@ -9,13 +9,27 @@ from __future__ import annotations
 import json
 import warnings
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 KEYS = ("truncation", "padding", "added_tokens", "normalizer", "pre_tokenizer", "post_processor", "decoder", "model")
 NORMALIZERS = ("Sequence", "BertNormalizer", "NFC", "NFD", "NFKC", "NFKD", "Prepend", "Replace", "Strip", "StripAccents")
-PRE_TOKENIZERS = ("Sequence", "BertPreTokenizer", "Split", "ByteLevel")
+PRE_TOKENIZERS = (
+    "Sequence",
+    "BertPreTokenizer",
+    "Split",
+    "ByteLevel",
+    "CharDelimiterSplit",
+    "Digits",
+    "Metaspace",
+    "Punctuation",
+    "Whitespace",
+    "WhitespaceSplit",
+)
+#: What becomes of the matches of a split: alone, gone, joined to the piece before or after, or to each other.
+BEHAVIORS = ("Isolated", "Removed", "MergedWithPrevious", "MergedWithNext", "Contiguous")
 POST_PROCESSORS = ("Sequence", "TemplateProcessing", "ByteLevel")
-DECODERS = ("Sequence", "WordPiece", "ByteLevel", "Replace", "ByteFallback", "Fuse", "Strip")
+DECODERS = ("Sequence", "WordPiece", "ByteLevel", "Replace", "ByteFallback", "Fuse", "Strip", "BPEDecoder", "CTC", "Metaspace")
 
 
 class ConfigError(RuntimeError):
@@ -71,6 +85,39 @@ class BpeModel:
     ignore_merges: bool = False
 
 
+@dataclass(frozen=True)
+class WordLevelModel:
+    vocab: dict[str, int]
+    unk_token: str = "<unk>"
+
+
+@dataclass(frozen=True)
+class UnigramModel:
+    """``pieces`` (piece, log-probability); a piece's id is its place.  Characters that no piece of one character covers are unknown."""
+
+    pieces: tuple[tuple[str, float], ...]
+    unk_id: int | None = None
+    byte_fallback: bool = False
+    fuse_unk: bool = True
+
+    #: What an unknown character costs more than the least likely piece (fixed value).
+    PENALTY = 10.0
+
+    @cached_property
+    def vocab(self) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for i, (piece, _) in enumerate(self.pieces):
+            found.setdefault(piece, i)
+        return found
+
+    @property
+    def unknown_score(self) -> float:
+        return min((score for _, score in self.pieces), default=0.0) - self.PENALTY
+
+
+Model = WordPieceModel | BpeModel | WordLevelModel | UnigramModel
+
+
 @dataclass(frozen=True)
 class Truncation:
     max_length: int
@@ -96,7 +143,7 @@ class Pipeline:
     added_tokens: tuple[AddedToken, ...]
     normalizer: tuple[Part, ...]
     pre_tokenizer: tuple[Part, ...]
-    model: WordPieceModel | BpeModel | None
+    model: Model | None
     post_processor: tuple[Part, ...]
     decoder: tuple[Part, ...] | None
 
@@ -145,7 +192,7 @@ def _padding(raw: dict | None) -> Padding | None:
     )
 
 
-def _model(raw: dict | None) -> WordPieceModel | BpeModel | None:
+def _model(raw: dict | None) -> Model | None:
     if raw is None:
         return None
     kind = raw.get("type")
@@ -157,6 +204,14 @@ def _model(raw: dict | None) -> WordPieceModel | BpeModel | None:
         merges = tuple(tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in raw["merges"])
         names = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
         return BpeModel(dict(raw["vocab"]), merges, **{k: given[k] for k in names if k in given})
+    if kind == "WordLevel":
+        return WordLevelModel(dict(raw["vocab"]), **{k: given[k] for k in ("unk_token",) if k in given})
+    if kind == "Unigram":
+        pieces = tuple((piece, float(score)) for piece, score in raw["vocab"])
+        unknown = given.get("unk_id")
+        if unknown is not None and not 0 <= unknown < len(pieces):
+            raise ConfigError("unk_id is no id of the vocabulary")
+        return UnigramModel(pieces, unknown, **{k: given[k] for k in ("byte_fallback", "fuse_unk") if k in given})
     raise NotImplementedError(f"model {kind} has no behaviour here")
 
 

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode as decoders
-from ..functions.normalize import aligned, apply_one, normalize, normalize_aligned
+from ..functions.normalize import aligned, apply_one, moves, normalize, normalize_aligned
 from ..functions.split import pre_tokenize, pre_tokenize_aligned, whole
-from ..operators import added, encoding
+from ..operators import added, encoding, words
 from ..operators.models import evaluator
+from ..operators.words import WordTable
+from ..sources import scratch
 from . import config
 from .rows import row_decoder, row_encoder
 from .ship import ship
@@ -97,15 +99,55 @@ class Engine:
 
     # --- columns ------------------------------------------------------------------------------------------------------
 
-    def pieces(self, text: Column) -> Column:
-        """Words of a text as built-in expressions: array of (text, start, end, token_id), offsets in the normalized text."""
+    def split_normalized(self, text: Column) -> Column:
+        """The normalised text, cut at added tokens: array of (text, start, end, token_id)."""
         raw, normal, ids = self.added.matchable(self.vocab, False), self.added.matchable(self.vocab, True), self.added.by_content
         if not raw:
             split = whole(normalize(text, self.plan.normalizer))
         else:
-            split = added.extract(whole(text), raw, ids)
-            split = _normalize_gaps(split, self.plan.normalizer)
-        return pre_tokenize(added.extract(split, normal, ids), self.plan.pre_tokenizer)
+            held = text.rlike(f"(?U){added.pattern(raw)}")
+            plain = whole(normalize(F.when(~held, text), self.plan.normalizer))
+            cut = _normalize_gaps(added.extract(whole(F.when(held, text)), raw, ids), self.plan.normalizer)
+            split = F.when(held, cut).otherwise(plain)
+        return added.extract(split, normal, ids)
+
+    def pieces(self, text: Column) -> Column:
+        """Words of a text as built-in expressions: array of (text, start, end, token_id), offsets in the normalized text."""
+        return pre_tokenize(self.split_normalized(text), self.plan.pre_tokenizer)
+
+    def in_text(self, text: Column, tokens: Column) -> Column:
+        """Tokens with places in the normalised text, as tokens with places in the text.
+
+        Most texts keep every character in its place under normalisation; only for the others is an alignment made, by a vectorised
+        function that gets nulls for the rest.
+        """
+        raw, ids, parts = self.added.matchable(self.vocab, False), self.added.by_content, self.plan.normalizer
+        if not parts:
+            return tokens
+        ship()
+        pattern = added.pattern(raw) if raw else None
+
+        @F.pandas_udf("struct<starts:array<int>,ends:array<int>>")
+        def align(texts: pd.Series) -> pd.DataFrame:
+            matcher = regex.compile(pattern) if pattern else None
+            rows = []
+            for text in texts:
+                starts, ends = None, None
+                if text is not None:
+                    pieces = added.extract_aligned([(*aligned(text), None)], ids, matcher)
+                    pieces = [normalize_aligned(p[:3], parts) if p[3] is None else p for p in pieces]
+                    starts, ends = [i for p in pieces for i in p[1]], [i for p in pieces for i in p[2]]
+                rows.append((starts, ends))
+            return pd.DataFrame(rows, columns=["starts", "ends"])
+
+        def moved(a: Column) -> Column:
+            last = F.size(a["starts"]) - 1
+            begin = F.transform(tokens["starts"], lambda s: F.get(a["starts"], F.least(s, last)))
+            end = F.zip_with(tokens["starts"], tokens["ends"], lambda s, e: F.when(e > s, F.get(a["ends"], e - 1)).otherwise(F.get(a["starts"], F.least(s, last))))
+            return F.struct(tokens["ids"].alias("ids"), tokens["tokens"].alias("tokens"), tokens["words"].alias("words"), begin.alias("starts"), end.alias("ends"))
+
+        here = moves(text, parts)
+        return encoding.let(align(F.when(here, text)), lambda a: F.when(a["starts"].isNull(), tokens).otherwise(moved(a)))
 
     def _words(self):
         """text -> [(word, starts, ends, token id)] with offsets in the original text, for the fused function."""
@@ -178,15 +220,62 @@ class Engine:
 
     def encode(self, df: DataFrame, text: str = "text", into: str = "encoding", add_special_tokens: bool = True, pad_scope: str = "row") -> DataFrame:
         """Adds the encoding.  ``pad_scope="dataset"`` pads all rows to the longest one (one aggregate before)."""
-        held = df.withColumn("_tokens", self.tokens(F.col(text)))
-        encoded = held.withColumn(into, self.encode_column(F.col(text), add_special_tokens, F.col("_tokens"))).drop("_tokens")
+        tokens = free_name(df, "_tokens")
+        held = df.withColumn(tokens, self.tokens(F.col(text)))
+        encoded = held.withColumn(into, self.encode_column(F.col(text), add_special_tokens, F.col(tokens))).drop(tokens)
         if pad_scope != "dataset" or self.plan.padding is None or self.plan.padding.fixed is not None:
             return encoded
-        bare = replace(self, plan=replace(self.plan, padding=None)).encode(df, text, into, add_special_tokens)
-        most = bare.agg(F.coalesce(F.max(F.size(F.col(into)["ids"])), F.lit(0))).first()[0]
+        return self._pad_to_longest(replace(self, plan=replace(self.plan, padding=None)).encode(df, text, into, add_special_tokens), into)
+
+    def encode_by_words(
+        self,
+        df: DataFrame,
+        text: str = "text",
+        into: str = "encoding",
+        add_special_tokens: bool = True,
+        key: str | None = None,
+        pad_scope: str = "row",
+        table: "WordTable | None" = None,
+        batch: str = "0",
+    ) -> DataFrame:
+        """``encode`` as a relational plan for tables: each distinct word is tokenised once, and its tokens are joined to its places.
+
+        ``key`` is a column that tells rows apart; where none is given, rows get a number, and are written for it.  With a ``table``,
+        only words that it lacks are tokenised (under the name ``batch``).  Dropout between 0 and 1, and splits after a byte-level one,
+        cannot be planned so (``NotByWords``).  What is written on the way stays in the shared folder while the result is used.
+        """
+        model = self.plan.model
+        if isinstance(model, config.BpeModel) and 0 < model.dropout < 1:
+            raise words.NotByWords("dropout draws anew")
+        folder, columns = scratch.scratch_folder(df.sparkSession, "encode"), df.columns
+        if key is None:
+            key = free_name(df, "_key")
+            df = scratch.written(df.withColumn(key, F.monotonically_increasing_id()), f"{folder}/rows")
+        held = free_name(df, "_tokens")
+        found = words.tokens_by_words(self, df, key, text, folder, table, batch).withColumnRenamed("tokens", held)
+        none = F.lit(None).cast(TOKENS)
+        empty = F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in TOKENS])
+        joined = df.join(found, key, "left")
+        made = F.coalesce(F.when(F.col(text).isNull(), none).otherwise(F.col(held)), empty)
+        placed = joined.withColumn(held, self.in_text(F.col(text), made))
+        encoded = placed.withColumn(into, self.encode_column(F.col(text), add_special_tokens, F.col(held)))
+        if pad_scope != "dataset" or self.plan.padding is None or self.plan.padding.fixed is not None:
+            return encoded.select(*[c for c in columns if c != into], into)
+        bare = replace(self, plan=replace(self.plan, padding=None))
+        short = scratch.written(placed.withColumn(into, bare.encode_column(F.col(text), add_special_tokens, F.col(held))).select(*[c for c in columns if c != into], into), f"{folder}/encoded")
+        return self._pad_to_longest(short, into)
+
+    def _pad_to_longest(self, encoded: DataFrame, into: str) -> DataFrame:
+        """Pads encodings without padding to the longest of the table, a scalar subquery."""
+        size = free_name(encoded, "_longest")
+        longest = encoded.agg(F.coalesce(F.max(F.size(F.col(into)["ids"])), F.lit(0)).alias(size)).scalar()
         main = F.struct(*[F.col(into)[n].alias(n) for n in encoding.FIELDS])
-        parts = F.transform(F.concat(F.array(main), F.col(into)["overflowing"]), lambda p: encoding.pad(p, self.plan.padding, F.lit(most)))
-        return bare.withColumn(into, F.when(F.col(into).isNotNull(), encoding.with_overflow(parts)))
+        parts = F.transform(F.concat(F.array(main), F.col(into)["overflowing"]), lambda p: encoding.pad(p, self.plan.padding, F.col(size)))
+        return encoded.withColumn(size, longest).withColumn(into, F.when(F.col(into).isNotNull(), encoding.with_overflow(parts))).drop(size)
+
+    def counts_by_words(self, df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+        """``token_counts`` as a relational plan: words are counted, distinct ones tokenised, and their tokens' counts summed up."""
+        return words.counts_by_words(self, df, text, by, scratch.scratch_folder(df.sparkSession, "counts"))
 
     def token_counts(self, df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
         """Rows (*by, token, id, n): how often each token of the model stands in the texts of a group.
@@ -200,19 +289,28 @@ class Engine:
     def id_tokens(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         """The token strings of an array of ids; an id without a token raises.
 
-        Built-in lookup: an array literal in which an id is its own place (folded once; as long as the largest id).
+        Built-in lookup: an array literal in which an id is its own place (folded once).  Ids far beyond the vocabulary's size, which
+        would make it long, are few: they are looked up one by one.
         """
         names = {i: t for t, i in self.vocab.items()} | self.added.by_id
         specials = self.added.specials if skip_special_tokens else frozenset()
-        listed = [names.get(i) for i in range(max(names, default=-1) + 1)]
+        dense = 2 * len(names) + 1024
+        listed = [names.get(i) for i in range(max((i for i in names if i < dense), default=-1) + 1)]
         table = F.from_json(F.lit(json.dumps(listed)), "array<string>")
+        far = sorted(i for i in names if i >= dense)
         unknown = F.raise_error(F.lit("an id has no token")).cast("string")
-        tokens = F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown))
+        distant = F.from_json(F.lit(json.dumps({str(i): names[i] for i in far})), "map<int,string>")
+
+        def name(i: Column) -> Column:
+            return F.coalesce(F.get(table, i), *([F.try_element_at(distant, i)] if far else []), unknown)
+
+        tokens = F.transform(ids, name)
         return F.filter(tokens, lambda t: ~t.isin(sorted(specials))) if specials else tokens
 
     def decode(self, df: DataFrame, ids: str = "ids", into: str = "decoded", skip_special_tokens: bool = True) -> DataFrame:
-        held = df.withColumn("_held", self.id_tokens(F.col(ids), skip_special_tokens))
-        return held.withColumn(into, decoders.decode_tokens(F.col("_held"), self.plan.decoder)).drop("_held")
+        held = free_name(df, "_held")
+        named = df.withColumn(held, self.id_tokens(F.col(ids), skip_special_tokens))
+        return named.withColumn(into, decoders.decode_tokens(F.col(held), self.plan.decoder)).drop(held)
 
     # --- SQL --------------------------------------------------------------------------------------------------------------
 
@@ -244,6 +342,13 @@ class Engine:
         spark.udtf.register(table, F.udtf(Tokenize, returnType="pos int, id int, token string, word int, start int, end int"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _flags(rows: pd.Series, given: tuple[pd.Series, ...], default: bool) -> list[bool]:
     """The optional flag of an SQL function: the default where it is left out or null."""
     return [default] * len(rows) if not given else [default if f is None or f != f else bool(f) for f in given[0]]

@@ -72,6 +72,19 @@ def _decode_part(tokens: list[str], part: Part) -> list[str]:
         return byte_fallback_runs(tokens)
     if part.kind == "Fuse":
         return ["".join(tokens)]
+    if part.kind == "BPEDecoder":
+        suffix = part.get("suffix", "</w>")
+        return [t.replace(suffix, "" if i == len(tokens) - 1 else " ") for i, t in enumerate(tokens)]
+    if part.kind == "Metaspace":
+        mark, drop = part.get("replacement", "▁"), part.get("add_prefix_space", part.get("prepend_scheme", "always") != "never")
+        return [(t.removeprefix(mark) if i == 0 and drop else t).replace(mark, " ") for i, t in enumerate(tokens)]
+    if part.kind == "CTC":
+        out = [t for i, t in enumerate(tokens) if (i == 0 or t != tokens[i - 1]) and t != part.get("pad_token", "<pad>")]
+        if part.get("cleanup", True):
+            for old, new in CLEANUP:
+                out = [t.replace(old, new) for t in out]
+            out = [t.replace(part.get("word_delimiter_token", "|"), " ") for t in out]
+        return [t for t in out if t]
     return [_strip(t, part.options["content"], part.get("start", 0), part.get("stop", 0)) for t in tokens]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import decode, normalize, split
 from .operators import added, encoding, models
-from .plans.config import AddedToken, Truncation
+from .plans.config import AddedToken, Truncation, WordLevelModel
 from .plans.engine import Engine
 from .plans.ship import ship
 from .sources.config_file import checked_utf8
@@ -255,6 +255,43 @@ def m3_bpe_by_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n"))
 
 
+UNIGRAM = fixtures.unigram_pieces()
+#: CTEs over dw(word), distinct and not empty: ut(word, s, e, id) are the tokens of each word's likeliest segmentation, unknown ones fused.
+UNIGRAM_SQL = rf"""
+uni(piece, id, score) AS (VALUES {", ".join(f"({_quoted(p)}, {i}, {s!r}::DOUBLE)" for i, (p, s) in enumerate(UNIGRAM))}),
+us AS (SELECT word, s, s + n AS e FROM (SELECT word, unnest(range(0, length(word))) AS s FROM dw), range(1, {max(len(p) for p, _ in UNIGRAM)} + 1) r(n) WHERE s + n <= length(word)),
+ua AS (SELECT word, s, e, coalesce(id, -1) AS id, coalesce(score, {min(s for _, s in UNIGRAM) - 10.0!r}::DOUBLE) AS score FROM us LEFT JOIN uni ON piece = substr(word, s + 1, e - s) WHERE id IS NOT NULL OR e = s + 1),
+ue AS (SELECT word, list(arcs ORDER BY e) AS ends FROM (SELECT word, e, list({{'s': s, 'id': id, 'score': score}}) AS arcs FROM ua GROUP BY word, e) GROUP BY word),
+uf AS (SELECT word, ends, 0 AS at, [{{'score': 0.0::DOUBLE, 'back': 0::BIGINT, 'id': -2}}] AS best FROM ue
+       UNION ALL SELECT word, ends, at + 1, list_append(best, list_aggregate(list_transform(ends[at + 1], lambda x: {{'score': best[x.s + 1].score + x.score, 'back': -x.s, 'id': x.id}}), 'max')) FROM uf WHERE at < len(ends)),
+ub AS (SELECT word, best, len(ends)::BIGINT AS e FROM uf WHERE at = len(ends) UNION ALL SELECT word, best, -best[e + 1].back FROM ub WHERE e > 0),
+up AS (SELECT word, -best[e + 1].back AS s, e, best[e + 1].id AS id FROM ub WHERE e > 0),
+ug AS (SELECT *, sum(CASE WHEN id = -1 AND before = -1 THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY s) AS g FROM (SELECT *, lag(id) OVER (PARTITION BY word ORDER BY s) AS before FROM up)),
+ut AS (SELECT word, min(s) AS s, max(e) AS e, CASE WHEN any_value(id) = -1 THEN 0 ELSE any_value(id) END AS id FROM ug GROUP BY word, g)"""
+
+
+@query(
+    rf"""WITH RECURSIVE dw AS (SELECT DISTINCT '▁' || word AS word FROM (SELECT unnest({WORDS_SQL}) AS word FROM documents)), {UNIGRAM_SQL}
+SELECT word, string_agg(substr(word, s + 1, e - s), ' ' ORDER BY s) AS tokens, string_agg(id::VARCHAR, ' ' ORDER BY s) AS ids, count(*)::BIGINT AS n FROM ut GROUP BY word"""
+)
+def m10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _normal_words(read(spark, sf_dir, "documents")).select(F.explode("words").alias("word")).select(F.concat(F.lit(fixtures.MARK), "word").alias("word"))
+    found = models.unigram_by_join(words, Engine.from_json(fixtures.unigram_small()).plan.model)
+    ids = F.transform("tokens", lambda t: t["id"].cast("string"))
+    return found.select("word", F.array_join(F.transform("tokens", lambda t: t["value"]), " ").alias("tokens"), F.array_join(ids, " ").alias("ids"), F.size("tokens").cast("bigint").alias("n"))
+
+
+@query(
+    f"WITH {VOCAB_SQL}, w AS (SELECT unnest({WORDS_SQL}) AS word FROM documents) "
+    "SELECT word, coalesce(piece, '[UNK]') AS token, coalesce(id, 1)::BIGINT AS id, count(*)::BIGINT AS n FROM w LEFT JOIN vocab ON piece = word GROUP BY ALL"
+)
+def m10_word_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _normal_words(read(spark, sf_dir, "documents")).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = models.wordlevel_by_join(counted, WordLevelModel(VOCAB, "[UNK]"))
+    token = F.get("tokens", F.lit(0))
+    return counted.join(found, "word").select("word", token["value"].alias("token"), token["id"].cast("bigint").alias("id"), "n")
+
+
 @query(f"WITH {VOCAB_SQL}, w AS (SELECT unnest({WORDS_SQL}) AS word FROM documents) SELECT word, count(*)::BIGINT AS n FROM w WHERE word NOT IN (SELECT piece FROM vocab) GROUP BY word")
 def m1_out_of_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _normal_words(read(spark, sf_dir, "documents")).select(F.explode("words").alias("word"))
@@ -285,7 +322,7 @@ FROM documents d LEFT JOIN e USING (doc_id)"""
 @query(ENCODE_SQL)
 def s4_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_json(fixtures.bert_small())
-    encoded = engine.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    encoded = engine.encode_by_words(read(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
     ids = F.col("encoding.ids")
     return encoded.select(
         "doc_id",
@@ -308,7 +345,7 @@ FROM tok JOIN ow USING (item_id, k)"""
 )
 def s4_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_json(fixtures.bert_small())
-    rows = encoding.token_rows(engine.encode(read(spark, sf_dir, "benchmark").select("item_id", "text")), ["item_id"])
+    rows = encoding.token_rows(engine.encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id"), ["item_id"])
     long = lambda c: F.col(c).cast("bigint")
     return rows.where("special = 0").select("item_id", long("pos").alias("pos"), long("id").alias("id"), "token", long("word").alias("word"), long("start").alias("start"), long("end").alias("stop"))
 
@@ -367,7 +404,7 @@ q AS (SELECT item_id, s, len(ids) AS m, list_concat(ids, list_transform(range(0,
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY s) - 1)::BIGINT AS part, array_to_string(ids, ',') AS ids, m::BIGINT AS attended, len(ids)::BIGINT AS n FROM q"""
 )
 def e10_truncate_template_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = Engine.from_json(fixtures.trunc_pad()).encode(read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    encoded = Engine.from_json(fixtures.trunc_pad()).encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id")
     main = F.struct(*[F.col("encoding")[n].alias(n) for n in encoding.FIELDS])
     parts = encoded.select("item_id", F.posexplode(F.concat(F.array(main), F.col("encoding.overflowing"))).alias("part", "e"))
     return parts.select(
@@ -386,7 +423,7 @@ def e10_truncate_template_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e12_pad_to_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     padding = {"strategy": "BatchLongest", "direction": "Right", "pad_id": 0, "pad_type_id": 0, "pad_token": "[PAD]", "pad_to_multiple_of": 8}
     engine = Engine.from_json(fixtures.bert_small(padding=padding))
-    encoded = engine.encode(read(spark, sf_dir, "benchmark").select("item_id", "text"), pad_scope="dataset")
+    encoded = engine.encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id", pad_scope="dataset")
     attended = F.aggregate("encoding.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return encoded.select("item_id", attended.alias("attended"), F.size("encoding.ids").cast("bigint").alias("n"))
 
@@ -410,14 +447,14 @@ SELECT item_id, string_agg({_CLEAN_SQL}, '' ORDER BY p) AS decoded FROM o GROUP
 )
 def d2_wordpiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_json(fixtures.bert_small())
-    encoded = engine.encode(read(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", F.col("encoding.ids").alias("ids"))
+    encoded = engine.encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id").select("item_id", F.col("encoding.ids").alias("ids"))
     return engine.decode(encoded).select("item_id", "decoded")
 
 
 @query("SELECT conv_id, turn, text AS decoded FROM conversations")
 def d4_byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_json(fixtures.byte_bpe_small())
-    encoded = engine.encode(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.col("encoding.ids").alias("ids"))
+    encoded = engine.encode_by_words(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.col("encoding.ids").alias("ids"))
     return engine.decode(encoded).select("conv_id", "turn", "decoded")
 
 
@@ -447,7 +484,7 @@ def d7_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {wordpiece_sql('documents', 'doc_id')} SELECT piece AS token, count(*)::BIGINT AS n FROM tok GROUP BY piece")
 def t1_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine.from_json(fixtures.bert_small()).token_counts(read(spark, sf_dir, "documents").select("text")).select("token", "n")
+    return Engine.from_json(fixtures.bert_small()).counts_by_words(read(spark, sf_dir, "documents").select("text")).select("token", "n")
 
 
 @query(
@@ -456,7 +493,7 @@ def t1_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t2_tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, group = read(spark, sf_dir, "documents").select("lang", "source", "text"), ["lang", "source"]
-    tokens = Engine.from_json(fixtures.bert_small()).token_counts(docs, by=tuple(group))
+    tokens = Engine.from_json(fixtures.bert_small()).counts_by_words(docs, by=tuple(group))
     unknown = F.sum(F.when(F.col("id") == 1, F.col("n")).otherwise(0))
     summed = tokens.groupBy(*group).agg(F.sum("n").alias("n"), unknown.alias("u"))
     counted = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
