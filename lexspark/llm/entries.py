@@ -80,7 +80,7 @@ def op12_token_alignment(
     a: str = public_tokenizers.path("byte_bpe_50k.json"),
     b: str = public_tokenizers.path("piece_bpe_32k.model"),
 ) -> DataFrame:
-    return alignment.report(table(spark, sf_dir, "documents"), a, b)
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
 
 
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

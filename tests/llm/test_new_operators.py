@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -160,19 +161,19 @@ def test_token_alignment(spark):
     schema = "doc_id long, text string, links string, _row long, a_ids int, groups int"
     frame = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], schema).repartition(3)
     want = sorted(brute_alignment(rows), key=str)
-    found = alignment.report(frame, A, B).collect()
+    found = alignment.align(frame, A, B).collect()
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted((tuple(r[c] for c in columns) for r in found), key=str) == [w[:-1] for w in want]
     whole = alignment.align(frame, A, B, whole=True).collect()
     assert sorted(((r.doc_id, r.groups) for r in whole), key=str) == sorted(((w[0], w[-1]) for w in want), key=str)
-    assert alignment.report(frame.limit(0), A, B).count() == 0
-    assert {t for t in spark.catalog.listTables() if t.name.startswith("lexspark_tokens_")} == set()
+    assert alignment.align(frame.limit(0), A, B).count() == 0
+    assert {t for t in spark.catalog.listTables() if t.name.startswith(("lexspark_encoded_", "lexspark_words_", "lexspark_scores_"))} == set()
 
 
 def test_rare_pairs_are_scored_by_shuffle(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(odd_texts(random.Random(5))[:20])]
     monkeypatch.setattr(alignment, "SHARES", 20)
-    found = alignment.report(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
+    found = alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
     assert sorted((r.doc_id, r.n_best, r.count_sum) for r in found) == [(w[0], w[5], w[6]) for w in brute_alignment(rows)]
 
 
@@ -180,8 +181,11 @@ def test_pieces_by_words_equal_the_library():
     encoder, library = alignment.PieceEncoder(B), sentencepiece.SentencePieceProcessor(model_file=B)
     assert encoder.by_words
     texts = [t for t in odd_texts(random.Random(6)) if t and "▁" not in t]
-    ids, ends = encoder.encode(alignment.pa.array([f" {t}" for t in texts]))
-    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == library.encode(texts)
+    for text in texts:
+        data = f" {text}".encode()
+        starts = [*alignment.word_starts(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist(), len(data)]
+        made = encoder.words([data[a:b] for a, b in zip(starts, starts[1:])])
+        assert [i for ids in made for i in ids.tolist()] == library.encode(text)
 
 
 # --- exact dedup ---------------------------------------------------------------------------------------------------------------
