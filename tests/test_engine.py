@@ -56,8 +56,8 @@ def test_names_without_behaviour_warn():
     with pytest.warns(UserWarning):
         assert part({"type": "Lowercase"}) == ()
     with pytest.warns(UserWarning):
-        assert Engine.from_json(fixtures.EMPTY | {"pre_tokenizer": {"type": "Whitespace"}}).plan.pre_tokenizer == ()
-    for slot, raw in (("model", {"type": "Unigram", "vocab": {}}), ("decoder", {"type": "CTC"})):
+        assert Engine.from_json(fixtures.EMPTY | {"pre_tokenizer": {"type": "UnicodeScripts"}}).plan.pre_tokenizer == ()
+    for slot, raw in (("model", {"type": "Markov", "vocab": {}}), ("decoder", {"type": "Telegraph"})):
         with pytest.raises(NotImplementedError):
             Engine.from_json(fixtures.EMPTY | {slot: raw})
 
