@@ -6,13 +6,9 @@ running sums of lengths, and ends at which both sides have a token (an equi-join
 is the running count of cuts; the tokens between two cuts are a group.  The two tokens that end at a cut are linked; how often an id
 pair is linked is counted over the whole corpus.
 
-Both tokenizers cut where a space follows another character, so a text's tokens are those of its words (a word: spaces and what
-follows them), and every end of a word is a cut.  Documents are dealt to parts of a few megabytes; within a part each distinct word is
-encoded and aligned once, and a document's counts and groups are put together from its words'.  Where the tokenizers do not cut so, a
-whole text is a word.  The tables are bucketed by part: explosions, running sums and joins move nothing but the texts, once.
-
-An id pair's count needs all parts: pairs with a ten-thousandth of all links or more are broadcast, and only the links of rarer ones in
-distinct words are shuffled.
+Texts are placed by document once, and their ids are written as a bucketed table: explosion, running sums, join and numbering move
+nothing, and each reads the side that it needs.  A row's place in the table, not its key, tells it apart.  Links are written; to give each the count of its pair, pairs with a ten-thousandth of all links
+or more are broadcast, and only links of rarer pairs are shuffled.
 
 Defined results, one row per document: a null or empty text, and one whose tokens' bytes are not those of space and text on either side
 (U+2581 in it, say), has no tokens: zeros, and an empty ``groups`` and ``groups_sha256``; the strings of special tokens in a text are
@@ -29,19 +25,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.split import CHAR_BYTES
+from ..operators.encoding import let
 from .bpe import share_file
-from .chunks import PartTable, collector_paused, text_starts
+from .chunks import PartTable
 from .common import FREED, SHARES, delete_path, map_rows, remembered, scratch_path, settings, written
 
-#: Bytes of text of a part, about; beyond so many parts they are larger, and sorts of their words' tokens spill.
-PART_BYTES = 6_000_000
-MOST_PARTS = 50_000
-#: Joins and groupings within parts take the tables' placing; aggregation holds as many words or documents as a part has.
+#: Bytes of text that a task holds, about, so that its tokens can be sorted in memory; beyond so many tasks they hold more, and sorts spill.
+TASK_BYTES = 4_000_000
+MOST_TASKS = 100_000
+#: The join takes the placing by document for one by document and end; the aggregation by document holds as many documents as a
+#: task has, instead of sorting all cuts again.
 IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000000"}
 BLANK = "▁"
 
@@ -79,7 +77,7 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """The sentencepiece library, asked once per distinct word that is not remembered, where its pieces hold spaces only at their front."""
 
-    MOST_WORDS = 400_000
+    MOST_PARTS = 400_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -88,18 +86,22 @@ class PieceEncoder:
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.lone = self.library.piece_to_id(BLANK)
         self.by_words = not any(BLANK in p.lstrip(BLANK) for p in pieces) and pieces[self.lone] == BLANK
-        self.table = PartTable(self._encode_parts, self.MOST_WORDS, word_starts)
+        self.table = PartTable(self._encode_parts, self.MOST_PARTS, word_starts, portion=1 << 21)
 
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         """The ids of each part, which begins with the space that the library adds, but to nothing."""
         listed = self.library.encode([p[1:].decode() for p in parts], num_threads=1)
         return [np.array(ids if len(p) > 1 else [self.lone], np.uint32).tobytes() for p, ids in zip(parts, listed)]
 
-    def words(self, parts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each of distinct words, or of texts, all of which begin with a space."""
-        if not self.by_words:
-            return [np.array(ids, np.uint32) for ids in self.library.encode([p[1:].decode() for p in parts], num_threads=1)]
-        return [np.frombuffer(ids, np.uint32) for ids in self.table._look(parts)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts that begin with a space, the ids end to end, and where each text's ids end."""
+        if self.by_words:
+            return self.table.encode(texts)
+        return _listed(self.library.encode([t[1:] for t in texts.to_pylist()], num_threads=1))
+
+
+def _listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for own in ids for i in own], np.uint32), np.cumsum([len(own) for own in ids], dtype=np.int64)
 
 
 class BothEncoders:
@@ -108,64 +110,42 @@ class BothEncoders:
 
         self.a, self.b = LibraryEncoder(a_path), PieceEncoder(b_path)
         self.a.library.encode_special_tokens = True
-        self.a.table = PartTable(self.a._encode_parts, PieceEncoder.MOST_WORDS)
-        self.by_words = self.a.simple and self.b.by_words
+        self.a.table = PartTable(self.a._encode_parts, PieceEncoder.MOST_PARTS, portion=1 << 21)
+        self.whole = not self.a.simple
         self.bytes = byte_level_token_bytes(a_path), piece_token_bytes(b_path)
-
-    def words(self, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids that A and B give each of distinct words; None where the bytes of either's tokens are not the word's."""
-        if self.a.simple:
-            of_a = [np.frombuffer(ids, np.uint32) for ids in self.a.table._look(parts)]
-        else:
-            of_a = [np.array(self.a.library.encode(p.decode(), add_special_tokens=False).ids, np.uint32) for p in parts]
-        a_bytes, b_bytes = self.bytes
-        out = []
-        for part, a, b in zip(parts, of_a, self.b.words(parts)):
-            same = b"".join([a_bytes[i] for i in a.tolist()]) == part == b"".join([b_bytes[i] for i in b.tolist()])
-            out.append((a, b) if same else None)
-        return out
-
-
-class PartEncoder:
-    """Numbers the distinct words of one part of the documents, in the order in which they come."""
-
-    def __init__(self, encoders: BothEncoders):
-        self.encoders, self.known = encoders, {}
-        self.good = np.zeros(0, bool)
+        self.flat = [np.frombuffer(b"".join(t), np.uint8) for t in self.bytes]
+        self.sizes = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
+        self.heads = [np.cumsum(s) - s for s in self.sizes]
+
+    def _same(self, side: int, ids: np.ndarray, ends: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts' tokens have the bytes of the text."""
+        sizes = self.sizes[side][ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        totals = stops[np.concatenate([[0], ends])]
+        same = np.diff(totals) == np.diff(offsets)
+        for t in np.flatnonzero(same & (np.diff(offsets) > 0)).tolist():
+            a, b = (0 if t == 0 else int(ends[t - 1])), int(ends[t])
+            own = sizes[a:b]
+            at = np.repeat(self.heads[side][ids[a:b]] - (stops[a:b] - stops[a]), own) + np.arange(stops[b] - stops[a])
+            same[t] = np.array_equal(self.flat[side][at], data[offsets[t] : offsets[t + 1]])
+        return same
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """Lists of the words' numbers, and of what is new: (number, a_ids, b_ids).  Texts without tokens have no words."""
+        """The ids of A and B as lists; texts without tokens have empty ones."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
-        n = len(spaced)
         _, where, held = spaced.buffers()
-        offsets = np.frombuffer(where, np.int32)[spaced.offset : spaced.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        starts = (word_starts if self.encoders.by_words else text_starts)(data, offsets)
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        named = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        parts = named.dictionary.to_pylist()
-        fresh = [p for p in parts if p not in self.known]
-        with collector_paused():
-            made = self.encoders.words(fresh)
-        first = len(self.known)
-        self.known.update(zip(fresh, range(first, first + len(fresh))))
-        self.good = np.append(self.good, [m is not None for m in made])
-        numbers = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))[named.indices.to_numpy()]
-        ends = np.searchsorted(starts, offsets[1:])
-        bad = np.concatenate([[0], np.cumsum(~self.good[numbers])])
-        kept = bad[ends] == bad[np.concatenate([[0], ends[:-1]])]
-        counts = np.diff(ends, prepend=0)
-        words = _lists(np.cumsum(counts * kept), pa.array(numbers[np.repeat(kept, counts)].astype(np.int32)))
-        new = [(first + i, *m) for i, m in enumerate(made) if m is not None]
-        ids = [_lists(np.cumsum([len(m[side]) for m in new]), pa.array(np.concatenate([np.zeros(0, np.uint32), *[m[side] for m in new]]).astype(np.int32))) for side in (1, 2)]
-        struct = pa.StructArray.from_arrays([pa.array([m[0] for m in new], pa.int32()), *ids], ["word", "a_ids", "b_ids"])
-        return words, _lists(np.array([len(new)] * n), struct)  # all of them with the first row
-
-
-def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+        n = len(spaced)
+        offsets = np.frombuffer(where, np.int32)[spaced.offset : spaced.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        made = [_listed([e.ids for e in self.a.library.encode_batch(spaced.to_pylist(), add_special_tokens=False)]) if self.whole else self.a.table.encode(spaced), self.b.encode(spaced)]
+        good = self._same(0, *made[0], data, offsets) & self._same(1, *made[1], data, offsets)
+        out = []
+        for ids, ends in made:
+            counts = np.diff(ends, prepend=0)
+            kept = ids[np.repeat(good, counts)].astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts * good)]).astype(np.int32)), pa.array(kept)))
+        return out[0], out[1]
 
 
 _of_this_worker: dict[tuple, BothEncoders] = remembered("alignment")
@@ -178,163 +158,129 @@ def worker_encoders(*paths: str) -> BothEncoders:
     return _of_this_worker[paths]
 
 
-def part_values(spark: SparkSession, parts: int) -> list[int]:
-    """A number for each bucket of a table in so many, which falls into it: rows bucketed by it fill all buckets evenly."""
-    found = spark.range(parts * (12 + parts.bit_length())).select(F.col("id").cast("int").alias("v"))
-    rows = found.groupBy(F.pmod(F.hash("v"), F.lit(parts)).alias("bucket")).agg(F.min("v").alias("v")).collect()
-    return [r.v for r in sorted(rows)]
-
-
-def encoded_parts(docs: DataFrame, a_path: str, b_path: str, folder: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The table ``name`` in ``folder``, bucketed by part: rows (key, _row, part, words, fresh), one per document.
-
-    ``words`` are numbers of words of the part; ``fresh`` has those (word, a_ids, b_ids) that came up since the part's last row with any.
-    ``_row`` is a row's place in ``docs``.
-    """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    values = part_values(spark, min(MOST_PARTS, max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))))
+def encode_both(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, _row, a_ids, b_ids), one per row of ``docs`` (key, _row, text)."""
     names = share_file(docs, a_path), share_file(docs, b_path)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    table = F.from_json(F.lit(json.dumps(values)), "array<int>")
-    placed = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    placed = placed.withColumn("part", F.get(table, F.pmod(F.xxhash64("_row"), F.lit(len(values))).cast("int"))).repartition(len(values), "part")
 
     def run(batches):
-        encoders, now = worker_encoders(*map(SparkFiles.get, names)), {}
+        encoders = worker_encoders(*map(SparkFiles.get, names))
         for batch in batches:
-            parts = batch.column(2).to_numpy()  # an empty batch has none
-            for part in np.unique(parts).tolist():  # as a rule there is one
-                own = batch.filter(pa.array(parts == part)) if (parts != part).any() else batch
-                encoder = now.setdefault(part, PartEncoder(encoders))
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], *encoder.encode(own.column(3))], ["key", "_row", "part", "words", "fresh"])
-
-    schema = f"key {kind}, _row bigint, part int, words array<int>, fresh array<struct<word:int,a_ids:array<int>,b_ids:array<int>>>"
-    made = map_rows(placed.select(F.col(key), "_row", "part", "_text"), run, schema, "alignment").withColumnRenamed("key", key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *encoders.encode(batch.column(2))], ["key", "_row", "a_ids", "b_ids"])
+
+    made = map_rows(docs.select(key, "_row", text), run, f"key {kind}, _row bigint, a_ids array<int>, b_ids array<int>", "alignment")
+    return made.withColumnRenamed("key", key)
+
+
+def token_table(docs: DataFrame, a_path: str, b_path: str, folder: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode_both`` as the table ``name`` in ``folder``, bucketed and sorted by ``_row``, a row's place in ``docs``."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    placed = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).repartition(tasks, "_row")
     with settings(spark, FREED):
-        bucketed(made, len(values), f"{folder}/{name}", name)
+        encoded = encode_both(placed, a_path, b_path, key, text)
+        encoded.write.format("parquet").option("path", f"{folder}/tokens").option("compression", "zstd").bucketBy(tasks, "_row").sortBy("_row").saveAsTable(name)
     return spark.table(name)
 
 
-def bucketed(df: DataFrame, parts: int, path: str, name: str) -> None:
-    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, "part").saveAsTable(name)
+# --- alignment -----------------------------------------------------------------------------------------------------------------
 
 
-# --- alignment -----------------------------------------------------------------------------------------------------------------
+def token_ends(rows: DataFrame, ids: str, sizes: list[int], place: str, id: str) -> DataFrame:
+    """Rows (_row, end, place, id), one per token: where it ends in the bytes of its text, from the running sum of lengths."""
+    tokens = rows.select("_row", F.posexplode(ids).alias(place, id))
+    size = F.get(F.from_json(F.lit(json.dumps(sizes)), "array<int>"), F.col(id))
+    upto = W.partitionBy("_row").orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return tokens.withColumn("_size", size).select("_row", F.sum("_size").over(upto).alias("end"), place, id)
 
 
-WORD = ["part", "word"]
+def cuts(rows: DataFrame, a_sizes: list[int], b_sizes: list[int]) -> DataFrame:
+    """Rows (_row, group, end, a_at, a_id, b_at, b_id), one per place where tokens of both sides end; groups count from 1."""
+    a = token_ends(rows, "a_ids", a_sizes, "a_at", "a_id")
+    b = token_ends(rows, "b_ids", b_sizes, "b_at", "b_id")
+    met = a.join(b.hint("merge"), ["_row", "end"])
+    return met.withColumn("group", F.row_number().over(W.partitionBy("_row").orderBy("end")))
 
 
-def token_ends(words: DataFrame, ids: str, sizes: list[int], place: str, id: str) -> DataFrame:
-    """Rows (part, word, end, place, id), one per token: where it ends in the bytes of its word, from the running sum of lengths."""
-    tokens = words.select(*WORD, F.posexplode(ids).alias(place, id))
-    size = F.get(F.from_json(F.lit(json.dumps(sizes)), "array<int>"), F.col(id))
-    upto = W.partitionBy(*WORD).orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return tokens.withColumn("_size", size).select(*WORD, F.sum("_size").over(upto).alias("end"), place, id)
+def group_text(a_ids: Column, b_ids: Column, ends: Column) -> Column:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``ends`` has a group's last places, a_at * 2**32 + b_at, in order.
 
+    Linear in the tokens: a mark after each token, which says whether its group goes on, is made from the distances between cuts.
+    """
 
-def cuts(words: DataFrame, a_sizes: list[int], b_sizes: list[int]) -> DataFrame:
-    """Rows (part, word, group, end, a_at, a_id, b_at, b_id), one per place where tokens of both sides end; groups count from 1."""
-    a = token_ends(words, "a_ids", a_sizes, "a_at", "a_id")
-    b = token_ends(words, "b_ids", b_sizes, "b_at", "b_id")
-    met = a.join(b.hint("merge"), [*WORD, "end"])
-    return met.withColumn("group", F.row_number().over(W.partitionBy(*WORD).orderBy("end")))
+    def side(ids: Column, place) -> Column:
+        def text(last: Column) -> Column:
+            before = F.concat(F.array(F.lit(-1)), F.slice(last, 1, F.size(last) - 1))
+            marks = F.flatten(F.zip_with(before, last, lambda x, y: F.array_append(F.array_repeat(F.lit(","), y - x - 1), F.lit(";"))))
+            return F.array_join(F.zip_with(ids, marks, lambda i, m: F.concat(i.cast("string"), m)), "")
+
+        marked = let(F.transform(ends, lambda e: place(e).cast("int")), text)
+        return F.split(F.rtrim(marked, F.lit(";")), ";")
 
+    low = F.lit((1 << 32) - 1)
+    joined = F.zip_with(side(a_ids, lambda e: F.shiftright(e, 32)), side(b_ids, lambda e: e.bitwiseAND(low)), lambda x, y: F.concat(x, F.lit("|"), y))
+    return F.when(F.size(ends) > 0, F.array_join(joined, ";")).otherwise("")
 
-def group_text(a_ids: Column, b_ids: Column, cuts: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``cuts`` has a group's last places ``a_at`` and ``b_at``, in order.
 
-    Linear in the tokens: a mark for each token, which says whether its group goes on, is made from the distances between cuts.
+def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", whole: bool = False, folder: str | None = None) -> DataFrame:
+    """Rows (key, _row, n_a, n_b, n_groups, n_links, groups_sha256, links), one per document; a link is a_id * 2**32 + b_id.
+
+    ``whole`` adds ``groups``, the text of which ``groups_sha256`` is the digest.  The result is written to ``folder``.
     """
+    spark = docs.sparkSession
+    folder = folder or scratch_path(spark, "alignment")
+    name = f"lexspark_tokens_{uuid.uuid4().hex}"
+    rows = token_table(docs, a_path, b_path, folder, name, key, text)
+    sizes = [[len(t) for t in made] for made in (byte_level_token_bytes(a_path), piece_token_bytes(b_path))]
+    both = lambda high, low: F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
+    listed = cuts(rows, *sizes).groupBy("_row").agg(F.sort_array(F.collect_list(both(F.col("a_at"), F.col("b_at")))).alias("ends"), F.max("group").cast("bigint").alias("n_groups"))
+    met = rows.join(listed.hint("merge"), "_row", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
+    # the last tokens of each group are linked
+    links = F.transform("ends", lambda e: both(F.get("a_ids", F.shiftright(e, 32).cast("int")), F.get("b_ids", e.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
+    groups = group_text(F.col("a_ids"), F.col("b_ids"), F.col("ends"))
+    count = F.coalesce("n_groups", F.lit(0).cast("bigint"))
+    made = met.select(key, "_row", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), count.alias("n_groups"), links.alias("links"), groups.alias("groups"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    out = made.select(key, "_row", "n_a", "n_b", "n_groups", F.size("links").cast("bigint").alias("n_links"), digest.alias("groups_sha256"), *(["groups"] if whole else []), "links")
+    with settings(spark, IN_PLACE):
+        found = written(out, f"{folder}/aligned")
+    spark.sql(f"DROP TABLE {name}")
+    delete_path(spark, f"{folder}/tokens")
+    return found
 
-    def side(ids: Column, name: str) -> Column:
-        ends = F.transform(cuts, lambda c: c[name])
-        before = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(ends) - 1))
-        marks = F.array_join(F.zip_with(before, ends, lambda x, y: F.concat(F.repeat(F.lit(","), y - x - 1), F.lit(";"))), "")
-        marked = F.array_join(F.zip_with(ids.cast("array<string>"), F.split(marks, ""), lambda i, m: F.concat(i, m)), "")
-        return F.split(F.rtrim(marked, F.lit(";")), ";")
 
-    joined = F.zip_with(side(a_ids, "a_at"), side(b_ids, "b_at"), lambda x, y: F.concat(x, F.lit("|"), y))
-    return F.when(F.size(cuts) > 0, F.array_join(joined, ";")).otherwise("")
-
-
-def aligned_words(words: DataFrame, sizes: list[list[int]]) -> DataFrame:
-    """Rows (part, word, n_a, n_b, n_groups, groups, links) of words (part, word, a_ids, b_ids); a link is a_id * 2**32 + b_id."""
-    link = F.shiftleft(F.col("a_id").cast("bigint"), 32).bitwiseOR(F.col("b_id").cast("bigint"))
-    listed = F.array_sort(F.collect_list(F.struct("group", "a_at", "b_at", link.alias("link"))))
-    grouped = cuts(words, *sizes).groupBy(*WORD).agg(listed.alias("cuts"), F.max("group").cast("bigint").alias("n_groups"))
-    met = words.join(grouped.hint("merge"), WORD)
-    size = lambda c: F.size(c).cast("bigint").alias(f"n_{c[0]}")
-    groups = group_text(F.col("a_ids"), F.col("b_ids"), F.col("cuts"))
-    return met.select(*WORD, size("a_ids"), size("b_ids"), "n_groups", groups.alias("groups"), F.transform("cuts", lambda c: c["link"]).alias("links"))
-
-
-class Alignment:
-    """The aligned words and documents of one corpus, as tables in ``folder`` until ``forget``."""
-
-    def __init__(self, docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", folder: str | None = None):
-        self.spark, self.key = docs.sparkSession, key
-        self.folder = folder or scratch_path(self.spark, "alignment")
-        self.names = {n: f"lexspark_{n}_{uuid.uuid4().hex}" for n in ("encoded", "words", "scores")}
-        encoded = encoded_parts(docs, a_path, b_path, self.folder, self.names["encoded"], key, text)
-        self.parts = int(self.spark.sql(f"DESCRIBE EXTENDED {self.names['encoded']}").where("col_name = 'Num Buckets'").first().data_type)
-        self.places = encoded.select(key, "_row", "part", F.posexplode("words").alias("at", "word"))
-        self.documents = encoded.select(key, "_row", "part")
-        sizes = [[len(t) for t in made] for made in (byte_level_token_bytes(a_path), piece_token_bytes(b_path))]
-        with settings(self.spark, IN_PLACE):
-            words = aligned_words(encoded.select("part", F.explode("fresh").alias("w")).select("part", "w.*"), sizes)
-            bucketed(words, self.parts, f"{self.folder}/words", self.names["words"])
-        self.words = self.spark.table(self.names["words"])
-
-    def forget(self) -> None:
-        for name in self.names.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete_path(self.spark, self.folder)
-
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        with settings(self.spark, IN_PLACE):
-            return written(df, f"{self.folder}/{name}")
-
-    def pair_counts(self) -> DataFrame:
-        """Rows (a_id, b_id, link, n, best): how many links hold an id pair, and whether none of the B id's pairs has more."""
-        times = self.places.groupBy(*WORD).agg(F.count(F.lit(1)).alias("times"))
-        each = times.join(self.words.hint("merge"), WORD).select("times", F.explode("links").alias("link"))
-        counted = each.groupBy("link").agg(F.sum("times").alias("n"))
-        ids = counted.select(F.shiftright("link", 32).cast("int").alias("a_id"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_id"), "link", "n")
-        return self._written(ids.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("b_id"))), "pairs")
-
-    def word_scores(self, pairs: DataFrame) -> DataFrame:
-        """Rows (part, word, n_best, count_sum): over a word's links, those whose pair is its B id's best, and the sum of counts."""
-        total = pairs.agg(F.sum("n")).first()[0] or 0
-        met = self.words.select(*WORD, F.explode("links").alias("link")).join(F.broadcast(pairs.where(F.col("n") * SHARES >= total).select("link", "n", "best")), "link", "left")
-        sums = [F.sum(F.col("best").cast("bigint")).alias("n_best"), F.sum("n").alias("count_sum")]
-        common = met.where(F.col("n").isNotNull()).groupBy(*WORD).agg(*sums)
-        rare = met.where(F.col("n").isNull()).select(*WORD, "link").join(pairs.where(F.col("n") * SHARES < total).select("link", "n", "best"), "link")
-        both = common.unionByName(rare.groupBy(*WORD).agg(*sums)).groupBy(*WORD).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-        with settings(self.spark, FREED):
-            bucketed(both.repartition(self.parts, "part"), self.parts, f"{self.folder}/scores", self.names["scores"])
-        return self.spark.table(self.names["scores"])
-
-    def report(self, whole: bool = False) -> DataFrame:
-        """Rows (key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one per document; ``whole`` adds ``groups``."""
-        scored = self.words.drop("links").join(self.word_scores(self.pair_counts()).hint("merge"), WORD)
-        met = self.places.select("_row", "part", "at", "word").join(scored.hint("shuffle_hash"), WORD)
-        sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
-        grouped = met.groupBy("part", "_row").agg(*sums, F.array_sort(F.collect_list(F.struct("at", "groups"))).alias("_g"))
-        text = F.array_join(F.transform("_g", lambda g: g["groups"]), ";")
-        named = grouped.withColumn("groups", text).drop("_g")
-        zero = lambda c, name=None: F.coalesce(c, F.lit(0).cast("bigint")).alias(name or c)
-        digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit("")).alias("groups_sha256")
-        joined = self.documents.join(named.hint("merge"), ["part", "_row"], "left")
-        more = [F.coalesce("groups", F.lit("")).alias("groups")] if whole else []
-        columns = [zero("n_a"), zero("n_b"), zero("n_groups"), zero("n_groups", "n_links"), zero("n_best"), zero("count_sum"), digest, *more]
-        return self._written(joined.select(self.key, *columns), "report")
-
-
-def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """``Alignment.report``, written; what was needed on the way goes."""
-    made = Alignment(docs, a_path, b_path, key, text)
-    found = written(made.report(whole), scratch_path(docs.sparkSession, "alignment-report"))
-    made.forget()
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """Rows (a_id, b_id, link, n, best): how many links hold an id pair, and whether none of the B id's pairs has more."""
+    counted = aligned.select(F.explode("links").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+    ids = counted.select(F.shiftright("link", 32).cast("int").alias("a_id"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_id"), "link", "n")
+    return ids.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("b_id")))
+
+
+def scores(aligned: DataFrame, folder: str) -> DataFrame:
+    """Rows (_row, n_best, count_sum): over a document's links, those whose pair is its B id's best, and the sum of counts."""
+    pairs = written(pair_counts(aligned).select("link", "n", "best"), f"{folder}/pairs")
+    total = aligned.agg(F.sum("n_links")).first()[0] or 0
+    links = aligned.select("_row", F.explode("links").alias("link"))
+    heavy = pairs.where(F.col("n") * SHARES >= total)
+    met = links.join(F.broadcast(heavy), "link", "left")
+    known = [F.sum(F.when(F.col("best"), 1).otherwise(0)).alias("n_best"), F.sum("n").alias("count_sum")]
+    common = met.where(F.col("n").isNotNull()).groupBy("_row").agg(*known)
+    rare = met.where(F.col("n").isNull()).groupBy("_row", "link").agg(F.count(F.lit(1)).alias("times"))
+    light = rare.join(pairs.where(F.col("n") * SHARES < total), "link")
+    several = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum")]
+    both = common.unionByName(light.groupBy("_row").agg(*several))
+    return both.groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+
+
+def report(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id") -> DataFrame:
+    """One row per document: counts, digests and scores, written; what was needed on the way goes."""
+    spark = docs.sparkSession
+    folder = scratch_path(spark, "alignment")
+    aligned = align(docs, a_path, b_path, key, folder=folder)
+    scored = scores(aligned, folder)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    out = aligned.join(scored, "_row", "left").select(key, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    found = written(out, scratch_path(spark, "alignment-report"))
+    delete_path(spark, folder)
     return found
