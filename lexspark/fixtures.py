@@ -69,7 +69,13 @@ def template(cls: int = 2, sep: int = 3) -> dict[str, Any]:
     return {
         "type": "TemplateProcessing",
         "single": [{"SpecialToken": {"id": "[CLS]", "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": "[SEP]", "type_id": 0}}],
-        "pair": [],
+        "pair": [
+            {"SpecialToken": {"id": "[CLS]", "type_id": 0}},
+            {"Sequence": {"id": "A", "type_id": 0}},
+            {"SpecialToken": {"id": "[SEP]", "type_id": 0}},
+            {"Sequence": {"id": "B", "type_id": 1}},
+            {"SpecialToken": {"id": "[SEP]", "type_id": 1}},
+        ],
         "special_tokens": {"[CLS]": token("[CLS]", cls), "[SEP]": token("[SEP]", sep)},
     }
 

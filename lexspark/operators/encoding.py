@@ -55,19 +55,24 @@ def from_tokens(tokens: Column) -> Column:
     )
 
 
+def spans(size: Column, longest: Column, stride: Column, direction: str) -> Column:
+    """Zero-based (start, end) of every part, ``longest`` tokens long, of a text of ``size`` tokens that is too long."""
+    step = longest - stride
+    steps = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), step)
+    # a part is due while the one before it has not reached the end
+    due = F.filter(steps, lambda s: (s == 0) | (s - step + longest < size))
+    if direction == "Right":
+        return F.transform(due, lambda s: F.struct(s.alias("start"), F.least(s + longest, size).alias("end")))
+    return F.transform(due, lambda s: F.struct(F.greatest(size - s - longest, F.lit(0)).alias("start"), (size - s).alias("end")))
+
+
 def window_starts(size: Column, rule: Truncation) -> Column:
-    """Zero-based (start, end) of every part of a text of ``size`` tokens that is too long."""
-    longest, step = F.lit(rule.max_length), F.lit(rule.max_length - rule.stride)
+    """``spans`` under a rule for single texts."""
+    return let(size, lambda n: spans(n, F.lit(rule.max_length), F.lit(rule.stride), rule.direction))
 
-    def spans(n: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step)
-        # a part is due while the one before it has not reached the end
-        due = F.filter(steps, lambda s: (s == 0) | (s - step + longest < n))
-        if rule.direction == "Right":
-            return F.transform(due, lambda s: F.struct(s.alias("start"), F.least(s + longest, n).alias("end")))
-        return F.transform(due, lambda s: F.struct(F.greatest(n - s - longest, F.lit(0)).alias("start"), (n - s).alias("end")))
 
-    return let(size, spans)
+def sliced(encoding: Column, windows: Column) -> Column:
+    return F.transform(windows, lambda w: each(encoding, lambda n, a: F.slice(a, w["start"] + 1, w["end"] - w["start"])))
 
 
 def truncate(encoding: Column, rule: Truncation | None) -> Column:
@@ -75,40 +80,100 @@ def truncate(encoding: Column, rule: Truncation | None) -> Column:
     if rule is None or rule.max_length == 0 or rule.strategy not in ("LongestFirst", "OnlyFirst"):
         return F.array(encoding)
     size = F.size(encoding["ids"])
-    cut = F.transform(window_starts(size, rule), lambda w: each(encoding, lambda n, a: F.slice(a, w["start"] + 1, w["end"] - w["start"])))
-    return F.when(size <= rule.max_length, F.array(encoding)).otherwise(cut)
+    return F.when(size <= rule.max_length, F.array(encoding)).otherwise(sliced(encoding, window_starts(size, rule)))
+
+
+def pair_lengths(first: Column, second: Column, rule: Truncation) -> Column:
+    """struct(first, second): how many tokens each of two texts keeps, so that both have ``max_length`` together.
+
+    LongestFirst takes from the longer one until both are equally long, then from both (an odd token stays with the second of two
+    equal texts, else with the longer).  OnlyFirst and OnlySecond leave texts alone where that one is too short to give all.
+    """
+    most = rule.max_length
+    over = first + second - most
+    if rule.strategy == "OnlyFirst":
+        kept = F.when(first > over, first - over).otherwise(first), second
+    elif rule.strategy == "OnlySecond":
+        kept = first, F.when(second > over, second - over).otherwise(second)
+    elif rule.strategy == "LongestFirst":
+        short = F.least(first, second)
+        long = F.when(short > most, short).otherwise(F.greatest(short, F.lit(most) - short))
+        halved = short + long > most
+        short, long = F.when(halved, most // 2).otherwise(short), F.when(halved, most // 2 + most % 2).otherwise(long)
+        kept = F.when(first > second, long).otherwise(short), F.when(first > second, short).otherwise(long)
+    else:
+        kept = first, second
+    fits = (over <= 0) | F.lit(most == 0)
+    return F.struct(*[F.when(fits, n).otherwise(k).cast("int").alias(name) for n, k, name in ((first, kept[0], "first"), (second, kept[1], "second"))])
+
+
+def _parts(encoding: Column, length: Column, rule: Truncation) -> Column:
+    size = F.size(encoding["ids"])
+    stride = F.least(F.lit(rule.stride), length - 1)
+    cut = sliced(encoding, let(F.struct(size.alias("n"), length.alias("m"), stride.alias("s")), lambda x: spans(x["n"], x["m"], x["s"], rule.direction)))
+    return F.when(size <= length, F.array(encoding)).when(length == 0, F.array(each(encoding, lambda n, a: F.slice(a, 1, 0)))).otherwise(cut)
+
+
+def truncate_pair(first: Column, second: Column, rule: Truncation | None) -> tuple[Column, Column]:
+    """Arrays of parts of two texts that are encoded together."""
+    if rule is None:
+        return F.array(first), F.array(second)
+    kept = pair_lengths(F.size(first["ids"]), F.size(second["ids"]), rule)
+    cut = lambda e, side: let(kept[side], lambda m: _parts(e, m, rule))
+    return cut(first, "first"), cut(second, "second")
+
+
+def _special(named: dict, rule: Part) -> dict[str, Column]:
+    token = rule.options["special_tokens"][named["id"]]
+    n = len(token["ids"])
+    lits = lambda xs, kind: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
+    return {
+        "ids": lits(token["ids"], "int"),
+        "type_ids": lits([int(named.get("type_id", 0))] * n, "int"),
+        "tokens": lits(token["tokens"], "string"),
+        "words": lits([None] * n, "int"),
+        "offsets": F.array(*[F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))] * n).cast(f"array<{OFFSET}>"),
+        "special_tokens_mask": lits([1] * n, "int"),
+        "attention_mask": lits([1] * n, "int"),
+    }
 
 
-def template(encoding: Column, rule: Part, add_special_tokens: bool = True) -> Column:
-    """The pieces of the single template around the encoding."""
+def template(encoding: Column, rule: Part, add_special_tokens: bool = True, second: Column | None = None) -> Column:
+    """The pieces of the single template around the encoding, or those of the pair template around two."""
     pieces: list[dict[str, Column]] = []
-    for raw in rule.options["single"]:
+    for raw in rule.options["single" if second is None else "pair"]:
         if "Sequence" in raw:
-            fields = {n: encoding[n] for n in FIELDS}
-            if raw["Sequence"].get("id", "A") == "A":
-                fields["type_ids"] = F.array_repeat(F.lit(int(raw["Sequence"].get("type_id", 0))), F.size(encoding["ids"]))
+            name = raw["Sequence"].get("id", "A")
+            source = encoding if second is None or name == "A" else second
+            fields = {n: source[n] for n in FIELDS}
+            if name == "A" or second is not None:
+                fields["type_ids"] = F.array_repeat(F.lit(int(raw["Sequence"].get("type_id", 0))), F.size(source["ids"]))
             pieces.append(fields)
         elif add_special_tokens:
-            named = raw["SpecialToken"]
-            token = rule.options["special_tokens"][named["id"]]
-            n = len(token["ids"])
-            lits = lambda xs, kind: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
-            pieces.append(
-                {
-                    "ids": lits(token["ids"], "int"),
-                    "type_ids": lits([int(named.get("type_id", 0))] * n, "int"),
-                    "tokens": lits(token["tokens"], "string"),
-                    "words": lits([None] * n, "int"),
-                    "offsets": F.array(*[F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))] * n).cast(f"array<{OFFSET}>"),
-                    "special_tokens_mask": lits([1] * n, "int"),
-                    "attention_mask": lits([1] * n, "int"),
-                }
-            )
+            pieces.append(_special(raw["SpecialToken"], rule))
     if not pieces:
         return each(encoding, lambda n, a: F.slice(a, 1, 0))
     return part({n: F.concat(*[p[n].cast(f"array<{t}>") for p in pieces]) for n, t in FIELDS.items()})
 
 
+def joined_pair(first: Column, second: Column, rules: tuple[Part, ...], add_special_tokens: bool = True) -> Column:
+    """One part of each text as one encoding: post-processors before a template run on each, those after it on both together.
+
+    Without a template the second text follows the first, with type 1.
+    """
+    at = next((i for i, r in enumerate(rules) if r.kind == "TemplateProcessing"), None)
+    before, after = rules[: len(rules) if at is None else at], () if at is None else rules[at + 1 :]
+
+    def join(a: Column, b: Column) -> Column:
+        if at is not None:
+            return template(a, rules[at], add_special_tokens, b)
+        ones = F.array_repeat(F.lit(1), F.size(b["ids"]))
+        return part({n: F.concat(a[n], ones if n == "type_ids" else b[n]) for n in FIELDS})
+
+    whole = let(post_process(first, before), lambda a: let(post_process(second, before), lambda b: join(a, b)))
+    return post_process(whole, after, add_special_tokens)
+
+
 def trim_offsets(encoding: Column, add_prefix_space: bool) -> Column:
     """Offsets of byte-level tokens without the blanks at their ends."""
 

@@ -211,8 +211,8 @@ def looked_up(left: DataFrame, right: DataFrame, on: str, count: str, total: int
 
 def places(engine: "Engine", df: DataFrame, key: list[str], text: str) -> DataFrame:
     """Rows (key, k, start, lead, token_id, word): the words of each text in order, ``start`` in the normalised text."""
-    pieces, _ = pre_tokenized(sized(engine.split_normalized(F.col(text))), engine.plan.pre_tokenizer)
-    rows = df.select(*key, F.posexplode(pieces).alias("_i", "_p"))
+    pieces, _ = pre_tokenized(sized(F.col("_s")), engine.plan.pre_tokenizer)
+    rows = df.select(*key, engine.split_normalized(F.col(text)).alias("_s")).select(*key, F.posexplode(pieces).alias("_i", "_p"))
     upto = W.partitionBy(*key).orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = rows.select(*key, "_i", "_p", F.sum("_p.size").over(upto).cast("int").alias("_end"), (F.sum(F.col("_p.kept").cast("int")).over(upto) - 1).cast("int").alias("k"))
     word = F.when(F.col("_p.token_id").isNull(), F.col("_p.text"))
@@ -225,8 +225,9 @@ def is_bytes(engine: "Engine") -> bool:
 
 def tokens_by_words(engine: "Engine", df: DataFrame, key: str, text: str, folder: str, table: WordTable | None = None, batch: str = "0") -> DataFrame:
     """Rows (key, tokens) for texts with words: parallel arrays (ids, tokens, words, starts, ends), places in the normalised text."""
-    placed = df.select(key, text).repartition(key)
-    words = scratch.written(places(engine, placed, [key], text), f"{folder}/places")
+    named, key = key, "_key"
+    placed = df.select(F.col(named).alias(key), F.col(text).alias("_text")).repartition(key)
+    words = scratch.written(places(engine, placed, [key], "_text"), f"{folder}/places")
     counted = scratch.written(words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")), f"{folder}/counts")
     if table is None:
         known = tokens_of_words(counted, engine, is_bytes(engine))
@@ -246,7 +247,7 @@ def tokens_by_words(engine: "Engine", df: DataFrame, key: str, text: str, folder
 
     place = lambda w, x: w["start"] + F.greatest(x - w["lead"], F.lit(0))
     return grouped.select(
-        key,
+        F.col(key).alias(named),
         F.struct(
             each(lambda w, t: t["id"]).alias("ids"),
             each(lambda w, t: t["value"]).alias("tokens"),
@@ -259,10 +260,11 @@ def tokens_by_words(engine: "Engine", df: DataFrame, key: str, text: str, folder
 
 def counts_by_words(engine: "Engine", df: DataFrame, text: str, by: tuple[str, ...], folder: str) -> DataFrame:
     """Rows (*by, token, id, n): words are counted first, and each distinct word is tokenised once."""
-    pieces, _ = pre_tokenized(sized(engine.split_normalized(F.col(text))), engine.plan.pre_tokenizer)
-    kept = df.select(*by, F.explode(F.filter(pieces, lambda p: p["kept"])).alias("_p"))
     held = {c: f"_by{i}" for i, c in enumerate(by)}
-    words = kept.select(*[F.col(c).alias(h) for c, h in held.items()], F.col("_p.text").alias("word"), F.col("_p.token_id").alias("token_id"))
+    named = df.select(*[F.col(c).alias(h) for c, h in held.items()], engine.split_normalized(F.col(text)).alias("_s"))
+    pieces, _ = pre_tokenized(sized(F.col("_s")), engine.plan.pre_tokenizer)
+    kept = named.select(*held.values(), F.posexplode(pieces).alias("_i", "_p")).where("_p.kept")
+    words = kept.select(*held.values(), F.col("_p.text").alias("word"), F.col("_p.token_id").alias("token_id"))
     counted = scratch.written(words.groupBy(*held.values(), "word", "token_id").agg(F.count(F.lit(1)).alias("times")), f"{folder}/counts")
     fixed = counted.where(F.col("token_id").isNotNull()).select(*held.values(), F.col("word").alias("token"), F.col("token_id").alias("id"), "times")
     plain = counted.where(F.col("token_id").isNull()).drop("token_id")

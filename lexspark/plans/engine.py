@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode as decoders
-from ..functions.normalize import aligned, apply_one, moves, normalize, normalize_aligned
-from ..functions.split import pre_tokenize, pre_tokenize_aligned, whole
+from ..functions.normalize import NORMAL_FORMS, aligned, apply_one, moves, normalize, normalize_aligned
+from ..functions.split import PIECES, pre_tokenize, pre_tokenize_aligned, whole
 from ..operators import added, encoding, words
 from ..operators.models import evaluator
 from ..operators.words import WordTable
@@ -107,10 +107,35 @@ class Engine:
         else:
             held = text.rlike(f"(?U){added.pattern(raw)}")
             plain = whole(normalize(F.when(~held, text), self.plan.normalizer))
-            cut = _normalize_gaps(added.extract(whole(F.when(held, text)), raw, ids), self.plan.normalizer)
+            if all(p.kind not in (*NORMAL_FORMS, "BertNormalizer") for p in self.plan.normalizer):
+                cut = _normalize_gaps(added.extract(whole(F.when(held, text)), raw, ids), self.plan.normalizer)
+            else:
+                cut = self._cut_and_normalize(F.when(held, text), raw)
             split = F.when(held, cut).otherwise(plain)
         return added.extract(split, normal, ids)
 
+    def _cut_and_normalize(self, text: Column, raw: list[config.AddedToken]) -> Column:
+        """Texts that hold added tokens, whose gaps need a normal form, by a vectorised function; null gives null."""
+        ship()
+        pattern, ids, parts = added.pattern(raw), self.added.by_content, self.plan.normalizer
+
+        @F.pandas_udf(PIECES)
+        def cut(texts: pd.Series) -> pd.Series:
+            matcher = regex.compile(pattern)
+
+            def one(text: str) -> list[dict]:
+                out, at = [], 0
+                for piece in added.extract_aligned([(*aligned(text), None)], ids, matcher):
+                    made = piece[0] if piece[3] is not None else normalize_aligned(piece[:3], parts)[0]
+                    if made:
+                        out.append({"text": made, "start": at, "end": at + len(made), "token_id": piece[3]})
+                        at += len(made)
+                return out
+
+            return texts.map(one, na_action="ignore")
+
+        return cut(text)
+
     def pieces(self, text: Column) -> Column:
         """Words of a text as built-in expressions: array of (text, start, end, token_id), offsets in the normalized text."""
         return pre_tokenize(self.split_normalized(text), self.plan.pre_tokenizer)
@@ -265,6 +290,46 @@ class Engine:
         short = scratch.written(placed.withColumn(into, bare.encode_column(F.col(text), add_special_tokens, F.col(held))).select(*[c for c in columns if c != into], into), f"{folder}/encoded")
         return self._pad_to_longest(short, into)
 
+    def pair_column(self, first: Column, second: Column, first_tokens: Column, second_tokens: Column, add_special_tokens: bool = True) -> Column:
+        rules = self.plan
+
+        def parts(a: Column, b: Column) -> Column:
+            left, right = encoding.truncate_pair(a, b, rules.truncation)
+            if not self.keep_overflow:
+                left, right = F.slice(left, 1, 1), F.slice(right, 1, 1)
+            joined = lambda x, y: encoding.pad(encoding.joined_pair(x, y, rules.post_processor, add_special_tokens), rules.padding)
+            return encoding.let(right, lambda all: F.flatten(F.transform(left, lambda x: F.transform(all, lambda y: joined(x, y)))))
+
+        both = encoding.let(encoding.from_tokens(first_tokens), lambda a: encoding.let(encoding.from_tokens(second_tokens), lambda b: parts(a, b)))
+        return F.when(first.isNotNull() & second.isNotNull(), encoding.let(both, encoding.with_overflow))
+
+    def encode_pairs(self, df: DataFrame, first: str, second: str, into: str = "encoding", add_special_tokens: bool = True, key: str | None = None, by_words: bool = True) -> DataFrame:
+        """Adds the encoding of two texts together: truncated to ``max_length`` in all, in the pair template, padded.
+
+        Further parts are those of the first text, each with all of the second's.  Where the second text is null, the first is encoded
+        alone; where the first is null, so is the result.  ``by_words`` plans it by distinct words, as ``encode_by_words``; without
+        it no row moves, and streams can be encoded.
+        """
+        columns, texts = df.columns, (first, second)
+        held = [free_name(df, "_first"), free_name(df, "_second")]
+        if by_words:
+            folder = scratch.scratch_folder(df.sparkSession, "pairs")
+            if key is None:
+                key = free_name(df, "_key")
+                df = scratch.written(df.withColumn(key, F.monotonically_increasing_id()), f"{folder}/rows")
+            empty = F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in TOKENS])
+            source = df
+            for name, text in zip(held, texts):
+                found = words.tokens_by_words(self, source, key, text, f"{folder}/{name}").withColumnRenamed("tokens", name)
+                df = df.join(found, key, "left").withColumn(name, self.in_text(F.col(text), F.coalesce(F.col(name), empty)))
+        else:
+            for name, text in zip(held, texts):
+                df = df.withColumn(name, self.tokens(F.col(text)))
+        a, b = F.col(first), F.col(second)
+        pair = self.pair_column(a, b, F.col(held[0]), F.col(held[1]), add_special_tokens)
+        alone = self.encode_column(a, add_special_tokens, F.col(held[0]))
+        return df.withColumn(into, F.when(b.isNull(), alone).otherwise(pair)).select(*[c for c in columns if c != into], into)
+
     def _pad_to_longest(self, encoded: DataFrame, into: str) -> DataFrame:
         """Pads encodings without padding to the longest of the table, a scalar subquery."""
         size = free_name(encoded, "_longest")
@@ -359,20 +424,10 @@ def _one(part: config.Part):
 
 
 def _normalize_gaps(pieces: Column, parts: tuple[config.Part, ...]) -> Column:
-    """Normalize each unresolved piece on its own, in the place that it has; positions are recounted."""
-    pure = all(p.kind not in ("NFC", "NFD", "NFKC", "NFKD", "BertNormalizer") for p in parts)
-    texts = F.transform(pieces, lambda p: p["text"])
-    if pure:
-        changed = texts
-        for p in parts:
-            changed = F.transform(changed, _one(p))
-    else:
-
-        @F.pandas_udf("array<string>")
-        def fold(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda r: [normalize_aligned(aligned(t), parts)[0] for t in r], na_action="ignore")
-
-        changed = fold(texts)
+    """Normalize each unresolved piece on its own by expressions, in the place that it has; positions are recounted."""
+    changed = F.transform(pieces, lambda p: p["text"])
+    for p in parts:
+        changed = F.transform(changed, _one(p))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int,token_id:int>>").alias("out"))
 
     def step(a: Column, pair: Column) -> Column:

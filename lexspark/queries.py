@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import decode, normalize, split
 from .operators import added, encoding, models
-from .plans.config import AddedToken, Truncation, WordLevelModel
+from .plans.config import AddedToken, Part, Truncation, WordLevelModel
 from .plans.engine import Engine
 from .plans.ship import ship
 from .sources.config_file import checked_utf8
@@ -163,6 +163,42 @@ def a3_added_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _added_pieces(spark: SparkSession, sf_dir: str, *tokens: AddedToken, **flags: bool) -> DataFrame:
+    vocabulary, _ = added.AddedVocabulary(**flags).add(tokens, {})
+    pieces = added.extract(split.whole(F.col("text")), vocabulary.matchable({}, True), vocabulary.by_content)
+    return read(spark, sf_dir, "documents").select("doc_id", F.filter(pieces, lambda p: p["token_id"].isNotNull()).alias("p"))
+
+
+@query(
+    r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: x IN ('the', 'la', 'on')))::BIGINT AS n_tokens, "
+    r"array_to_string(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: x IN ('the', 'la', 'on')), ' ') AS tokens FROM documents"
+)
+def a4_single_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _added_pieces(spark, sf_dir, *[AddedToken(c, single_word=True) for c in ("the", "la", "on")])
+    return found.select("doc_id", F.size("p").cast("bigint").alias("n_tokens"), F.array_join(F.transform("p", lambda p: p["text"]), " ").alias("tokens"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\s*que\s*|ment\s*'), '|') AS tokens FROM documents")
+def a5_strip_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _added_pieces(spark, sf_dir, AddedToken("que", lstrip=True, rstrip=True), AddedToken("ment", rstrip=True))
+    return found.select("doc_id", F.array_join(F.transform("p", lambda p: p["text"]), "|").alias("tokens"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, 'heit'))::BIGINT AS n_tokens FROM documents")
+def a6_special_tokens_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _added_pieces(spark, sf_dir, AddedToken("tion", special=True), AddedToken("heit"), encode_special_tokens=True)
+    return found.select("doc_id", F.size("p").cast("bigint").alias("n_tokens"))
+
+
+@query("SELECT doc_id, md5(replace(replace(lower(strip_accents(replace(text, 'Tion', chr(57345)))), 'que', '|que|'), chr(57345), '|Tion|')) AS pieces_md5 FROM documents")
+def a8_extract_and_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normalizer = fixtures.BERT_NORMALIZER | {"clean_text": False, "handle_chinese_chars": False}
+    engine = Engine.from_json(fixtures.EMPTY | {"normalizer": normalizer, "added_tokens": [{"content": "Tion", "normalized": False}, {"content": "que", "normalized": True}]})
+    pieces = read(spark, sf_dir, "documents").select("doc_id", engine.pieces(F.col("text")).alias("p"))
+    shown = F.transform("p", lambda p: F.when(p["token_id"].isNull(), p["text"]).otherwise(F.concat(F.lit("|"), p["text"], F.lit("|"))))
+    return pieces.select("doc_id", F.md5(F.array_join(shown, "").cast("binary")).alias("pieces_md5"))
+
+
 # --- pre-tokenizers -----------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +233,17 @@ _pieces_query("p2_split_removed", r"[aeiou]+|[^aeiou]+", "[aeiou]+", lambda p: s
 _pieces_query("p4_sequence", r"\s+|[aeiou]+|[^aeiou\s]+", r"\s+", lambda p: split.split_regex(split.split_regex(p, r"\s+", False), "[aeiou]+", True))
 
 
+_VOWELS = "[aeiou]"
+_pieces_query("p2_merged_with_previous", r"[^aeiou]+[aeiou]|[aeiou]|[^aeiou]+", None, lambda p: split.split_regex(p, _VOWELS, behavior="MergedWithPrevious"))
+_pieces_query("p2_merged_with_next", r"[aeiou][^aeiou]+|[aeiou]|[^aeiou]+", None, lambda p: split.split_regex(p, _VOWELS, behavior="MergedWithNext"))
+_pieces_query("p2_contiguous", r"[aeiou]+|[^aeiou]+", None, lambda p: split.split_regex(p, _VOWELS, behavior="Contiguous"))
+_pieces_query("p2_inverted", r"[aeiou]+|[^aeiou]+", "[^aeiou]+", lambda p: split.split_regex(p, "[aeiou]+", behavior="Removed", invert=True))
+_pieces_query("p9_digits", r"[0-9]|[^0-9]+", None, lambda p: split.pre_tokenize(p, (Part("Digits", {"individual_digits": True}),)))
+_pieces_query("p9_punctuation", r"\p{P}|[^\p{P}]+", None, lambda p: split.pre_tokenize(p, (Part("Punctuation"),)))
+_pieces_query("p9_whitespace", r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|\s+|[^\s\p{L}\p{M}\p{Nd}\p{Pc}]+", r"\s+", lambda p: split.pre_tokenize(p, (Part("Whitespace"),)))
+_pieces_query("p9_char_delimiter", "e|[^e]+", "e", lambda p: split.pre_tokenize(p, (Part("CharDelimiterSplit", {"delimiter": "e"}),)))
+
+
 @query(
     f"WITH {BYTE_WORDS_SQL} SELECT doc_id, count(*)::BIGINT AS n_words, md5(string_agg(mapped, ' ' ORDER BY k)) AS words_md5 FROM g JOIN mp USING (piece) GROUP BY doc_id"
 )
@@ -262,9 +309,9 @@ uni(piece, id, score) AS (VALUES {", ".join(f"({_quoted(p)}, {i}, {s!r}::DOUBLE)
 us AS (SELECT word, s, s + n AS e FROM (SELECT word, unnest(range(0, length(word))) AS s FROM dw), range(1, {max(len(p) for p, _ in UNIGRAM)} + 1) r(n) WHERE s + n <= length(word)),
 ua AS (SELECT word, s, e, coalesce(id, -1) AS id, coalesce(score, {min(s for _, s in UNIGRAM) - 10.0!r}::DOUBLE) AS score FROM us LEFT JOIN uni ON piece = substr(word, s + 1, e - s) WHERE id IS NOT NULL OR e = s + 1),
 ue AS (SELECT word, list(arcs ORDER BY e) AS ends FROM (SELECT word, e, list({{'s': s, 'id': id, 'score': score}}) AS arcs FROM ua GROUP BY word, e) GROUP BY word),
-uf AS (SELECT word, ends, 0 AS at, [{{'score': 0.0::DOUBLE, 'back': 0::BIGINT, 'id': -2}}] AS best FROM ue
-       UNION ALL SELECT word, ends, at + 1, list_append(best, list_aggregate(list_transform(ends[at + 1], lambda x: {{'score': best[x.s + 1].score + x.score, 'back': -x.s, 'id': x.id}}), 'max')) FROM uf WHERE at < len(ends)),
-ub AS (SELECT word, best, len(ends)::BIGINT AS e FROM uf WHERE at = len(ends) UNION ALL SELECT word, best, -best[e + 1].back FROM ub WHERE e > 0),
+uf AS (SELECT word, ends, 0 AS pos, [{{'score': 0.0::DOUBLE, 'back': 0::BIGINT, 'id': -2}}] AS best FROM ue
+       UNION ALL SELECT word, ends, pos + 1, list_append(best, list_aggregate(list_transform(ends[pos + 1], lambda x: {{'score': best[x.s + 1].score + x.score, 'back': -x.s, 'id': x.id}}), 'max')) FROM uf WHERE pos < len(ends)),
+ub AS (SELECT word, best, len(ends)::BIGINT AS e FROM uf WHERE pos = len(ends) UNION ALL SELECT word, best, -best[e + 1].back FROM ub WHERE e > 0),
 up AS (SELECT word, -best[e + 1].back AS s, e, best[e + 1].id AS id FROM ub WHERE e > 0),
 ug AS (SELECT *, sum(CASE WHEN id = -1 AND before = -1 THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY s) AS g FROM (SELECT *, lag(id) OVER (PARTITION BY word ORDER BY s) AS before FROM up)),
 ut AS (SELECT word, min(s) AS s, max(e) AS e, CASE WHEN any_value(id) = -1 THEN 0 ELSE any_value(id) END AS id FROM ug GROUP BY word, g)"""
@@ -428,10 +475,99 @@ def e12_pad_to_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("item_id", attended.alias("attended"), F.size("encoding.ids").cast("bigint").alias("n"))
 
 
-@query()
+BYTE_VOCAB_SQL = "bv(piece, id) AS (VALUES " + ", ".join(f"({_quoted(p)}, {i})" for p, i in fixtures.byte_bpe_vocab().items()) + ")"
+#: Characters that stand for the bytes within a character, after its first.
+_WITHIN = "".join(split.BYTE_CHARS[0x80:0xC0])
+#: CTEs over g(item_id, k, piece), mp(piece, mapped): bt(item_id, k, j, token, start, stop) are the tokens with places in characters of the text.
+BYTE_TOKENS_SQL = rf"""
+bm AS (SELECT piece, string_split(trim({MERGED_SQL}, '{_L}{_R}'), '{_R}{_L}') AS ts FROM mp),
+be AS (SELECT piece, j, ts[j] AS token, array_to_string(ts[1:j], '') AS upto FROM (SELECT piece, ts, unnest(range(1, len(ts) + 1)) AS j FROM bm)),
+bo AS (SELECT piece, j, token, length(translate(left(upto, length(upto) - length(token) + 1), {_quoted(_WITHIN)}, '')) - 1 AS s, length(translate(upto, {_quoted(_WITHIN)}, '')) AS e FROM be),
+bg AS (SELECT *, sum(length(piece)) OVER (PARTITION BY item_id ORDER BY k) - length(piece) AS base FROM g),
+bt AS (SELECT item_id, k, j, token, base + s AS start, base + e AS stop FROM bg JOIN bo USING (piece))"""
+
+
+@query(
+    rf"""WITH {BYTE_WORDS_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")}, {BYTE_VOCAB_SQL}, {BYTE_TOKENS_SQL},
+t AS (SELECT *, length(regexp_extract(token, '^Ġ+')) AS lead, length(regexp_extract(token, 'Ġ+$')) AS trail FROM bt),
+u AS (SELECT *, CASE WHEN lead > 0 THEN least(start + lead, stop) ELSE start END AS s FROM t)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY k, j) - 1)::BIGINT AS pos, id::BIGINT AS id, token, k::BIGINT AS word, s::BIGINT AS start,
+       greatest(CASE WHEN trail > 0 AND stop >= trail THEN greatest(stop - trail, s) ELSE stop END, s)::BIGINT AS stop
+FROM u JOIN bv ON piece = token"""
+)
 def e7_trimmed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_json(fixtures.byte_bpe_small())
-    return encoding.token_rows(engine.encode(read(spark, sf_dir, "benchmark").select("item_id", "text")), ["item_id"])
+    rows = encoding.token_rows(engine.encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id"), ["item_id"])
+    long = lambda c, name=None: F.col(c).cast("bigint").alias(name or c)
+    return rows.select("item_id", long("pos"), long("id"), "token", long("word"), long("start"), long("end", "stop"))
+
+
+@query(
+    rf"""WITH RECURSIVE {wordpiece_sql('benchmark', 'item_id')}, {ITEM_WORDS_SQL},
+l AS (SELECT item_id, list({{'id': id, 'k': k, 's': start + s - 1, 'e': start + s - 1 + n}} ORDER BY k, j) AS ts, count(*) AS n FROM tok JOIN ow USING (item_id, k) GROUP BY item_id),
+x AS (SELECT item_id, n, ts, unnest(range(0, n, 12)) AS b FROM l),
+p AS (SELECT item_id, b, ts[greatest(n - b - 16, 0) + 1:n - b] AS ts FROM x WHERE b = 0 OR (n > 16 AND b - 12 + 16 < n)),
+q AS (SELECT item_id, b, len(ts) AS m, 16 - least(len(ts) + 2, 16) AS pads, ts FROM p),
+pad AS (SELECT *, list_transform(range(0, pads), lambda i: 'x') AS zs FROM q)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY b) - 1)::BIGINT AS part,
+  array_to_string(list_concat(list_transform(zs, lambda z: '0'), ['2'], list_transform(ts, lambda t: t.id::VARCHAR), ['3']), ',') AS ids,
+  array_to_string(list_concat(list_transform(zs, lambda z: '0'), ['-'], list_transform(ts, lambda t: t.k::VARCHAR), ['-']), ',') AS words,
+  array_to_string(list_concat(list_transform(zs, lambda z: '0-0'), ['0-0'], list_transform(ts, lambda t: t.s || '-' || t.e), ['0-0']), ',') AS offsets,
+  array_to_string(list_concat(list_transform(zs, lambda z: '10'), ['11'], list_transform(ts, lambda t: '01'), ['11']), ',') AS masks,
+  array_to_string(list_transform(range(0, pads + m + 2), lambda i: '0'), ',') AS type_ids FROM pad"""
+)
+def e10_left_truncate_template_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_json(fixtures.trunc_pad("Left"))
+    encoded = engine.encode_by_words(read(spark, sf_dir, "benchmark").select("item_id", "text"), key="item_id")
+    main = F.struct(*[F.col("encoding")[n].alias(n) for n in encoding.FIELDS])
+    parts = encoded.select("item_id", F.posexplode(F.concat(F.array(main), F.col("encoding.overflowing"))).alias("part", "e"))
+    text = lambda a: F.array_join(a.cast("array<string>"), ",", "-")
+    masks = F.zip_with("e.special_tokens_mask", "e.attention_mask", lambda s, a: F.concat(s.cast("string"), a.cast("string")))
+    return parts.select(
+        "item_id",
+        F.col("part").cast("bigint").alias("part"),
+        text(F.col("e.ids")).alias("ids"),
+        text(F.col("e.words")).alias("words"),
+        F.array_join(F.transform("e.offsets", lambda o: F.concat_ws("-", o["start"].cast("string"), o["end"].cast("string"))), ",").alias("offsets"),
+        F.array_join(masks, ",").alias("masks"),
+        text(F.col("e.type_ids")).alias("type_ids"),
+    )
+
+
+def _pairs_query(strategy: str, kept: str) -> None:
+    """Each turn of a conversation with the next one; ``kept`` gives the lengths n1 and n2 from a and b, where they are more than 24."""
+    sql = rf"""
+WITH RECURSIVE {wordpiece_sql('conversations', 'conv_id, turn')},
+l AS (SELECT conv_id, turn, list(id ORDER BY k, j) AS ids, list(k ORDER BY k, j) AS ks FROM tok GROUP BY conv_id, turn),
+f AS (SELECT conv_id, turn, coalesce(ids, []) AS ids, coalesce(ks, []) AS ks FROM conversations LEFT JOIN l USING (conv_id, turn)),
+p AS (SELECT x.conv_id, x.turn, x.ids AS a, y.ids AS b, x.ks AS ak, y.ks AS bk, len(x.ids) AS n, len(y.ids) AS m FROM f x JOIN f y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1),
+q AS (SELECT *, CASE WHEN n + m <= 24 THEN n ELSE {kept.split(';')[0]} END AS n1, CASE WHEN n + m <= 24 THEN m ELSE {kept.split(';')[1]} END AS n2 FROM p)
+SELECT conv_id, turn, array_to_string(list_concat([2], a[1:n1], [3], b[1:n2], [3], list_transform(range(0, greatest(27 - n1 - n2 - 3, 0)), lambda i: 0)), ',') AS ids,
+  array_to_string(list_concat(list_transform(range(0, n1 + 2), lambda i: 0), list_transform(range(0, n2 + 1), lambda i: 1), list_transform(range(0, greatest(27 - n1 - n2 - 3, 0)), lambda i: 0)), ',') AS type_ids,
+  array_to_string(list_concat(['-'], list_transform(ak[1:n1], lambda k: k::VARCHAR), ['-'], list_transform(bk[1:n2], lambda k: k::VARCHAR), ['-'], list_transform(range(0, greatest(27 - n1 - n2 - 3, 0)), lambda i: '0')), ',') AS words,
+  (greatest(ceil(n / greatest(n1, 1)), 1) * greatest(ceil(m / greatest(n2, 1)), 1))::BIGINT AS parts FROM q"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rule = {"max_length": 24, "stride": 0, "strategy": strategy, "direction": "Right"}
+        padding = {"strategy": {"Fixed": 27}, "direction": "Right", "pad_id": 0, "pad_type_id": 0, "pad_token": "[PAD]", "pad_to_multiple_of": None}
+        engine = Engine.from_json(fixtures.bert_small(truncation=rule, padding=padding))
+        turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+        follows = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+        encoded = engine.encode_pairs(turns.join(follows, ["conv_id", "turn"]), "text", "reply")
+        text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",", "-")
+        parts = (F.size("encoding.overflowing") + 1).cast("bigint")
+        return encoded.select("conv_id", "turn", text("encoding.ids").alias("ids"), text("encoding.type_ids").alias("type_ids"), text("encoding.words").alias("words"), parts.alias("parts"))
+
+    run.__name__ = "e6_pair_" + {"LongestFirst": "longest_first", "OnlyFirst": "only_first", "OnlySecond": "only_second"}[strategy]
+    query(sql)(run)
+
+
+_pairs_query(
+    "LongestFirst",
+    "CASE WHEN least(n, m) <= 12 THEN CASE WHEN n > m THEN 24 - m ELSE n END ELSE 12 END; CASE WHEN least(n, m) <= 12 THEN CASE WHEN n > m THEN m ELSE 24 - n END ELSE 12 END",
+)
+_pairs_query("OnlyFirst", "CASE WHEN n > n + m - 24 THEN 24 - m ELSE n END; m")
+_pairs_query("OnlySecond", "n; CASE WHEN m > n + m - 24 THEN 24 - n ELSE m END")
 
 
 # --- decoders -----------------------------------------------------------------------------------------------------------------
@@ -472,6 +608,19 @@ _decoder_query("d8_fuse", "replace(text, ' ', '')", lambda t: F.array(F.array_jo
 _decoder_query("d9_strip", r"array_to_string(list_transform(string_split(text, ' '), lambda x: regexp_replace(regexp_replace(x, '^e?', ''), 'e?$', '')), '|')", lambda t: decode.strip(t, "e", 1, 1))
 
 
+_decoder_query("d10_metaspace", "array_to_string(list_transform(string_split(replace(text, 'e', '▁'), ' '), lambda x, i: replace(CASE WHEN i = 1 AND x[1] = '▁' THEN x[2:] ELSE x END, '▁', ' ')), '|')", lambda t: decode.metaspace(F.transform(t, lambda x: F.replace(x, F.lit("e"), F.lit("▁")))))
+_decoder_query("d10_bpe", "array_to_string(list_transform(string_split(text, ' '), lambda x, i: replace(x, 'e', CASE WHEN i = len(string_split(text, ' ')) THEN '' ELSE ' ' END)), '|')", lambda t: decode.bpe_decoder(t, "e"))
+
+
+@query(
+    r"""WITH c AS (SELECT item_id, i, x, lag(x) OVER (PARTITION BY item_id ORDER BY i) AS before FROM (SELECT item_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT item_id, regexp_extract_all(text, '(?s).') AS l FROM benchmark)))
+SELECT item_id, string_agg(replace(x, ' ', ' '), '' ORDER BY i) AS decoded FROM c WHERE (before IS NULL OR x <> before) AND x <> 'e' GROUP BY item_id"""
+)
+def d10_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = decode.ctc(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), "e", " ", clean=False)
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(runs, "").alias("decoded"))
+
+
 @query("SELECT item_id, text AS decoded FROM benchmark")
 def d7_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))
