@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -109,6 +110,18 @@ def automaton(model: ToxicityModel):
     return machine
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """First and last places of what the spans cover together, ascending."""
+    firsts, lasts = [], []
+    for a, b in sorted(spans):
+        if lasts and a <= lasts[-1]:
+            lasts[-1] = max(lasts[-1], b)
+        else:
+            firsts.append(a)
+            lasts.append(b)
+    return firsts, lasts
+
+
 def weight_of(folded: str, machine) -> tuple[float, int]:
     """The sum of weights and the number of counted matches; at each place the longest term counts once."""
     if not len(machine):
@@ -121,7 +134,8 @@ def weight_of(folded: str, machine) -> tuple[float, int]:
         else:
             starts[end - length + 1] = weight
     if shields:
-        starts = {s: w for s, w in starts.items() if not any(a <= s <= b for a, b in shields)}
+        firsts, lasts = _joined(shields)
+        starts = {s: w for s, w in starts.items() if s < firsts[0] or s > lasts[bisect_right(firsts, s) - 1]}
     return sum(starts.values()), len(starts)
 
 

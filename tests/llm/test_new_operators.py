@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexspark.llm import alignment, entries, exactdedup, prefixtrie, scan
+from lexspark.llm import alignment, entries, exactdedup, prefixtrie, scan, toxicity
 from lexspark.llm.common import joined_by_share, scratch_path
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -230,6 +230,44 @@ def test_digest_index_grows_by_batches(spark, tmp_path):
     again.forget()
 
 
+# --- toxicity: exception phrases ------------------------------------------------------------------------------------------------
+
+
+class Found:
+    """Stands for an automaton: the matches of a text are given."""
+
+    def __init__(self, matches):
+        self.matches = matches
+
+    def __len__(self):
+        return 1
+
+    def iter(self, folded):
+        return iter(self.matches)
+
+
+def test_exception_spans_by_brute_force():
+    draw = random.Random(12)
+    for _ in range(300):
+        spans = [(a, a + draw.randrange(0, 6)) for a in (draw.randrange(0, 40) for _ in range(draw.randrange(0, 8)))]
+        terms = {draw.randrange(0, 45): draw.random() for _ in range(draw.randrange(0, 12))}
+        matches = [(b, (b - a + 1, None)) for a, b in spans] + [(s, (1, w)) for s, w in terms.items()]
+        kept = [w for s, w in terms.items() if not any(a <= s <= b for a, b in spans)]
+        assert toxicity.weight_of("", Found(matches)) == (sum(kept), len(kept))
+
+
+def test_many_exceptions_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        matches = [(20 * i + j, (5, None if j == 9 else 1.0)) for i in range(n) for j in (9, 15)]
+        begin = time.process_time()
+        toxicity.weight_of("", Found(matches))
+        took.append(time.process_time() - begin)
+    assert took[1] < 12 * max(took[0], 0.01)
+
+
 # --- the queries ---------------------------------------------------------------------------------------------------------------
 
 
