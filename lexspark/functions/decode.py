@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,24 +60,35 @@ def byte_fallback_runs(tokens: list[str]) -> list[str]:
             pending.clear()
 
     for token in tokens:
-        if len(token) == 6 and token.startswith("<0x") and token.endswith(">"):
-            try:
-                pending.append(int(token[3:5], 16))
-                continue
-            except ValueError:
-                pass
+        if re.fullmatch(r"<0x[0-9A-Fa-f]{2}>", token):
+            pending.append(int(token[3:5], 16))
+            continue
         flush()
         out.append(token)
     flush()
     return out
 
 
-def byte_fallback(tokens: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def apply(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: byte_fallback_runs(list(t)), na_action="ignore")
+BYTE_TOKEN = r"\A<0x[0-9A-Fa-f]{2}>\z"
 
-    return apply(tokens)
+
+def byte_fallback(tokens: Column) -> Column:
+    """``byte_fallback_runs`` as an expression: a fold that collects the hexadecimal digits of a run until it ends."""
+    kind = "array<string>"
+    begin = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("hex"))
+
+    def flushed(a: Column) -> Column:
+        text = F.try_validate_utf8(F.unhex(a["hex"]).cast("string"))
+        broken = F.array_repeat(F.lit("\ufffd"), (F.length(a["hex"]) / 2).cast("int"))
+        return F.when(a["hex"] == "", a["out"]).when(text.isNull(), F.concat(a["out"], broken)).otherwise(F.array_append(a["out"], text))
+
+    def step(a: Column, t: Column) -> Column:
+        more = F.struct(a["out"].alias("out"), F.concat(a["hex"], F.substring(t, 4, 2)).alias("hex"))
+        other = F.struct(F.array_append(flushed(a), t).alias("out"), F.lit("").alias("hex"))
+        return F.when(t.rlike(BYTE_TOKEN), more).otherwise(other)
+
+    folded = lambda all: F.when(F.exists(all, lambda t: t.rlike(BYTE_TOKEN)), F.aggregate(all, begin, step, flushed)).otherwise(all)
+    return let(tokens, folded)
 
 
 def strip(tokens: Column, content: str, start: int, stop: int) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from .operators import added, encoding, models
 from .plans.config import AddedToken, Part, Truncation, WordLevelModel
 from .plans.engine import Engine
 from .plans.ship import ship
-from .sources.config_file import checked_utf8
+from .sources.config_file import checked_utf8, vocab_rows
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,10 +127,16 @@ def s8_checked_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_utf8(docs, "data").select("doc_id", "text")
 
 
-@query("SELECT piece, id::BIGINT AS id FROM (VALUES " + ", ".join(f"({_quoted(p)}, {i})" for p, i in VOCAB.items()) + ") v(piece, id)")
+@query(
+    f"SELECT item_id, piece, (list_position(ws, piece) - 1)::BIGINT AS id FROM (SELECT item_id, ws, unnest(list_distinct(ws)) AS piece FROM (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark))"
+)
 def s13_vocab_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(VOCAB)), "map<string,int>")).alias("piece", "id"))
-    return parsed.select("piece", F.col("id").cast("bigint").alias("id"))
+    """A vocabulary per text, written as a JSON object and read from it."""
+    words = _normal_words(read(spark, sf_dir, "benchmark"), "item_id")
+    pieces = F.array_distinct("words")
+    placed = F.transform(pieces, lambda p: (F.array_position("words", p) - 1).cast("int"))
+    texts = words.select("item_id", F.to_json(F.map_from_arrays(pieces, placed)).alias("json"))
+    return vocab_rows(texts, "json", "item_id").select("item_id", "piece", F.col("id").cast("bigint").alias("id"))
 
 
 # --- added vocabulary --------------------------------------------------------------------------------------------------------
@@ -351,9 +356,9 @@ def m1_token_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.token_to_id(words, models.vocab_table(spark, VOCAB)).select("token", F.col("id").cast("bigint").alias("id"))
 
 
-@query(f"WITH {VOCAB_SQL} SELECT r.i AS id, piece AS token FROM range(0, 600) r(i) LEFT JOIN vocab ON id = r.i")
+@query(f"WITH {VOCAB_SQL}, r AS (SELECT DISTINCT n_chars % 600 AS i FROM documents) SELECT r.i AS id, piece AS token FROM r LEFT JOIN vocab ON id = r.i")
 def m1_id_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(600).select(F.col("id").cast("int").alias("id"))
+    ids = read(spark, sf_dir, "documents").select((F.col("n_chars") % 600).cast("int").alias("id")).distinct()
     return models.id_to_token(ids, models.vocab_table(spark, VOCAB)).select(F.col("id").cast("bigint").alias("id"), "token")
 
 

@@ -33,3 +33,8 @@ def checked_utf8(df: DataFrame, data: str, into: str = "text", invalid: str = "r
     text = F.col(data).cast("string")
     made = {"raise": F.validate_utf8, "null": F.try_validate_utf8, "replace": F.make_valid_utf8}[invalid](text)
     return df.withColumn(into, made)
+
+
+def vocab_rows(df: DataFrame, json: str, *keep: str) -> DataFrame:
+    """Rows (*keep, piece, id) of vocabularies that are JSON objects; escapes in the pieces are resolved."""
+    return df.select(*keep, F.explode(F.from_json(F.col(json), "map<string,int>")).alias("piece", "id"))
