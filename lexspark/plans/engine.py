@@ -364,10 +364,10 @@ class Engine:
         table = F.from_json(F.lit(json.dumps(listed)), "array<string>")
         far = sorted(i for i in names if i >= dense)
         unknown = F.raise_error(F.lit("an id has no token")).cast("string")
-        distant = F.from_json(F.lit(json.dumps({str(i): names[i] for i in far})), "map<int,string>")
+        distant = F.from_json(F.lit(json.dumps({str(i): names[i] for i in far})), "map<string,string>")
 
         def name(i: Column) -> Column:
-            return F.coalesce(F.get(table, i), *([F.try_element_at(distant, i)] if far else []), unknown)
+            return F.coalesce(F.get(table, i), *([F.try_element_at(distant, i.cast("string"))] if far else []), unknown)
 
         tokens = F.transform(ids, name)
         return F.filter(tokens, lambda t: ~t.isin(sorted(specials))) if specials else tokens
