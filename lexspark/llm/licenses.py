@@ -1,15 +1,20 @@
 """License scan: an exact set-similarity join between text blocks and license templates.
 
-A block is a line, as a set of words; a template is a set of words; they join where the block holds at least ``threshold`` of the
-template's words.  Words are ordered by their frequency in the whole corpus, rarest first.  With an overlap of at least a needed, a
-block must hold one of a template's first |T| - a + 1 words (prefix filter), have at least a of the templates' words (length
-filter), and at the first common word, have enough words left on either side (positional filter); the exact overlap is counted
-last.  Phrases are templates whose block is a window of consecutive words: their prefix is their rarest word, the positional filter
-is its place in the phrase.
+A block is a window of as many consecutive words as the template has, wherever lines, comment marks and sentences end; a template is a
+set of words; they join where the block holds at least ``threshold`` of the template's words.  Words are ordered by their frequency in
+the whole corpus, rarest first.  With an overlap of at least a needed, a block must hold one of a template's first |T| - a + 1 words
+(prefix filter), so only windows around those are looked at; the words around must have at least a of the template's (length filter),
+and of the template's order enough must be left from the rarest of them on (positional filter); exact overlaps are counted last, by
+a sliding window.  Phrases are templates whose block is a window of consecutive words: their prefix is their rarest word, the positional
+filter is its place in the phrase.
+
+Windows that meet the threshold and overlap are one block: the first of those with the largest overlap stands for it.
 
 Templates and phrases are parameters of bounded number; their index is broadcast, texts are never moved.
 
-Defined results: null and empty texts have no words and no places; an empty table gives no rows; repeated rows each get a row.
+Defined results: null and empty texts have no words and no places; texts are scanned whole, however long, at a cost linear in their
+words; of equally good windows the first counts; an empty table gives no rows; repeated rows and null keys each get a row; other
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -49,13 +54,22 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+@dataclass(frozen=True)
+class Template:
+    """The places of its words in the order by rarity, its length in words, the overlap needed, and its label."""
+
+    places: dict[bytes, int]
+    length: int
+    needed: int
+    label: str
+
+
 @dataclass(frozen=True)
 class LicenseIndex:
-    """Word ranks, templates in rank order with their needed overlap, and the inverted prefix lists.  Bounded by the templates."""
+    """Templates, the inverted prefix lists, and phrases by their rarest word.  Bounded by the templates."""
 
-    rank: dict[bytes, int]
-    templates: tuple[tuple[tuple[bytes, ...], int, str], ...]  # words by rank, needed overlap, label
-    prefix: dict[bytes, tuple[tuple[int, int], ...]]  # word -> (template, place in its order)
+    templates: tuple[Template, ...]
+    prefix: dict[bytes, tuple[int, ...]]  # word -> templates
     rare: dict[bytes, tuple[tuple[int, tuple[bytes, ...], str], ...]]  # word -> (place in phrase, phrase, label)
 
 
@@ -64,26 +78,32 @@ def build_index(counts: dict[bytes, int], templates=TEMPLATES, phrases=PHRASES,
     said = [(tuple(words_of(p)), label) for p, label in phrases]
     every = {w for words, _ in split + said for w in words}
     rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (counts.get(w, 0), w)))}
-    ordered, prefix, rare = [], {}, {}
+    made, prefix, rare = [], {}, {}
     for t, (words, label) in enumerate(split):
-        mine = tuple(sorted(set(words), key=rank.__getitem__))
+        mine = sorted(set(words), key=rank.__getitem__)
         needed = -(-threshold[0] * len(mine) // threshold[1])
-        ordered.append((mine, needed, label))
-        for place, word in enumerate(mine[: len(mine) - needed + 1]):
-            prefix.setdefault(word, []).append((t, place))
+        made.append(Template({w: i for i, w in enumerate(mine)}, len(words), needed, label))
+        for word in mine[: len(mine) - needed + 1]:
+            prefix.setdefault(word, []).append(t)
     for words, label in said:
         place = min(range(len(words)), key=lambda i: rank[words[i]])
         rare.setdefault(words[place], []).append((place, words, label))
-    return LicenseIndex(rank, tuple(ordered), {w: tuple(x) for w, x in prefix.items()}, {w: tuple(x) for w, x in rare.items()})
+    return LicenseIndex(tuple(made), {w: tuple(x) for w, x in prefix.items()}, {w: tuple(x) for w, x in rare.items()})
+
+
+def places_of(word: bytes, words: list[bytes]) -> list[int]:
+    found, at = [], -1
+    for _ in range(words.count(word)):
+        at = words.index(word, at + 1)
+        found.append(at)
+    return found
 
 
 def phrase_places(words: list[bytes], present: set[bytes], index: LicenseIndex) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand consecutively."""
     found = []
     for rare in index.rare.keys() & present:
-        at = -1
-        for _ in range(words.count(rare)):
-            at = words.index(rare, at + 1)
+        for at in places_of(rare, words):
             for place, phrase, label in index.rare[rare]:
                 start = at - place
                 if start >= 0 and start + len(phrase) <= len(words) and tuple(words[start : start + len(phrase)]) == phrase:
@@ -91,24 +111,53 @@ def phrase_places(words: list[bytes], present: set[bytes], index: LicenseIndex)
     return sorted(found)
 
 
-def template_blocks(text: str, index: LicenseIndex) -> list[tuple[int, str, float]]:
-    """(line, label, containment) of every line that holds enough of a template."""
+def regions(places: list[int], length: int, end: int) -> list[tuple[int, int]]:
+    """The ranges of words, in order, that the windows of ``length`` words around the ascending ``places`` reach over."""
+    found: list[tuple[int, int]] = []
+    before = None
+    for at in places:
+        start = found.pop()[0] if before is not None and at - before < length else max(0, at - length + 1)
+        found.append((start, min(end, at + length)))
+        before = at
+    return found
+
+
+def template_blocks(words: list[bytes], present: set[bytes], index: LicenseIndex) -> list[tuple[int, str, float]]:
+    """(word, label, containment) of every block that holds enough of a template; a block begins with a word of the template."""
+    near: dict[int, list[int]] = {}
+    for word in index.prefix.keys() & present:
+        at = places_of(word, words)
+        for t in index.prefix[word]:
+            near.setdefault(t, []).extend(at)
     found = []
-    for number, line in enumerate(text.split("\n")):
-        block = sorted((w for w in set(words_of(line)) if w in index.rank), key=index.rank.__getitem__)
-        tried: set[int] = set()
-        for here, word in enumerate(block):
-            for t, place in index.prefix.get(word, ()):
-                if t in tried:
+    for t, at in near.items():
+        template = index.templates[t]
+        blocks: list[tuple[int, int, int]] = []  # start, overlap, last word of the last window
+        for lo, hi in regions(sorted(at), template.length, len(words)):
+            held = [(i, words[i]) for i in range(lo, hi) if words[i] in template.places]
+            around = {w for _, w in held}
+            rarest = min(template.places[w] for w in around)
+            if min(len(template.places) - rarest, len(around)) < template.needed:
+                continue
+            counts: Counter = Counter()
+            tail = 0
+            for i, word in held:
+                counts[word] += 1
+                while held[tail][0] <= i - template.length:
+                    gone = held[tail][1]
+                    counts[gone] -= 1
+                    if not counts[gone]:
+                        del counts[gone]
+                    tail += 1
+                if len(counts) < template.needed:
                     continue
-                tried.add(t)  # words before this one are not in the template's prefix: this is the first common word
-                words, needed, label = index.templates[t]
-                if len(block) < needed or 1 + min(len(words) - place - 1, len(block) - here - 1) < needed:
-                    continue
-                overlap = len(set(words).intersection(block))
-                if overlap >= needed:
-                    found.append((number, label, overlap / len(words)))
-    return found
+                start, overlap = held[tail][0], len(counts)
+                if blocks and i - blocks[-1][2] < template.length:
+                    was = blocks.pop()
+                    start, overlap = was[:2] if was[1] >= overlap else (start, overlap)
+                blocks.append((start, overlap, i))
+        found.extend((start, template.label, overlap / len(template.places)) for start, overlap, _ in blocks)
+    return sorted(found)
 
 
 def word_counts(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
@@ -126,7 +175,7 @@ def word_counts(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """Rows (key, n_words, places: array of (word, label), blocks: array of (line, label, containment))."""
+    """Rows (key, n_words, places: array of (word, label), blocks: array of (word, label, containment))."""
     every = {w for text, _ in (*templates, *phrases) for w in words_of(text)}
     index = build_index(word_counts(docs, every), templates, phrases, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -141,19 +190,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
                 present = set(words)
                 sizes.append(len(words))
                 places.append([{"word": s, "label": x} for s, x in phrase_places(words, present, ix)])
-                joined = template_blocks(text, ix) if not ix.prefix.keys().isdisjoint(present) else []
-                blocks.append([{"line": n, "label": x, "containment": c} for n, x, c in joined])
+                blocks.append([{"word": n, "label": x, "containment": c} for n, x, c in template_blocks(words, present, ix)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
-                    pa.array(blocks, pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
+                    pa.array(blocks, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))),
                 ],
                 [key, "n_words", "places", "blocks"],
             )
 
-    schema = f"{key} {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<line:long,label:string,containment:double>>"
+    schema = f"{key} {kind}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<word:long,label:string,containment:double>>"
     return map_rows(docs.select(key, "text"), run, schema)
 
 
@@ -180,14 +228,16 @@ def oracle(words_sql: str, templates=TEMPLATES, phrases=PHRASES, threshold=THRES
         words = phrase.split()
         test = " AND ".join(f"w[i + {j + 1}] = '{word}'" for j, word in enumerate(words))
         said.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(0, len(w) - {len(words)} + 1), lambda i: {test})) AS s FROM d")
-    values = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for text, label in templates)
+    values = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in templates)
     return f"""
 WITH t0 AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 d AS (SELECT r, doc_id, {words_sql} AS w FROM t0),
 p AS ({" UNION ALL ".join(said)}),
-l AS (SELECT r, list_distinct({words_sql}) AS b FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM t0)),
+u AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
 t(label, ws) AS (VALUES {values}),
-m AS (SELECT r, label, len(list_intersect(b, ws)) AS o, len(ws) AS n FROM l, t),
+tw AS (SELECT label, len(ws) AS size, len(list_distinct(ws)) AS n, unnest(list_distinct(ws)) AS word FROM t),
+x AS (SELECT r, i, word, label, size, n FROM u JOIN tw USING (word)),
+m AS (SELECT r, label, n, count(DISTINCT word) OVER (PARTITION BY r, label ORDER BY i RANGE BETWEEN size - 1 PRECEDING AND CURRENT ROW) AS o FROM x),
 k AS (SELECT r, label, o / n AS c FROM m WHERE {threshold[1]} * o >= {threshold[0]} * n),
 pb AS (SELECT r, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word FROM p GROUP BY r),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM p) GROUP BY r),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -604,20 +605,32 @@ def test_license_join_is_exact(spark, nothing):
         lines.append(" ".join(base))
     lines += ["MIT License, MIT\nlicense", "the Apache--License 2.0", "Licensed under CC BY-NC 4.0."]
     data = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(58)] + [(90, None), (91, ""), (92, "éapache license")]
+    full = [t for t, _ in licenses.TEMPLATES]
+    wrapped = ["\n * ".join(textwrap.wrap(t, 30)) for t in full]
+    data += [(100, "\n".join(full)), (101, " x ".join(wrapped)), (102, " ".join(full[1].split()[3:])), (103, f"{full[1]} {full[1]}")]
+    data += [(104, " ".join(draw.choices(pool, k=20_000)) + wrapped[1]), (105, " by ".join(full[0].split())), (104, full[0]), (None, full[0])]
     frame = spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, places int")
-    found = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    found = {(r.doc_id, r.n_words): r for r in licenses.scan(frame).collect()}
+    assert len(found) == len(data)
     for key, text in data:
-        expected = []
-        for n, line in enumerate((text or "").split("\n")):
-            block = {w.decode() for w in licenses.words_of(line)}
-            for template, label in licenses.TEMPLATES:
-                t = set(template.split())
-                if 10 * len(t & block) >= 9 * len(t):
-                    expected.append((n, label, len(t & block) / len(t)))
-        assert sorted(map(tuple, found[key].blocks)) == sorted(expected)
         w = [x.decode() for x in licenses.words_of(text or "")]
+        expected = []
+        for template, label in licenses.TEMPLATES:
+            t, size, runs = set(template.split()), len(template.split()), []
+            for end in range(len(w)):  # every window, by its last word
+                window = range(max(0, end - size + 1), end + 1)
+                overlap = len(t.intersection(w[i] for i in window))
+                if w[end] in t and 10 * overlap >= 9 * len(t):
+                    if not runs or end - runs[-1][-1][0] >= size:
+                        runs.append([])
+                    runs[-1].append((end, overlap, next(i for i in window if w[i] in t)))
+            for run in runs:
+                best = max(run, key=lambda x: x[1])
+                expected.append((best[2], label, best[1] / len(t)))
+        assert sorted(map(tuple, found[key, len(w)].blocks)) == sorted(expected)
         places = sorted((i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-        assert sorted(map(tuple, found[key].places)) == places
+        assert sorted(map(tuple, found[key, len(w)].places)) == places
+    assert {b.label for b in found[101, len(licenses.words_of(data[62][1]))].blocks} >= {"mit-text", "gnu-gpl-text", "bsd-text", "mpl-2.0"}
     assert licenses.scan(nothing).count() == 0
 
 
