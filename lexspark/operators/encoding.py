@@ -107,22 +107,43 @@ def pair_lengths(first: Column, second: Column, rule: Truncation) -> Column:
     return F.struct(*[F.when(fits, n).otherwise(k).cast("int").alias(name) for n, k, name in ((first, kept[0], "first"), (second, kept[1], "second"))])
 
 
-def _parts(encoding: Column, length: Column, rule: Truncation) -> Column:
-    size = F.size(encoding["ids"])
+def _windows(size: Column, length: Column, rule: Truncation) -> Column:
+    """``spans`` of a text of a pair, which may keep fewer tokens than the stride."""
     stride = F.least(F.lit(rule.stride), length - 1)
-    cut = sliced(encoding, let(F.struct(size.alias("n"), length.alias("m"), stride.alias("s")), lambda x: spans(x["n"], x["m"], x["s"], rule.direction)))
+    return let(F.struct(size.alias("n"), length.alias("m"), stride.alias("s")), lambda x: spans(x["n"], x["m"], x["s"], rule.direction))
+
+
+def _parts(encoding: Column, length: Column, rule: Truncation, main: bool) -> Column:
+    size = F.size(encoding["ids"])
+    windows = _windows(size, length, rule)
+    cut = sliced(encoding, F.slice(windows, 1, 1) if main else windows)
     return F.when(size <= length, F.array(encoding)).when(length == 0, F.array(each(encoding, lambda n, a: F.slice(a, 1, 0)))).otherwise(cut)
 
 
-def truncate_pair(first: Column, second: Column, rule: Truncation | None) -> tuple[Column, Column]:
-    """Arrays of parts of two texts that are encoded together."""
+def truncate_pair(first: Column, second: Column, rule: Truncation | None, main: bool = False) -> tuple[Column, Column]:
+    """Arrays of parts of two texts that are encoded together; with ``main`` just the first one of each."""
     if rule is None:
         return F.array(first), F.array(second)
     kept = pair_lengths(F.size(first["ids"]), F.size(second["ids"]), rule)
-    cut = lambda e, side: let(kept[side], lambda m: _parts(e, m, rule))
+    cut = lambda e, side: let(kept[side], lambda m: _parts(e, m, rule, main))
     return cut(first, "first"), cut(second, "second")
 
 
+def count_parts(size: Column, rule: Truncation | None) -> Column:
+    """How many parts ``truncate`` makes of a text of ``size`` tokens, without making them."""
+    if rule is None or rule.max_length == 0 or rule.strategy not in ("LongestFirst", "OnlyFirst"):
+        return F.lit(1).cast("bigint")
+    return F.when(size <= rule.max_length, 1).otherwise(F.size(window_starts(size, rule))).cast("bigint")
+
+
+def count_pair_parts(first: Column, second: Column, rule: Truncation | None) -> Column:
+    """How many parts a pair of texts of so many tokens gives: each of the first text's with each of the second's."""
+    if rule is None:
+        return F.lit(1).cast("bigint")
+    count = lambda n, m: F.when((n <= m) | (m == 0), 1).otherwise(F.size(_windows(n, m, rule))).cast("bigint")
+    return let(pair_lengths(first, second, rule), lambda kept: count(first, kept["first"]) * count(second, kept["second"]))
+
+
 def _special(named: dict, rule: Part) -> dict[str, Column]:
     token = rule.options["special_tokens"][named["id"]]
     n = len(token["ids"])

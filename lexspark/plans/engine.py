@@ -294,21 +294,22 @@ class Engine:
         rules = self.plan
 
         def parts(a: Column, b: Column) -> Column:
-            left, right = encoding.truncate_pair(a, b, rules.truncation)
-            if not self.keep_overflow:
-                left, right = F.slice(left, 1, 1), F.slice(right, 1, 1)
+            left, right = encoding.truncate_pair(a, b, rules.truncation, main=not self.keep_overflow)
             joined = lambda x, y: encoding.pad(encoding.joined_pair(x, y, rules.post_processor, add_special_tokens), rules.padding)
             return encoding.let(right, lambda all: F.flatten(F.transform(left, lambda x: F.transform(all, lambda y: joined(x, y)))))
 
         both = encoding.let(encoding.from_tokens(first_tokens), lambda a: encoding.let(encoding.from_tokens(second_tokens), lambda b: parts(a, b)))
         return F.when(first.isNotNull() & second.isNotNull(), encoding.let(both, encoding.with_overflow))
 
-    def encode_pairs(self, df: DataFrame, first: str, second: str, into: str = "encoding", add_special_tokens: bool = True, key: str | None = None, by_words: bool = True) -> DataFrame:
+    def encode_pairs(self, df: DataFrame, first: str, second: str, into: str = "encoding", add_special_tokens: bool = True, key: str | None = None, by_words: bool = True, parts: str | None = None) -> DataFrame:
         """Adds the encoding of two texts together: truncated to ``max_length`` in all, in the pair template, padded.
 
         Further parts are those of the first text, each with all of the second's.  Where the second text is null, the first is encoded
         alone; where the first is null, so is the result.  ``by_words`` plans it by distinct words, as ``encode_by_words``; without
         it no row moves, and streams can be encoded.
+
+        As parts multiply, the overflow of two long texts is far longer than they are.  ``parts`` names a column for the number of all parts;
+        the further ones are counted then, and not made.
         """
         columns, texts = df.columns, (first, second)
         held = [free_name(df, "_first"), free_name(df, "_second")]
@@ -325,10 +326,15 @@ class Engine:
         else:
             for name, text in zip(held, texts):
                 df = df.withColumn(name, self.tokens(F.col(text)))
-        a, b = F.col(first), F.col(second)
-        pair = self.pair_column(a, b, F.col(held[0]), F.col(held[1]), add_special_tokens)
-        alone = self.encode_column(a, add_special_tokens, F.col(held[0]))
-        return df.withColumn(into, F.when(b.isNull(), alone).otherwise(pair)).select(*[c for c in columns if c != into], into)
+        a, b, made = F.col(first), F.col(second), self if parts is None else replace(self, keep_overflow=False)
+        pair = made.pair_column(a, b, F.col(held[0]), F.col(held[1]), add_special_tokens)
+        alone = made.encode_column(a, add_special_tokens, F.col(held[0]))
+        encoded = df.withColumn(into, F.when(b.isNull(), alone).otherwise(pair))
+        if parts is None:
+            return encoded.select(*[c for c in columns if c != into], into)
+        sizes, rule = [F.size(F.col(h)["ids"]) for h in held], self.plan.truncation
+        count = F.when(a.isNotNull(), F.when(b.isNull(), encoding.count_parts(sizes[0], rule)).otherwise(encoding.count_pair_parts(*sizes, rule)))
+        return encoded.withColumn(parts, count).select(*[c for c in columns if c not in (into, parts)], into, parts)
 
     def _pad_to_longest(self, encoded: DataFrame, into: str) -> DataFrame:
         """Pads encodings without padding to the longest of the table, a scalar subquery."""
