@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,12 +30,20 @@ _JAVA_IDEOGRAPHS = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in IDEOGRAPHS)
 NORMAL_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
+#: So many texts at a time are Python's strings; the rest of a batch stays in Arrow's memory.
+AT_ONCE = 64
+
+
 def normal_form(form: str):
     """A vectorised function: the Unicode normal form of a string column."""
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+    @F.arrow_udf("string")
+    def apply(texts: pa.Array) -> pa.Array:
+        made = []
+        for at in range(0, len(texts), AT_ONCE):
+            part = texts.slice(at, AT_ONCE)
+            made.append(pa.array([None if t is None else unicodedata.normalize(form, t) for t in part.to_pylist()], texts.type))
+        return pa.concat_arrays(made) if made else texts
 
     return apply
 

@@ -1,8 +1,12 @@
 """What grew faster than the input once: results as before, and what must not be made or sent any more."""
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexspark import Engine, fixtures
+from lexspark import Engine, fixtures, queries
+from lexspark.functions import normalize
 
 
 def test_parts_of_pairs_are_counted_without_making_them(spark):
@@ -17,3 +21,23 @@ def test_parts_of_pairs_are_counted_without_making_them(spark):
             assert few.where(F.size("encoding.overflowing") > 0).count() == 0
             few = few.select("a", "b", "encoding.ids", "encoding.words", "n")
             assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, all.collect()), key=repr)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1_000_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    @F.arrow_udf("int")
+    def rows(texts: pa.Array) -> pa.Array:
+        return pa.array([len(texts)] * len(texts), pa.int32())
+
+    frame = queries.read(spark, str(tmp_path), "documents").coalesce(1)
+    assert frame.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 8
+
+
+def test_normal_forms_over_parts_of_a_batch(spark):
+    texts = ["", None, "e\u0301", "\ufb01", "\uac01"] * 50
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for form in normalize.NORMAL_FORMS:
+        found = frame.select("i", normalize.normal_form(form)("t").alias("n")).orderBy("i").collect()
+        assert [r.n for r in found] == [None if t is None else unicodedata.normalize(form, t) for t in texts]
