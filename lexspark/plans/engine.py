@@ -8,9 +8,11 @@ once; a worker keeps the tokens of the words it has met (bounded).  Truncation,
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,23 +39,27 @@ TOKENS = T.StructType(
         T.StructField("ends", T.ArrayType(T.IntegerType())),
     ]
 )
-#: Bound of the words that a worker remembers.
-MOST_WORDS = 300_000
+#: Bound of the tokens, of whole words, that a tokenizer remembers: some 150 bytes each.
+MOST_TOKENS = 200_000
+#: So many tokenizers are kept in a worker, those used last.
+MOST_MADE = 3
+_made: dict[str, Any] = {}
 
 
 class Made:
-    """Goes to the executors as the engine; its tokenizer is made there, once per task."""
+    """Goes to the executors as the engine; its tokenizer is made there, once per worker, whatever functions and tasks use it."""
 
     def __init__(self, engine: "Engine", make=None):
-        self.engine, self.make, self.run = engine, make, None
-
-    def __getstate__(self):
-        return {"engine": self.engine, "make": self.make, "run": None}
+        self.engine, self.make, self.name = engine, make, uuid.uuid4().hex
 
     def tokenizer(self):
-        if self.run is None:
-            self.run = self.engine.tokenizer() if self.make is None else self.make(self.engine)
-        return self.run
+        run = _made.pop(self.name, None)
+        if run is None:
+            run = self.engine.tokenizer() if self.make is None else self.make(self.engine)
+        _made[self.name] = run
+        while len(_made) > MOST_MADE:
+            del _made[next(iter(_made))]
+        return run
 
 
 @dataclass(frozen=True)
@@ -192,19 +198,23 @@ class Engine:
     def tokenizer(self):
         """text -> (ids, tokens, words, starts, ends); the reference version of the fused function."""
         words, tokenize = self._words(), evaluator(self.plan.model, self.merge_priority)
-        names, known = self.added.by_id, {}
+        names, known, held = self.added.by_id, {}, 0
 
         def run(text: str) -> tuple[list, list, list, list, list]:
+            nonlocal held
             ids, tokens, numbers, starts, ends = [], [], [], [], []
-            if len(known) > MOST_WORDS:
-                known.clear()
             for number, (word, first, last, token) in enumerate(words(text)):
                 if token is not None:
                     found = [(token, names[token], 0, len(word))]
                 else:
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = tokenize(word)
+                        found = tokenize(word)
+                        if held > MOST_TOKENS:
+                            known.clear()
+                            held = 0
+                        known[word] = found
+                        held += len(found) + 1
                 for i, value, start, end in found:
                     ids.append(i)
                     tokens.append(value)
@@ -214,6 +224,7 @@ class Engine:
                     ends.append(last[min(end, len(last)) - 1] if end > start else begin)
             return ids, tokens, numbers, starts, ends
 
+        run.known = known
         return run
 
     def tokens(self, text: Column) -> Column:
@@ -395,7 +406,7 @@ class Engine:
         @F.pandas_udf("array<int>")
         def encode_ids(texts: pd.Series, *flags: pd.Series) -> pd.Series:
             run, flag = encoder.tokenizer(), _flags(texts, flags, False)
-            return pd.Series([None if t is None else run(t, f) for t, f in zip(texts, flag)], dtype=object)
+            return pd.Series([None if t is None else np.array(run(t, f), np.int32) for t, f in zip(texts, flag)], dtype=object)
 
         @F.pandas_udf("string")
         def decode_ids(rows: pd.Series, *flags: pd.Series) -> pd.Series:

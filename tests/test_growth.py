@@ -1,5 +1,6 @@
 """What grew faster than the input once: results as before, and what must not be made or sent any more."""
 
+import pickle
 import unicodedata
 
 import pyarrow as pa
@@ -41,3 +42,20 @@ def test_normal_forms_over_parts_of_a_batch(spark):
     for form in normalize.NORMAL_FORMS:
         found = frame.select("i", normalize.normal_form(form)("t").alias("n")).orderBy("i").collect()
         assert [r.n for r in found] == [None if t is None else unicodedata.normalize(form, t) for t in texts]
+
+
+def test_a_worker_remembers_few_words_once(monkeypatch):
+    from lexspark.plans import engine as plans
+    from lexspark.plans.rows import row_encoder
+
+    monkeypatch.setattr(plans, "MOST_TOKENS", 20)
+    made = plans.Made(Engine.from_json(fixtures.bert_small()))
+    run = made.tokenizer()
+    alone = [plans.Made(made.engine).tokenizer()(f"land{i} sea") for i in range(50)]
+    for i in range(50):
+        assert run(f"land{i} sea") == alone[i]
+        assert len(run.known) <= 20
+    assert all(pickle.loads(pickle.dumps(made)).tokenizer() is made.tokenizer() for _ in range(3))
+    for _ in range(9):
+        plans.Made(made.engine, row_encoder).tokenizer()
+    assert len(plans._made) <= plans.MOST_MADE
