@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.config import BpeModel, Model, UnigramModel, WordLevelModel, WordPieceModel
+from .added import trie
 
 Token = tuple[int, str, int, int]
 
@@ -200,6 +201,13 @@ def evaluator(model: Model | None, merge_priority: str = "lowest"):
 TOKEN = "struct<id:int,value:string,start:int,end:int>"
 #: Pieces of a vocabulary that is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 2_000_000
+#: Pieces of a vocabulary that a pattern is made of.
+MOST_MATCHED = 100_000
+
+
+def any_of(pieces: list[str]) -> str:
+    """A pattern for the longest of the pieces; of none, one that never matches."""
+    return f"(?:{trie(pieces)})" if pieces else "(?!)"
 
 
 def vocab_table(spark, vocab: dict[str, int]) -> DataFrame:
@@ -217,7 +225,36 @@ def id_to_token(ids: DataFrame, vocab: DataFrame, id: str = "id") -> DataFrame:
 
 
 def wordpiece_by_join(words: DataFrame, model: WordPieceModel, word: str = "word") -> DataFrame:
-    """Rows (word, tokens) for each distinct word: every substring that the vocabulary has, longest per start, walked from the left."""
+    """Rows (word, tokens) for each distinct word: its longest pieces from the left, which get their ids by a join with the vocabulary.
+
+    A pattern finds the pieces, each where the one before ended; a word that they do not make up is unknown.  Only pieces become rows,
+    and words are read, and move, once.
+    """
+    if len(model.vocab) > MOST_MATCHED:
+        return _wordpiece_by_spans(words, model, word)
+    prefix, size = model.continuing_subword_prefix, F.length("word")
+    inner = [p[len(prefix) :] for p in model.vocab if p.startswith(prefix) and len(p) > len(prefix)]
+    pattern = rf"\A{any_of([p for p in model.vocab if p])}|(?!\A)\G{any_of(inner)}"
+    distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
+    cut = distinct.select("word", F.regexp_extract_all("word", F.lit(pattern), F.lit(0)).alias("cut"))
+    piece = lambda id, value, start, end: F.struct(id.cast("int").alias("fixed"), value.alias("piece"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def found(t: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice("cut", F.lit(1), i), ""))
+        return piece(F.lit(None), F.when(i > 0, F.concat(F.lit(prefix), t)).otherwise(t), start, start + F.length(t))
+
+    whole = (size <= model.max_input_chars_per_word) & (F.array_join("cut", "") == F.col("word"))
+    unknown = piece(F.lit(model.vocab.get(model.unk_token, 0)), F.lit(model.unk_token), F.lit(0), size)
+    rows = cut.select("word", F.explode_outer(F.when(whole, F.transform("cut", found)).otherwise(F.array(unknown))).alias("_p")).select("word", "_p.*")
+    met = rows.join(vocab_table(words.sparkSession, model.vocab), "piece", "left")
+    token = F.struct("start", F.coalesce("fixed", "id").alias("id"), F.col("piece").alias("value"), "end")
+    grouped = met.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), token))).alias("_t"))
+    made = lambda t: F.struct(t["id"].alias("id"), t["value"].alias("value"), t["start"].alias("start"), t["end"].alias("end"))
+    return grouped.select(F.col("word").alias(word), F.transform("_t", made).cast(f"array<{TOKEN}>").alias("tokens"))
+
+
+def _wordpiece_by_spans(words: DataFrame, model: WordPieceModel, word: str) -> DataFrame:
+    """Every substring that the vocabulary has, longest per start, walked from the left: for vocabularies too large for a pattern."""
     spark, prefix = words.sparkSession, model.continuing_subword_prefix
     longest = max(map(len, model.vocab), default=1)
     distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
