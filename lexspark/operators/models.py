@@ -311,13 +311,17 @@ def unigram_by_join(words: DataFrame, model: UnigramModel, word: str = "word") -
     vocab = spark.createDataFrame(listed or [("", 0, 0.0)], "piece string, id int, score double")
     vocab = F.broadcast(vocab) if len(listed) <= MOST_BROADCAST else vocab
     distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
-    filled = distinct.where(F.col("word") != "")
-    starts = filled.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size")
-    spans = starts.select("word", "start", size).withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
-    met = spans.join(vocab, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    # an empty word stays as a row without places, so that words are read once
+    starts = distinct.select("word", F.explode_outer(F.when(F.col("word") != "", F.sequence(F.lit(0), F.length("word") - 1))).alias("start"))
+    most = F.least(F.lit(longest), F.length("word") - F.col("start"))
+    if len(listed) <= MOST_MATCHED:  # no piece that begins here is longer than the longest one that matches
+        rest = F.substring("word", F.col("start") + 1, F.lit(longest))
+        most = F.greatest(F.length(F.regexp_extract(rest, rf"\A{any_of([p for p, _, _ in listed])}", 0)), F.lit(1))
+    spans = starts.select("word", "start", F.explode_outer(F.when(F.col("start").isNotNull(), F.sequence(F.lit(1), most))).alias("size"))
+    spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
+    met = spans.join(vocab, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1) | F.col("start").isNull())
     arc = F.struct((F.col("start") + F.col("size")).alias("end"), "start", "id", F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
-    arcs = met.groupBy("word").agg(F.array_sort(F.collect_list(arc)).alias("arcs"))
+    arcs = met.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), arc))).alias("arcs"))
 
     place = "struct<score:double,back:int,id:int>"
     origin = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id"))
@@ -344,7 +348,7 @@ def unigram_by_join(words: DataFrame, model: UnigramModel, word: str = "word") -
             grown = F.when(both, F.array_prepend(F.slice(a["out"], 2, F.greatest(F.size(a["out"]) - 1, F.lit(0))), one(next["end"]))).otherwise(grown)
         return F.when(end == a["at"], F.struct(start.alias("at"), grown.alias("out"))).otherwise(a)
 
-    parts = F.aggregate(F.sequence(F.length("word"), F.lit(1), F.lit(-1)), last, back, lambda a: a["out"])
+    parts = F.aggregate(F.sequence(F.greatest(F.length("word"), F.lit(1)), F.lit(1), F.lit(-1)), last, back, lambda a: a["out"])
 
     def token(p: Column) -> Column:
         text = F.substring("word", p["start"] + 1, p["end"] - p["start"])
@@ -360,9 +364,7 @@ def unigram_by_join(words: DataFrame, model: UnigramModel, word: str = "word") -
         made_of_bytes = F.transform(pairs, each).cast(f"array<{TOKEN}>")
         return F.when(p["id"].isNull() & ~F.exists(made_of_bytes, lambda t: t["id"].isNull()), made_of_bytes).otherwise(one)
 
-    found = arcs.withColumn("ways", ways).select("word", F.flatten(F.transform(parts, token)).alias("tokens"))
-    none = distinct.where(F.col("word") == "").select("word", F.array().cast(f"array<{TOKEN}>").alias("tokens"))
-    return found.unionByName(none).select(F.col("word").alias(word), "tokens")
+    return arcs.withColumn("ways", ways).select(F.col("word").alias(word), F.flatten(F.transform(parts, token)).alias("tokens"))
 
 
 #: Marks around tokens; no token may hold one.  Those that a text holds are tokens of their own.
