@@ -1,14 +1,15 @@
 """Alignment of the tokens that two tokenizers give the same text.
 
 A is a byte-level BPE of the tokenizers library, which gets a space and the text; B is a sentencepiece model, which adds that space
-itself.  A token covers a range of the bytes of space and text.  Each side's tokens are exploded with their places, their ends are
-running sums of lengths, and ends at which both sides have a token (an equi-join on document and end) are the cuts.  A cut's number
-is the running count of cuts; the tokens between two cuts are a group.  The two tokens that end at a cut are linked; how often an id
-pair is linked is counted over the whole corpus.
+itself.  A token covers a range of the bytes of space and text.  Each side's tokens are exploded, their ends are running sums of
+lengths, and ends at which both sides have a token (an equi-join on document and end) are the cuts.  The tokens between two cuts are a
+group.  The two tokens that end at a cut are linked; how often an id pair is linked is counted over the whole corpus.
 
-Texts are placed by document once, and their ids are written as a bucketed table: explosion, running sums, join and numbering move
-nothing, and each reads the side that it needs.  A row's place in the table, not its key, tells it apart.  Links are written; to give each the count of its pair, pairs with a ten-thousandth of all links
-or more are broadcast, and only links of rarer pairs are shuffled.
+A row holds its document whole, so explosion, running sums and join need no other row: they are array operations over the Arrow batch
+in which a text is encoded, and no text or token moves.  In a batch the texts' bytes stand end to end, so document and end are one
+number, and the join looks it up.  Links are written; they are exploded, counted and scored by Spark: to give each the count of its
+pair, pairs with a ten-thousandth of all links or more are broadcast, and only links of rarer pairs are shuffled.  A row's place in
+the table, not its key, tells it apart.
 
 Defined results, one row per document: a null or empty text, and one whose tokens' bytes are not those of space and text on either side
 (U+2581 in it, say), has no tokens: zeros, and an empty ``groups`` and ``groups_sha256``; the strings of special tokens in a text are
@@ -18,30 +19,24 @@ one row each; an empty table gives no rows; other columns, of any name, are igno
 
 from __future__ import annotations
 
-import json
-import uuid
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.split import CHAR_BYTES
-from ..operators.encoding import let
 from .bpe import share_file
 from .chunks import PartTable
-from .common import FREED, SHARES, delete_path, map_rows, remembered, scratch_path, settings, written
-
-#: Bytes of text that a task holds, about, so that its tokens can be sorted in memory; beyond so many tasks they hold more, and sorts spill.
-TASK_BYTES = 4_000_000
-MOST_TASKS = 100_000
-#: The join takes the placing by document for one by document and end; the aggregation by document holds as many documents as a
-#: task has, instead of sorting all cuts again.
-IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000000"}
+from .common import SHARES, delete_path, map_rows, remembered, scratch_path, written
+
 BLANK = "▁"
+#: Bytes of text that are aligned at once, about: arrays of their tokens take some hundred times as much.
+PORTION = 1 << 20
 
 
 def byte_level_token_bytes(path: str) -> list[bytes]:
@@ -63,6 +58,44 @@ def piece_token_bytes(path: str) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(named)]
 
 
+# --- alignment of the texts of a batch ---------------------------------------------------------------------------------------------
+
+
+def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of A, and of B, that end where one of the other side ends, in order; each two are linked.
+
+    The tokens, of these sizes and none of them empty, are those of the same texts end to end, so a running sum tells text and end.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    ends = np.zeros((2, (int(a_ends[-1]) if len(a_ends) else 0) + 1), bool)
+    ends[0, a_ends] = ends[1, b_ends] = True
+    return np.flatnonzero(ends[1, a_ends]), np.flatnonzero(ends[0, b_ends])
+
+
+MARKS = b",|;"
+
+
+def written_ids(count: int) -> np.ndarray:
+    """For each of ``MARKS`` and each id, eight bytes: its decimal digits, the mark and zeros."""
+    if count > 10_000_000:
+        raise ValueError("ids of more than seven digits")
+    return np.array([[b"%d%c" % (i, mark) for i in range(count)] for mark in MARKS], "S8").view(np.uint64)
+
+
+def group_text(a_written: np.ndarray, a_ids: np.ndarray, a_cut: np.ndarray, b_written: np.ndarray, b_ids: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;``: the bytes of all groups, and how many of them the first 0, 1, ... tokens have."""
+    a_size, b_size = np.diff(a_cut, prepend=-1), np.diff(b_cut, prepend=-1)
+    marks = np.zeros(len(a_ids), np.intp), np.zeros(len(b_ids), np.intp)
+    marks[0][a_cut], marks[1][b_cut] = 1, 2
+    made = np.empty(len(a_ids) + len(b_ids), np.uint64)
+    made[np.arange(len(a_ids)) + np.repeat(b_cut + 1 - b_size, a_size)] = a_written[marks[0], a_ids]
+    made[np.arange(len(b_ids)) + np.repeat(a_cut + 1, b_size)] = b_written[marks[1], b_ids]
+    data = made.view(np.uint8)
+    used = data != 0
+    sizes = np.bitwise_count(used.view(np.uint64))
+    return data[used], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 # --- encoding ------------------------------------------------------------------------------------------------------------------
 
 
@@ -112,40 +145,55 @@ class BothEncoders:
         self.a.library.encode_special_tokens = True
         self.a.table = PartTable(self.a._encode_parts, PieceEncoder.MOST_PARTS, portion=1 << 21)
         self.whole = not self.a.simple
-        self.bytes = byte_level_token_bytes(a_path), piece_token_bytes(b_path)
-        self.flat = [np.frombuffer(b"".join(t), np.uint8) for t in self.bytes]
-        self.sizes = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
-        self.heads = [np.cumsum(s) - s for s in self.sizes]
+        self.tokens = [pa.array(t, pa.large_binary()) for t in (byte_level_token_bytes(a_path), piece_token_bytes(b_path))]
+        self.sizes = [pc.binary_length(t).to_numpy() for t in self.tokens]
+        self.written = [written_ids(len(t)) for t in self.tokens]
 
     def _same(self, side: int, ids: np.ndarray, ends: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts' tokens have the bytes of the text."""
-        sizes = self.sizes[side][ids]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        totals = stops[np.concatenate([[0], ends])]
-        same = np.diff(totals) == np.diff(offsets)
-        for t in np.flatnonzero(same & (np.diff(offsets) > 0)).tolist():
-            a, b = (0 if t == 0 else int(ends[t - 1])), int(ends[t])
-            own = sizes[a:b]
-            at = np.repeat(self.heads[side][ids[a:b]] - (stops[a:b] - stops[a]), own) + np.arange(stops[b] - stops[a])
-            same[t] = np.array_equal(self.flat[side][at], data[offsets[t] : offsets[t + 1]])
+        if not len(ids):
+            return np.diff(offsets) == 0
+        joined = self.tokens[side].take(pa.array(ids))
+        _, where, held = joined.buffers()
+        stops = np.frombuffer(where, np.int64)[: len(ids) + 1][np.concatenate([[0], ends])]
+        own = np.frombuffer(held, np.uint8)[: stops[-1]] if held is not None else np.zeros(0, np.uint8)
+        if np.array_equal(stops, offsets) and np.array_equal(own, data):
+            return np.ones(len(ends), bool)
+        same = np.diff(stops) == np.diff(offsets)
+        for t in np.flatnonzero(same).tolist():
+            same[t] = np.array_equal(own[stops[t] : stops[t + 1]], data[offsets[t] : offsets[t + 1]])
         return same
 
-    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """The ids of A and B as lists; texts without tokens have empty ones."""
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B, the ids of all texts end to end, and where each text's ids begin and the last ones end; texts without tokens have none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
         _, where, held = spaced.buffers()
         n = len(spaced)
         offsets = np.frombuffer(where, np.int32)[spaced.offset : spaced.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-        data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        data = np.frombuffer(held, np.uint8)[: offsets[-1]] if held is not None else np.zeros(0, np.uint8)
         made = [_listed([e.ids for e in self.a.library.encode_batch(spaced.to_pylist(), add_special_tokens=False)]) if self.whole else self.a.table.encode(spaced), self.b.encode(spaced)]
         good = self._same(0, *made[0], data, offsets) & self._same(1, *made[1], data, offsets)
         out = []
         for ids, ends in made:
             counts = np.diff(ends, prepend=0)
-            kept = ids[np.repeat(good, counts)].astype(np.int32)
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts * good)]).astype(np.int32)), pa.array(kept)))
-        return out[0], out[1]
+            kept = ids if good.all() else ids[np.repeat(good, counts)]
+            out.append((kept, np.concatenate([[0], np.cumsum(counts * good)])))
+        return out
+
+    def align(self, texts: pa.Array, whole: bool = False) -> list[pa.Array]:
+        """Columns n_a, n_b, n_groups, groups_sha256, links and, if ``whole``, groups of the texts."""
+        (a_ids, a_at), (b_ids, b_at) = self.encode(texts)
+        a_cut, b_cut = cuts(self.sizes[0][a_ids], self.sizes[1][b_ids])
+        links = a_ids[a_cut].astype(np.int64) << 32 | b_ids[b_cut]
+        at = np.searchsorted(a_cut, a_at)
+        data, upto = group_text(self.written[0], a_ids, a_cut, self.written[1], b_ids, b_cut)
+        stops = upto[a_at + b_at]
+        groups = [data[x : max(x, y - 1)] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist())]  # the last group has no mark after it
+        digests = pa.array([sha256(g).hexdigest() if len(g) else "" for g in groups], pa.string())
+        listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(links))
+        counts = [pa.array(np.diff(x)) for x in (a_at, b_at, at)]
+        return [*counts, digests, listed, *([pa.array([bytes(g).decode() for g in groups], pa.string())] if whole else [])]
 
 
 _of_this_worker: dict[tuple, BothEncoders] = remembered("alignment")
@@ -158,69 +206,31 @@ def worker_encoders(*paths: str) -> BothEncoders:
     return _of_this_worker[paths]
 
 
-def encode_both(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, _row, a_ids, b_ids), one per row of ``docs`` (key, _row, text)."""
+def portions(batch: pa.RecordBatch, text: int):
+    """The rows of the batch in parts of ``PORTION`` bytes of column ``text``, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(upto // PORTION, prepend=0)), [len(upto)]])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def aligned_rows(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``align``, not written: it moves no row, and rows are told apart only once it is written."""
     names = share_file(docs, a_path), share_file(docs, b_path)
     kind = docs.select(key).schema[0].dataType.simpleString()
+    made = ["n_a", "n_b", "n_groups", "groups_sha256", "links", *(["groups"] if whole else [])]
 
     def run(batches):
         encoders = worker_encoders(*map(SparkFiles.get, names))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *encoders.encode(batch.column(2))], ["key", "_row", "a_ids", "b_ids"])
-
-    made = map_rows(docs.select(key, "_row", text), run, f"key {kind}, _row bigint, a_ids array<int>, b_ids array<int>", "alignment")
-    return made.withColumnRenamed("key", key)
+            for part in portions(batch, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *encoders.align(part.column(2), whole)], ["key", "_row", *made])
 
-
-def token_table(docs: DataFrame, a_path: str, b_path: str, folder: str, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``encode_both`` as the table ``name`` in ``folder``, bucketed and sorted by ``_row``, a row's place in ``docs``."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
-    placed = docs.select(key, F.monotonically_increasing_id().alias("_row"), text).repartition(tasks, "_row")
-    with settings(spark, FREED):
-        encoded = encode_both(placed, a_path, b_path, key, text)
-        encoded.write.format("parquet").option("path", f"{folder}/tokens").option("compression", "zstd").bucketBy(tasks, "_row").sortBy("_row").saveAsTable(name)
-    return spark.table(name)
-
-
-# --- alignment -----------------------------------------------------------------------------------------------------------------
-
-
-def token_ends(rows: DataFrame, ids: str, sizes: list[int], place: str, id: str) -> DataFrame:
-    """Rows (_row, end, place, id), one per token: where it ends in the bytes of its text, from the running sum of lengths."""
-    tokens = rows.select("_row", F.posexplode(ids).alias(place, id))
-    size = F.get(F.from_json(F.lit(json.dumps(sizes)), "array<int>"), F.col(id))
-    upto = W.partitionBy("_row").orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return tokens.withColumn("_size", size).select("_row", F.sum("_size").over(upto).alias("end"), place, id)
-
-
-def cuts(rows: DataFrame, a_sizes: list[int], b_sizes: list[int]) -> DataFrame:
-    """Rows (_row, group, end, a_at, a_id, b_at, b_id), one per place where tokens of both sides end; groups count from 1."""
-    a = token_ends(rows, "a_ids", a_sizes, "a_at", "a_id")
-    b = token_ends(rows, "b_ids", b_sizes, "b_at", "b_id")
-    met = a.join(b.hint("merge"), ["_row", "end"])
-    return met.withColumn("group", F.row_number().over(W.partitionBy("_row").orderBy("end")))
-
-
-def group_text(a_ids: Column, b_ids: Column, ends: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``ends`` has a group's last places, a_at * 2**32 + b_at, in order.
-
-    Linear in the tokens: a mark after each token, which says whether its group goes on, is made from the distances between cuts.
-    """
-
-    def side(ids: Column, place) -> Column:
-        def text(last: Column) -> Column:
-            before = F.concat(F.array(F.lit(-1)), F.slice(last, 1, F.size(last) - 1))
-            marks = F.flatten(F.zip_with(before, last, lambda x, y: F.array_append(F.array_repeat(F.lit(","), y - x - 1), F.lit(";"))))
-            return F.array_join(F.zip_with(ids, marks, lambda i, m: F.concat(i.cast("string"), m)), "")
-
-        marked = let(F.transform(ends, lambda e: place(e).cast("int")), text)
-        return F.split(F.rtrim(marked, F.lit(";")), ";")
-
-    low = F.lit((1 << 32) - 1)
-    joined = F.zip_with(side(a_ids, lambda e: F.shiftright(e, 32)), side(b_ids, lambda e: e.bitwiseAND(low)), lambda x, y: F.concat(x, F.lit("|"), y))
-    return F.when(F.size(ends) > 0, F.array_join(joined, ";")).otherwise("")
+    schema = f"key {kind}, _row bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links array<bigint>" + (", groups string" if whole else "")
+    rows = map_rows(docs.select(key, F.monotonically_increasing_id().alias("_row"), text), run, schema, "alignment")
+    count = F.size("links").cast("bigint").alias("n_links")
+    return rows.select(F.col("key").alias(key), "_row", "n_a", "n_b", "n_groups", count, "groups_sha256", *(["groups"] if whole else []), "links")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", whole: bool = False, folder: str | None = None) -> DataFrame:
@@ -228,26 +238,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 
     ``whole`` adds ``groups``, the text of which ``groups_sha256`` is the digest.  The result is written to ``folder``.
     """
-    spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "alignment")
-    name = f"lexspark_tokens_{uuid.uuid4().hex}"
-    rows = token_table(docs, a_path, b_path, folder, name, key, text)
-    sizes = [[len(t) for t in made] for made in (byte_level_token_bytes(a_path), piece_token_bytes(b_path))]
-    both = lambda high, low: F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
-    listed = cuts(rows, *sizes).groupBy("_row").agg(F.sort_array(F.collect_list(both(F.col("a_at"), F.col("b_at")))).alias("ends"), F.max("group").cast("bigint").alias("n_groups"))
-    met = rows.join(listed.hint("merge"), "_row", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
-    # the last tokens of each group are linked
-    links = F.transform("ends", lambda e: both(F.get("a_ids", F.shiftright(e, 32).cast("int")), F.get("b_ids", e.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))))
-    groups = group_text(F.col("a_ids"), F.col("b_ids"), F.col("ends"))
-    count = F.coalesce("n_groups", F.lit(0).cast("bigint"))
-    made = met.select(key, "_row", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), count.alias("n_groups"), links.alias("links"), groups.alias("groups"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    out = made.select(key, "_row", "n_a", "n_b", "n_groups", F.size("links").cast("bigint").alias("n_links"), digest.alias("groups_sha256"), *(["groups"] if whole else []), "links")
-    with settings(spark, IN_PLACE):
-        found = written(out, f"{folder}/aligned")
-    spark.sql(f"DROP TABLE {name}")
-    delete_path(spark, f"{folder}/tokens")
-    return found
+    folder = folder or scratch_path(docs.sparkSession, "alignment")
+    return written(aligned_rows(docs, a_path, b_path, key, text, whole), f"{folder}/aligned")
+
+
+# --- links of the corpus ---------------------------------------------------------------------------------------------------------
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -169,6 +169,25 @@ def test_token_alignment(spark):
     assert {t for t in spark.catalog.listTables() if t.name.startswith("lexspark_tokens_")} == set()
 
 
+def test_alignment_makes_no_rows_of_tokens(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(alignment, "written", lambda df, path: frames.append(df) or df)
+    alignment.align(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B)
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" in plan and not [name for name in ("Generate", "Window", "Exchange", "Sort", "Join") if name in plan]
+
+
+def test_groups_of_a_batch():
+    tokens = [b"%d" % i for i in range(12)]
+    sizes = [2, 1, 1, 3, 2], [1, 1, 2, 1, 1, 1, 2]
+    cut = alignment.cuts(*map(alignment.np.array, sizes))
+    assert [c.tolist() for c in cut] == [[0, 2, 3, 4], [1, 2, 5, 6]]
+    ids, written = [alignment.np.arange(5), alignment.np.arange(5, 12)], alignment.written_ids(len(tokens))
+    data, upto = alignment.group_text(written, ids[0], cut[0], written, ids[1], cut[1])
+    assert bytes(data) == b"0|5,6;1,2|7;3|8,9,10;4|11;"
+    assert bytes(data[upto[3] : upto[6]]) == b"1,2|7;"
+
+
 def test_rare_pairs_are_scored_by_shuffle(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(odd_texts(random.Random(5))[:20])]
     monkeypatch.setattr(alignment, "SHARES", 20)
