@@ -72,23 +72,28 @@ def _crowded(blanked: Column) -> Column:
     return F.contains(blanked, F.lit("  ")) | F.startswith(blanked, F.lit(" ")) | F.endswith(blanked, F.lit(" "))
 
 
-def with_words(texts: DataFrame, into: str) -> DataFrame:
+def with_words(texts: DataFrame, into: str, apart: str | None = None) -> DataFrame:
     """Adds ``into``: the words of ``text``, which is not null, with a blank between each two.
 
+    ``apart`` tells whether more than its line feeds have to be changed for that; if there is no such column, it is added.
+
     Only this string passes between compiled and other operators: arrays of words would be copied each time.
     """
     text, blanked = F.col("text"), F.col("_blanked")
-    apart = F.btrim(F.regexp_replace(F.regexp_replace(text, f"([{UNSPACED}])", " $1 "), "\\s+", " "), F.lit(" "))
-    words = F.when(_odd(text) | _crowded(blanked), apart).otherwise(blanked)
-    return texts.withColumn("_blanked", F.replace(text, F.lit("\n"), F.lit(" "))).withColumn(into, words).drop("_blanked")
+    pulled = F.btrim(F.regexp_replace(F.regexp_replace(text, f"([{UNSPACED}])", " $1 "), "\\s+", " "), F.lit(" "))
+    made = texts.withColumn("_blanked", F.replace(text, F.lit("\n"), F.lit(" ")))
+    if apart not in texts.columns:
+        made = made.withColumn(apart or "_apart", _odd(text) | _crowded(blanked))
+    return made.withColumn(into, F.when(F.col(apart or "_apart"), pulled).otherwise(blanked)).drop("_blanked", *([] if apart else ["_apart"]))
 
 
 def with_rest(texts: DataFrame, runs: str, into: str) -> DataFrame:
     """Adds ``text`` without the words of ``runs`` and the blanks before them; null where ``runs`` is."""
-    single, units = fresh(texts, "_single"), fresh(texts, "_units")
+    single, units, blanked = fresh(texts, "_single"), fresh(texts, "_units"), fresh(texts, "_blanked")
     text, cut, unit = F.col("text"), F.col(runs), F.col(units)
     # where one blank or line feed stands between words, a split at blanks does; a line feed goes with the word after it
-    made = texts.withColumn(single, cut.isNotNull() & ~_odd(text) & ~_crowded(F.replace(text, F.lit("\n"), F.lit(" "))))
+    made = texts.withColumn(blanked, F.when(cut.isNotNull(), F.replace(text, F.lit("\n"), F.lit(" "))))
+    made = made.withColumn(single, cut.isNotNull() & ~_odd(text) & ~_crowded(F.col(blanked))).drop(blanked)
     plain = F.split(F.replace(text, F.lit("\n"), F.lit(" \n")), " ")
     made = made.withColumn(units, F.when(F.col(single), plain).when(cut.isNotNull(), units_of(text)))
     begins = F.concat(F.array(F.lit(0)), F.transform(cut, lambda r: r["end"]))
@@ -101,7 +106,7 @@ def with_rest(texts: DataFrame, runs: str, into: str) -> DataFrame:
 
 def _hashed(texts: DataFrame, *columns: str) -> DataFrame:
     """Rows (columns, h: hashes of the text's words)."""
-    return with_words(texts, "_words").select(*columns, F.transform(F.split("_words", " "), lambda w: F.xxhash64(w)).alias("h"))
+    return with_words(texts, "_words", "_apart").select(*columns, F.transform(F.split("_words", " "), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def _hash_at(place: Column) -> Column:
@@ -119,7 +124,7 @@ def _reach(at: Column, left: int, right: int) -> tuple[Column, Column]:
 
 
 def _grams(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """Rows (k: gram, doc: its text, pos) of all grams that windows choose, and some more.
+    """Rows (k: gram, doc: its text, pos, apart: see ``with_words``) of all grams that windows choose, and some more.
 
     A window has ``width`` places to choose from.  With a place it holds the ``left`` ones before it or the ``right`` ones after it, so
     a chosen one is least among the former or the latter.  (To look at all ``width`` on both sides takes more code than the JVM compiles.)
@@ -127,17 +132,18 @@ def _grams(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
     width, pos = min_words - gram + 1, F.col("pos")
     left, right = width // 2, width - width // 2
     places = F.when(F.size("h") >= min_words, F.sequence(F.lit(0), F.size("h") - gram))
-    every = _hashed(texts, "_text").select(F.col("_text").alias("doc"), "h", F.explode(places).alias("pos"))
+    every = _hashed(texts, "_text", "_apart").select(F.col("_text").alias("doc"), F.col("_apart").alias("apart"), "h", F.explode(places).alias("pos"))
     before, after = _reach(pos, left, right)
     chosen = every.where((after >= right) | (before >= left))
-    return chosen.select(F.xxhash64(*[_hash_at(pos + j) for j in range(gram)]).alias("k"), "doc", "pos")
+    return chosen.select(F.xxhash64(*[_hash_at(pos + j) for j in range(gram)]).alias("k"), "doc", "pos", "apart")
 
 
 def _windows(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
     """Rows (k, more: hashes of a window, base, start, frequent) of the windows that choose a gram which stands at two places."""
     width, place, start, last = min_words - gram + 1, F.col("place"), F.col("start"), F.size("h") - min_words
-    met = _hashed(texts, "_base", "_places").select("_base", "h", F.explode("_places").alias("_place"))
-    met = met.select("_base", "h", F.shiftright("_place", 1).alias("place"), (F.col("_place") % 2 == 1).alias("frequent"))
+    told = texts.withColumn("_apart", F.get("_places", F.lit(0)).bitwiseAND(F.lit(2)) > 0)
+    met = _hashed(told, "_base", "_places").select("_base", "h", F.explode("_places").alias("_place"))
+    met = met.select("_base", "h", F.shiftright("_place", 2).alias("place"), (F.col("_place") % 2 == 1).alias("frequent"))
     before, after = _reach(place, width - 1, width - 1)
     first, to = F.greatest(place - before, F.lit(0)), F.least(place + after - (width - 1), place, last)
     met = met.select("_base", "h", "frequent", first.alias("first"), to.alias("to"))
@@ -153,10 +159,11 @@ def _frequent(grams: DataFrame) -> DataFrame:
 
 
 def _met(grams: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Rows (doc, place: twice the position, and one more if the gram is frequent) whose gram stands at another place as well."""
+    """Rows (doc, place) whose gram stands at another place as well; ``place`` is four times the position, two more if the words of the
+    text have to be pulled apart, which so needs no second look at it, and one more if the gram is frequent."""
     marked = grams.join(F.broadcast(frequent.select(F.col("k").alias("_k"))), F.col("k") == F.col("_k"), "left").withColumn("frequent", F.col("_k").isNotNull())
     place = F.xxhash64("doc", "pos")
-    dealt = marked.select(F.when(F.col("frequent"), place).otherwise(F.col("k")).alias("k"), "doc", (F.col("pos") * 2 + F.col("frequent").cast("int")).alias("place"))
+    dealt = marked.select(F.when(F.col("frequent"), place).otherwise(F.col("k")).alias("k"), "doc", (F.col("pos") * 4 + F.col("apart").cast("int") * 2 + F.col("frequent").cast("int")).alias("place"))
     same, at = W.partitionBy("k"), F.xxhash64("doc", "place")
     told = dealt.select("doc", "place", F.min(at).over(same).alias("a"), F.max(at).over(same).alias("b"))
     return told.where("a <> b or place % 2 = 1").select("doc", "place")
@@ -165,11 +172,12 @@ def _met(grams: DataFrame, frequent: DataFrame) -> DataFrame:
 def _later(windows: DataFrame, path: str) -> DataFrame:
     """Rows (base, start): the windows that stand earlier."""
     salt = F.pmod(F.xxhash64("base", "start"), F.lit(SALTS))
-    dealt = windows.select(F.when(F.col("frequent"), F.xxhash64("k", salt)).otherwise(F.col("k")).alias("part"), "*", (F.col("base") + F.col("start")).alias("place"))
+    part, k = F.when(F.col("frequent"), F.xxhash64("k", salt)).otherwise(F.col("k")), F.when(F.col("frequent"), F.col("k"))
+    dealt = windows.select(part.alias("part"), k.alias("k"), "more", "start", "frequent", (F.col("base") + F.col("start")).alias("place"))
     before = lambda by: F.lag("place").over(W.partitionBy(by, "more").orderBy("place"))
     told = dealt.withColumn("before", before("part")).withColumn("later", F.coalesce(F.col("before") < F.col("place"), F.lit(False)))
     told = told.where(F.col("later") | F.col("frequent") & F.col("before").isNull())
-    told = written(told.select("base", "start", "later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("k", "more", "place")]), path)
+    told = written(told.select((F.col("place") - F.col("start")).alias("base"), "start", "later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("k", "more", "place")]), path)
     firsts = told.where("not later").withColumn("before", before("k")).where("before < place")
     return told.where("later").select("base", "start").unionByName(firsts.select("base", "start"))
 
@@ -213,12 +221,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", min_words: int = 25) ->
 
     # windows around them that stand earlier, joined to runs
     texts = named.join(around.hint("shuffle_hash"), [key, "_text"]).select("_base", "_places", "text")
-    windows = written(_windows(texts, min_words, gram), f"{folder}/windows")
-    runs = _runs(_later(windows, f"{folder}/later"), min_words)
+    runs = _runs(_later(_windows(texts, min_words, gram), f"{folder}/later"), min_words)
     cut = runs.join(placed, F.col("base") == F.col("_base")).select(key, "_text", "runs", F.lit(False).alias("copy"))
     copies = marked.where("_copy").select(key, "_text", F.lit(None).cast(cut.schema["runs"].dataType).alias("runs"), F.lit(True).alias("copy"))
     out = written(cut.unionByName(copies), f"{folder}/runs")
-    for part in ("own", "first", "many", "marked", "order", "placed", "frequent", "around", "windows", "later"):
+    for part in ("own", "first", "many", "marked", "order", "placed", "frequent", "around", "later"):
         delete_path(spark, f"{folder}/{part}")
     return out
 

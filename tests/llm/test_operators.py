@@ -734,6 +734,20 @@ def test_line_dedup_equals_brute_force_on_tangled_texts(spark, seed):
     assert frame.columns == linededup.dedup_lines(frame.limit(0)).columns
 
 
+def test_line_dedup_writes_no_windows_and_tells_texts_apart_once(spark, monkeypatch):
+    """Windows go into the shuffle that compares them, and how a text's words are found comes with its grams."""
+    paths, looked, odd, written = [], [], linededup._odd, linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, path: paths.append(path.rsplit("/", 1)[-1]) or written(df, path))
+    monkeypatch.setattr(linededup, "_odd", lambda text: looked.append(1) or odd(text))
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, own), (2, own.replace(" ", "  ")), (3, f"x\t{own}"), (4, own.replace(" ", "\n") + " y"), (5, " ".join("世" * 40)), (6, "世" * 40 + "界")]
+    found = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]._removed for i in range(1, 7)] == [0, 60, 60, 60, 39, 40]
+    assert [found[i].text.split() for i in (2, 3, 4, 6)] == [[], ["x"], ["y"], ["界"]]
+    assert "windows" not in paths and "later" in paths
+    assert len(looked) == 3  # for the sample's grams, all grams and the texts that are cut
+
+
 def test_line_dedup_needs_no_python_on_executors(spark, monkeypatch):
     """Frequent lines, texts of many copies, odd blanks: DataFrame operations alone find what brute force does."""
 
