@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, decontamination, language, licenses, linededup, quality, simhash, store, toxicity, winnowing
+from lexspark.llm import bpe, common, decontamination, language, licenses, linededup, quality, simhash, store, toxicity, winnowing
 
 SYLLABLES = "ha re on ti th ed in er an ou st ble nd es at en".split()
 
@@ -748,6 +748,20 @@ def test_line_dedup_writes_no_windows_and_tells_texts_apart_once(spark, monkeypa
     assert len(looked) == 3  # for the sample's grams, all grams and the texts that are cut
 
 
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_sums_of_few_rows_are_not_written_as_many_files(spark, tmp_path, merged):
+    sizes = {(k * 37 % 1000 if k else None): k % 11 + 1 for k in range(1000)}
+    frame = spark.createDataFrame(list(sizes.items()), "k long, size long")
+    with common.settings(spark, {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": merged}):
+        found = dict(common.preceding_sum(frame, ["k"], "size", "before", f"{tmp_path}/order").select("k", "before").collect())
+    total = 0
+    for k in sorted(sizes, key=lambda k: -1 if k is None else k):
+        assert found.pop(k) == total
+        total += sizes[k]
+    files = len(list(tmp_path.glob("order/*.parquet")))
+    assert not found and (files <= 4 if merged == "true" else files > 4)
+
+
 def test_line_dedup_needs_no_python_on_executors(spark, monkeypatch):
     """Frequent lines, texts of many copies, odd blanks: DataFrame operations alone find what brute force does."""
 
