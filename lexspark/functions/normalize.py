@@ -260,3 +260,19 @@ def normalize_aligned(value: Aligned, parts: tuple[Part, ...]) -> Aligned:
     for part in parts:
         value = _one_aligned(value, part)
     return value
+
+
+def by_character(parts: tuple[Part, ...]) -> bool:
+    """Whether these normalizers take each character on its own."""
+    return all(part.kind in ("BertNormalizer", "StripAccents") for part in parts)
+
+
+class Characters(dict):
+    """For ``str.translate``: what a character becomes under normalizers ``by_character``, and then by ``change``; found when it is first met."""
+
+    def __init__(self, parts: tuple[Part, ...], change: Callable[[str], str] = str):
+        self.parts, self.change = parts, change
+
+    def __missing__(self, point: int) -> str:
+        made = self[point] = self.change(normalize_aligned(aligned(chr(point)), self.parts)[0])
+        return made

@@ -302,6 +302,12 @@ def cut(pieces: list, pattern: regex.Pattern, keep: bool, token_id=None) -> list
 
 #: A punctuation character or a run of others that are no white space: both steps of the split at once.
 _BERT = regex.compile(r"\p{P}|[^\s\p{P}]+")
+_PUNCTUATION, _BLANK = regex.compile(r"\p{P}"), regex.compile(r"\s")
+
+
+def bert_spaced(text: str) -> str:
+    """What ``_BERT`` finds in a text, with blanks around."""
+    return "".join(f" {c} " if _PUNCTUATION.match(c) else " " if _BLANK.match(c) else c for c in text)
 
 
 def _byte_level_text(piece: tuple) -> tuple:

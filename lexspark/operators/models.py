@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import random
+import re
 import zlib
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,29 @@ class WordPiece:
         return out
 
 
+class WordPieceIds:
+    """``WordPiece.tokenize`` without places: a trie of the pieces finds the longest ones."""
+
+    def __init__(self, model: WordPieceModel):
+        prefix, self.most = model.continuing_subword_prefix, model.max_input_chars_per_word
+        self.first = model.vocab
+        self.more = {p.removeprefix(prefix): i for p, i in model.vocab.items() if p.startswith(prefix)}
+        self.unknown = [model.vocab.get(model.unk_token, 0)]
+        # without any piece, a pattern that matches nowhere
+        self.head, self.tail = (re.compile(trie([p for p in pieces if p]) or "(?!)", re.DOTALL) for pieces in (self.first, self.more))
+
+    def __call__(self, word: str) -> list[int]:
+        if not word:
+            return []
+        head = self.head.match(word) if len(word) <= self.most else None
+        if head is None:
+            return self.unknown
+        rest = self.tail.findall(word, head.end())
+        if head.end() + sum(map(len, rest)) != len(word):
+            return self.unknown
+        return [self.first[head[0]], *map(self.more.__getitem__, rest)]
+
+
 class Bpe:
     def __init__(self, model: BpeModel, merge_priority: str = "lowest", seed: int = 0):
         self.model, self.vocab, self.seed = model, model.vocab, seed
@@ -195,6 +219,14 @@ def evaluator(model: Model | None, merge_priority: str = "lowest"):
     return kinds[type(model)](model).tokenize
 
 
+def id_evaluator(model: Model | None, merge_priority: str = "lowest"):
+    """word -> ids, those of ``evaluator``; no word gives none."""
+    if isinstance(model, WordPieceModel):
+        return WordPieceIds(model)
+    tokenize = evaluator(model, merge_priority)
+    return lambda word: [t[0] for t in tokenize(word)] if word else []
+
+
 # --- plans of built-in operators -----------------------------------------------------------------------------------------
 
 

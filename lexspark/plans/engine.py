@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field, replace
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode as decoders
-from ..functions.normalize import NORMAL_FORMS, aligned, apply_one, moves, normalize, normalize_aligned
-from ..functions.split import PIECES, pre_tokenize, pre_tokenize_aligned, whole
+from ..functions.normalize import NORMAL_FORMS, Characters, aligned, apply_one, by_character, moves, normalize, normalize_aligned
+from ..functions.split import PIECES, bert_spaced, pre_tokenize, pre_tokenize_aligned, whole
 from ..operators import added, encoding, words
-from ..operators.models import evaluator
+from ..operators.models import evaluator, id_evaluator
 from ..operators.words import WordTable
 from ..sources import scratch
 from . import config
@@ -41,6 +42,8 @@ TOKENS = T.StructType(
 )
 #: Bound of the tokens, of whole words, that a tokenizer remembers: some 150 bytes each.
 MOST_TOKENS = 200_000
+#: Longer words, in characters, are not remembered with their ids.
+LONGEST_KNOWN = 64
 #: So many tokenizers are kept in a worker, those used last.
 MOST_MADE = 3
 _made: dict[str, Any] = {}
@@ -62,6 +65,26 @@ class Made:
         return run
 
 
+class Known(dict):
+    """The ids of words: found when a word is first met, and remembered up to a bound of tokens, but for long words.  Words that are
+    met again before the bound is reached once more stay."""
+
+    def __init__(self, find):
+        self.find, self.held, self.before = find, 0, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.before.get(word)
+        if found is None:
+            found = self.find(word)
+        if len(word) <= LONGEST_KNOWN:
+            if self.held > MOST_TOKENS:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[word] = found
+            self.held += len(found) + 1
+        return found
+
+
 @dataclass(frozen=True)
 class Engine:
     plan: config.Pipeline
@@ -227,6 +250,28 @@ class Engine:
         run.known = known
         return run
 
+    def id_tokenizer(self):
+        """text -> ids, the first that ``tokenizer`` gives.  Where texts are normalised by character and cut at blanks and punctuation,
+        no places are kept: one table of characters makes words with blanks between them.  Texts with added tokens go the long way."""
+        run, plan = self.tokenizer(), self.plan
+        if not by_character(plan.normalizer) or [p.kind for p in plan.pre_tokenizer] != ["BertPreTokenizer"]:
+            return lambda text: run(text)[0]
+        raw, normal = self.added.matchable(self.vocab, False), self.added.matchable(self.vocab, True)
+        raw_pattern = regex.compile(added.pattern(raw)) if raw else None
+        normal_pattern = regex.compile(added.pattern(normal)) if normal else None
+        normalized, spaced = Characters(plan.normalizer), Characters(plan.normalizer, bert_spaced)
+        known = Known(id_evaluator(plan.model, self.merge_priority))
+
+        def ids(text: str) -> list[int]:
+            if raw_pattern is not None and raw_pattern.search(text):
+                return run(text)[0]
+            if normal_pattern is not None and normal_pattern.search(text.translate(normalized)):
+                return run(text)[0]
+            return list(chain.from_iterable(map(known.__getitem__, text.translate(spaced).split(" "))))
+
+        ids.known = known
+        return ids
+
     def tokens(self, text: Column) -> Column:
         """Parallel arrays of the model's tokens, by one Arrow function; null gives null."""
         ship()
@@ -406,7 +451,7 @@ class Engine:
         @F.pandas_udf("array<int>")
         def encode_ids(texts: pd.Series, *flags: pd.Series) -> pd.Series:
             run, flag = encoder.tokenizer(), _flags(texts, flags, False)
-            return pd.Series([None if t is None else np.array(run(t, f), np.int32) for t, f in zip(texts, flag)], dtype=object)
+            return pd.Series([None if ids is None else np.array(ids, np.int32) for ids in run.of_batch(texts, flag)], dtype=object)
 
         @F.pandas_udf("string")
         def decode_ids(rows: pd.Series, *flags: pd.Series) -> pd.Series:

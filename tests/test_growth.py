@@ -100,3 +100,55 @@ def test_places_move_as_texts(spark):
     frame = spark.createDataFrame([(1, "the sea")], "i int, _s string").select("i", F.expr("array(named_struct('text', _s, 'start', 0, 'end', 7, 'token_id', cast(null as int)))").alias("_s"))
     placed = words_plan.placed_words(Engine.from_json(fixtures.bert_small()), frame.repartition(3, "i"), "i")
     assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_ids_alone_are_found_without_places(monkeypatch):
+    from lexspark.plans import engine as plans
+
+    texts = ["", " ", "the land  of\tthe sea", "Déjà VU, 世界! a b c", "x\x0b\x1cy\x85z\x00", "İstanbul ﬁ Σς", "é 각", "zq" * 30, "w" * 90, "a.b,c" * 40]
+    for changes in ({}, {"pre_tokenizer": {"type": "Metaspace"}}, {"normalizer": {"type": "StripAccents"}}, {"normalizer": None}, {"normalizer": {"type": "NFKD"}}):
+        engine = Engine.from_json(fixtures.bert_small(**changes)).add_tokens("sea")[0]
+        run = engine.tokenizer()
+        for most in (0, 20, 200_000):
+            monkeypatch.setattr(plans, "MOST_TOKENS", most)
+            ids = engine.id_tokenizer()
+            for text in [*texts, "[MASK] the", "the[SEP]", "the sea", "SEA"] * 2:
+                assert ids(text) == run(text)[0]
+    monkeypatch.setattr(plans, "LONGEST_KNOWN", 3)
+    ids = Engine.from_json(fixtures.bert_small()).id_tokenizer()
+    assert ids("the seas, " + "w" * 90) and set(ids.known) == {"the", ",", ""}
+
+
+def test_a_worker_encodes_words_it_has_met_by_looking_them_up(monkeypatch):
+    from lexspark.plans.rows import row_decoder, row_encoder
+
+    engine = Engine.from_json(fixtures.bert_small())
+    run, back, called = row_encoder(engine), row_decoder(engine), []
+    expected, decoded = run("the land of the sea, déjà"), "the land of the sea, deja"
+    monkeypatch.setattr(models.WordPiece, "tokenize", lambda *_: called.append(1))
+    monkeypatch.setattr(models.WordPieceIds, "__call__", lambda *_: called.append(1))
+    monkeypatch.setattr(normalize, "_each", lambda *_: called.append(1))
+    assert run("the land of the sea, déjà") == expected and not called
+    assert back(expected) == decoded and len(back(expected, False)) > len(decoded)
+    assert back([]) == "" and back([2, 3]) == ""
+
+
+def test_wordpiece_ids():
+    words = ["", "ab", "abc", "abcab", "a", "b", "[UNK]", "#", "##b", "a.b", "世a", "xab", "abx", "ab" * 30, "a\nb", "(a", "𝒳ab", "aab", "##"]
+    listed = ["[UNK]", "a", "ab", "abc", "##b", "##bc", "##c", "##ab", "##", ".", "##.", "(", "##a", "\n", "##\n", "𝒳", "#"]
+    for names, prefix in ((listed, "##"), (listed, ""), (["[UNK]", "ab"], "##"), (["[UNK]"], "##"), (["##b", "a"], "##"), ([], "")):
+        model = WordPieceModel({p: i for i, p in enumerate(names)}, "[UNK]", 50, prefix)
+        assert [models.id_evaluator(model)(w) for w in words] == [[t[0] for t in models.WordPiece(model).tokenize(w)] for w in words]
+
+
+def test_functions_over_one_batch_tokenise_it_once(monkeypatch):
+    from lexspark.plans.rows import row_encoder
+
+    engine, texts, calls = Engine.from_json(fixtures.bert_small()), ["the sea", None, ""], []
+    run = row_encoder(engine)
+    monkeypatch.setattr(models.WordPieceIds, "__call__", lambda self, word: calls.append(word) or [7] * bool(word))
+    assert run.of_batch(texts, [True] * 3) == [[2, 7, 7, 3], None, [2, 3]] and "the" in calls
+    found = len(calls)
+    assert run.of_batch(texts, [False] * 3) == [[7, 7], None, []] and run.of_batch(texts, [True] * 3)[0] == [2, 7, 7, 3]
+    assert len(calls) == found
+    assert run.of_batch(["land", "the"], [False, True]) == [[7], [2, 7, 3]]
