@@ -177,6 +177,12 @@ def template(encoding: Column, rule: Part, add_special_tokens: bool = True, seco
     return part({n: F.concat(*[p[n].cast(f"array<{t}>") for p in pieces]) for n, t in FIELDS.items()})
 
 
+def templated(ids: Column, rule: Part, add_special_tokens: bool = True) -> Column:
+    """``template`` of a single text for its ids alone."""
+    pieces = [ids if "Sequence" in raw else _special(raw["SpecialToken"], rule)["ids"] for raw in rule.options["single"] if "Sequence" in raw or add_special_tokens]
+    return F.concat(*[p.cast("array<int>") for p in pieces]) if pieces else F.slice(ids, 1, 0)
+
+
 def joined_pair(first: Column, second: Column, rules: tuple[Part, ...], add_special_tokens: bool = True) -> Column:
     """One part of each text as one encoding: post-processors before a template run on each, those after it on both together.
 

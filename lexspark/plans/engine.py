@@ -346,6 +346,20 @@ class Engine:
         short = scratch.written(placed.withColumn(into, bare.encode_column(F.col(text), add_special_tokens, F.col(held))).select(*[c for c in columns if c != into], into), f"{folder}/encoded")
         return self._pad_to_longest(short, into)
 
+    def ids_by_words(self, df: DataFrame, key: str, text: str = "text", into: str = "ids", add_special_tokens: bool = True) -> DataFrame:
+        """Rows (key, ids) for a table whose rows ``key`` tells apart: the ids of ``encode_by_words`` alone.  Neither places nor names of
+        tokens are made for them; pipelines that truncate, pad or draw anew go the long way."""
+        rules = self.plan
+        if rules.truncation or rules.padding or isinstance(rules.model, config.BpeModel) and rules.model.dropout:
+            encoded = self.encode_by_words(df.select(key, text), text, "encoding", add_special_tokens, key)
+            return encoded.select(key, F.col("encoding.ids").alias(into))
+        ids = F.col("ids")
+        for rule in rules.post_processor or ():
+            if rule.kind == "TemplateProcessing":
+                ids = encoding.templated(ids, rule, add_special_tokens)
+        found = words.ids_by_words(self, df, key, text, scratch.scratch_folder(df.sparkSession, "ids"))
+        return found.select(key, ids.alias(into))
+
     def pair_column(self, first: Column, second: Column, first_tokens: Column, second_tokens: Column, add_special_tokens: bool = True) -> Column:
         rules = self.plan
 

@@ -152,3 +152,21 @@ def test_functions_over_one_batch_tokenise_it_once(monkeypatch):
     assert run.of_batch(texts, [False] * 3) == [[7, 7], None, []] and run.of_batch(texts, [True] * 3)[0] == [2, 7, 7, 3]
     assert len(calls) == found
     assert run.of_batch(["land", "the"], [False, True]) == [[7], [2, 7, 3]]
+
+
+def test_ids_by_words_are_those_of_the_encodings(spark, monkeypatch):
+    texts = ["the land  of\tthe sea", "", None, " zq! [MASK] the", "déjà vu the 世界", " x the\x0b.", "[MASK]", " "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    short = {"truncation": {"max_length": 4, "stride": 1, "strategy": "LongestFirst", "direction": "Right"}}
+    for changes, special, most in (({}, True, 1), ({}, False, 50_000), (short, True, 50_000)):
+        engine = Engine.from_json(fixtures.bert_small(**changes))
+        expected = {r.i: r.ids for r in engine.encode(frame, add_special_tokens=special).select("i", "encoding.ids").collect()}
+        monkeypatch.setattr(words_plan, "MOST_HOT", most)
+        found = engine.ids_by_words(frame, "i", add_special_tokens=special).collect()
+        assert len(found) == len(texts) and {r.i: r.ids for r in found} == expected
+
+
+def test_ids_alone_need_no_places(spark, tmp_path):
+    spark.createDataFrame([(1, "the sea"), (2, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.QUERIES["s4_encode"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window " not in plan and "Python" not in plan
